@@ -94,7 +94,7 @@ def exact_groups(docs: DataFrame, keep: str = "min", memtables: int = 4) -> Data
     read = docs.select(F.col("doc_id").cast("long"), text.alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
     part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("parts"))).cast("int")
     read = read.join(hot, "digest", "left").select("digest", part.alias("part"), "text")
-    hits = read.join(dealt, ["digest", "part"], "left_semi").groupBy("digest", "part")
+    hits = read.join(dealt.hint("merge"), ["digest", "part"], "left_semi").groupBy("digest", "part")
     ends = hits.agg(F.min("text").alias("least"), F.max("text").alias("most"))
     ends = ends.groupBy("digest").agg(F.min("least").alias("least"), F.max("most").alias("most"))
     clashes = [r[0] for r in ends.filter("least <> most").select("digest").take(1)]
@@ -127,7 +127,7 @@ def deduplicate(docs: DataFrame, keep: str = "min") -> DataFrame:
     found = durable(found.select(F.unhex("text_sha256").alias("_digest"), key))
     repeated = not found.groupBy("_digest", "_key").count().filter("count > 1").isEmpty()
     whole = docs.select("*", F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("_digest"), key)
-    stay = whole.join(found, ["_digest", "_key"], "left_semi")
+    stay = whole.join(found.hint("merge"), ["_digest", "_key"], "left_semi")
     if repeated:  # rows that share even the doc_id
         stay = stay.dropDuplicates(["_digest", "_key"])
     return stay.select(docs.columns)
