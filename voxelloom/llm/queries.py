@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, quality, simhash
+from . import exact_dedup, mixing, packing, quality, secrets, simhash, toxicity, url_filters
 from .common import durable, table
 
 
@@ -33,17 +33,35 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.NAMES, "base_failed", "kept", "score")
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = secrets.BASE + secrets.MORE
+    found = secrets.scan(table(spark, sf_dir, "documents"), rules)
+    base = F.filter("spans", lambda s: s["place"] < len(secrets.BASE))
+    of = lambda place: F.size(F.filter("spans", lambda s: s["place"] == place)).cast("long")
+    counts = [of(place).alias(f"n_{rule.kind}") for place, rule in enumerate(secrets.BASE)]
+    digest = F.sha2(secrets.joined(base, rules), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, secrets.joined(F.col("spans"), rules).alias("spans"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(table(spark, sf_dir, "pages"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), distance=4, shingle=4, seed=42)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ours = (op2_packing, op4_mixing, op5_quality, op8_exact_dedup, op10_simhash)
+    ours = (op2_packing, op4_mixing, op5_quality, op6_secrets, op7_toxicity, op8_exact_dedup, op9_url_filter, op10_simhash)
     return {f.__name__: f for f in ours}
 
 
