@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of anything but ASCII white space.
@@ -59,21 +59,20 @@ def hash_byte(key: Column, salt: str = "") -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 2), 16, 10).cast("int")
 
 
+def durable_counting(df: DataFrame, test: Column) -> tuple[DataFrame, int]:
+    """durable(df), and in how many rows test holds, in one job."""
+    seen = Observation()
+    written = durable(df.observe(seen, F.count_if(test).alias("n")))
+    return written, seen.get["n"]
+
+
 def lookup(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
-    """Join left to right on `key`, unique in right; both should be cheap to read.
-
-    Rows of hot keys meet a broadcast of at most HOT_SHARE rows of right; all
-    others are shuffled. Null keys match nothing: `left` keeps them, `inner`
-    drops them."""
-    counts = left.groupBy(key).count()
-    total = left.count()
-    hot = [r[0] for r in counts.filter(F.col("count") * HOT_SHARE >= total).filter("count >= 32").collect()]
-    values = [k for k in hot if k is not None]
-    if not hot:
-        return left.join(right, key, how)
-    is_hot = F.coalesce(F.col(key).isin(values), F.lit(True)) if values else F.col(key).isNull()
-    near = left.filter(is_hot).join(F.broadcast(right.filter(F.col(key).isin(values))), key, how)
-    return near.unionByName(left.filter(~is_hot).join(right, key, how))
+    """Join left to right on `key`, unique in right. Null keys match nothing.
+
+    Both sides should be stored tables and the result be stored or shuffled
+    next: each side then reaches the join straight from its exchange, and
+    Spark's adaptive skew join deals the rows of a hot key to many tasks."""
+    return left.join(right.hint("merge"), key, how)
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -82,36 +81,30 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Each round hooks every node to its least neighbour, shortens the chains by
     pointer jumping, and goes on with the edges between what is left: at least
-    half of the nodes go each time. All state stays distributed; hubs are
-    handled by `lookup`."""
-    links = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a is not null and b is not null")
-    ends = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    loops = links.filter("a = b").select(F.col("a").alias("node")).distinct()
-    ends = durable(ends.filter("a <> b").distinct())
-    found = None
-    while not ends.isEmpty():
+    half of the nodes go each time. All state stays distributed."""
+    links = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a is not null and b is not null and a <> b")
+    ends = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    ends, n = durable_counting(ends, F.lit(True))
+    found = ends.select(F.col("a").alias("node"), F.col("b").alias("component")).filter("false")
+    first = True
+    while n:
         both = ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up"))
         up = durable(up.select("node", F.least("node", "up").alias("up")))
-        while True:
+        moved = 1
+        while moved:
             over = up.select(F.col("node").alias("up"), F.col("up").alias("over"))
-            step = durable(
-                lookup(up, over, "up").select("node", F.col("over").alias("up"), (F.col("over") != F.col("up")).alias("moved"))
-            )
-            up = step.select("node", "up")
-            if step.filter("moved").isEmpty():
-                break
-        if found is None:
+            step, moved = durable_counting(lookup(up, over, "up"), F.col("over") != F.col("up"))
+            up = step.select("node", F.col("over").alias("up"))
+        if first:
             found = up.select("node", F.col("up").alias("component"))
         else:
             onto = up.select(F.col("node").alias("component"), "up")
-            found = lookup(found, onto, "component").select("node", F.coalesce("up", "component").alias("component"))
-        found = durable(found)
+            found = durable(lookup(found, onto, "component"))
+            found = found.select("node", F.coalesce("up", "component").alias("component"))
+        first = False
         ends = lookup(ends, up.select(F.col("node").alias("a"), F.col("up").alias("a2")), "a")
-        ends = lookup(durable(ends), up.select(F.col("node").alias("b"), F.col("up").alias("b2")), "b")
-        ends = ends.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b"))
-        ends = durable(ends.filter("a <> b").distinct())
-    if found is None:
-        return loops.select("node", F.col("node").alias("component"))
-    rest = loops.join(found.select("node"), "node", "left_anti")
-    return found.unionByName(rest.select("node", F.col("node").alias("component")))
+        ends = lookup(ends, up.select(F.col("node").alias("b"), F.col("up").alias("b2")), "b")
+        ends = ends.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).filter("a <> b").distinct()
+        ends, n = durable_counting(ends, F.lit(True))
+    return found

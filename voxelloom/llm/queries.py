@@ -3,13 +3,14 @@ SQL can express."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, quality, secrets, simhash, toxicity, url_filters
-from .common import durable, table
+from . import chat, exact_dedup, mixing, packing, quality, secrets, simhash, toxicity, url_filters, warc
+from .common import durable, shared_dir, table
 
 
 def tokenizer_path() -> str:
@@ -18,10 +19,46 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Two turns whose text looks like a template's own controls.
+TRICKY = r"\### Assistant: </turn> ok"
+
+
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(TRICKY).alias("text"),
+    )
+    formatted = chat.format_chats(chat.from_rows(rows.unionByName(tricky)))
+    back = formatted.withColumn("back", chat.read_back(F.col("formatted"), F.col("loss_spans")))
+    said = F.transform("back.turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    learned = F.col("back.learned")
+    return back.select(
+        "conv_id",
+        F.size("back.turns").cast("long").alias("n_turns"),
+        chat.digest(said).alias("turns_sha256"),
+        F.length(F.array_join(learned, "")).cast("long").alias("loss_chars"),
+        chat.digest(learned).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.archive_pages(table(spark, sf_dir, "pages"), path)
+    page = lambda c: F.substring_index(c, ":", -1).cast("long")
+    read = warc.read_warc(spark, path, payload=False).filter(F.col("record_type").isin("response", "revisit"))
+    return read.select(
+        page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to")
+    )
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = durable(mixing.sized(table(spark, sf_dir, "documents")))
     mixed = mixing.systematic_copies(docs)
@@ -61,7 +98,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ours = (op2_packing, op4_mixing, op5_quality, op6_secrets, op7_toxicity, op8_exact_dedup, op9_url_filter, op10_simhash)
+    ours = (
+        op1_chat_format, op2_packing, op3_warc, op4_mixing, op5_quality,
+        op6_secrets, op7_toxicity, op8_exact_dedup, op9_url_filter, op10_simhash,
+    )
     return {f.__name__: f for f in ours}
 
 

@@ -207,7 +207,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
     indexed = {kind: q for kind, q in queries.items() if q}
     trigrams = sorted({t for q in indexed.values() for clause in q for option in clause for t in option})
     found = durable(candidates(build_index(docs, trigrams), trigrams, indexed))
-    texts = docs.select("doc_id", _key(), F.coalesce("text", F.lit("")).alias("text")).join(found, "key", "left")
+    texts = docs.select("doc_id", _key(), F.coalesce("text", F.lit("")).alias("text")).join(found.hint("merge"), "key", "left")
     none = F.array().cast("array<struct<start:int,place:int,stop:int>>")
     each = []
     for place, rule in enumerate(rules):

@@ -156,7 +156,7 @@ def link(classes: DataFrame, distance: int = 4) -> DataFrame:
     keyed = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks])).alias("part", "key")
     index = durable(classes.select("fp", keyed).withColumn("bucket", F.xxhash64("part", "key")))
     heads = index.groupBy("bucket").agg(F.min("fp").alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    near = lookup(index, durable(heads), "bucket", "inner")
+    near = lookup(index, durable(heads), "bucket", "inner")  # no bucket's pairs: one row per member
     near = near.filter((F.col("fp") != F.col("head")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("head"))) <= distance))
     near = durable(near.select(F.col("fp").alias("a"), F.col("head").alias("b")))
     first = connected_components(near)
@@ -170,7 +170,7 @@ def link(classes: DataFrame, distance: int = 4) -> DataFrame:
     probes = probes.select(F.xxhash64("part", F.col("key").bitwiseXOR(F.col("flip"))).alias("bucket"), F.col("fp").alias("x"), F.col("c").alias("cx"))
     exact = entries.select(F.xxhash64("part", "key").alias("bucket"), F.col("fp").alias("y"), F.col("c").alias("cy"))
     close = (F.col("cx") < F.col("cy")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= distance)
-    across = probes.join(exact, (probes["bucket"] == exact["bucket"]) & close)
+    across = probes.join(exact.hint("merge"), (probes["bucket"] == exact["bucket"]) & close)
     across = durable(across.select(F.col("cx").alias("a"), F.col("cy").alias("b")).distinct())
     second = durable(connected_components(across))
     over = second.select(F.col("node").alias("c"), "component")
@@ -182,7 +182,7 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 5, seed:
     rows = durable(fingerprints(docs, shingle, seed))
     classes = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     linked = link(classes.select("fp"), distance).withColumnRenamed("node", "fp")
-    named = durable(linked.join(classes, "fp"))
+    named = durable(lookup(linked, classes, "fp"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     by_fp = lookup(named.select("fp", "component"), durable(least), "component").select("fp", "component_id")
     return lookup(rows, durable(by_fp), "fp").select("doc_id", "fp", "component_id")
