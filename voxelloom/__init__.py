@@ -1,0 +1 @@
+"""Spatial quantification of serial sections on Spark."""
