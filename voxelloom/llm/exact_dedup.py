@@ -126,8 +126,8 @@ def deduplicate(docs: DataFrame, keep: str = "min") -> DataFrame:
     found = exact_groups(docs, keep).filter("kept")
     found = durable(found.select(F.unhex("text_sha256").alias("_digest"), key))
     repeated = not found.groupBy("_digest", "_key").count().filter("count > 1").isEmpty()
-    whole = docs.select("*", F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("_digest"), key)
+    whole = docs.select(F.struct(*docs.columns).alias("_doc"), F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("_digest"), key)
     stay = whole.join(found.hint("merge"), ["_digest", "_key"], "left_semi")
     if repeated:  # rows that share even the doc_id
         stay = stay.dropDuplicates(["_digest", "_key"])
-    return stay.select(docs.columns)
+    return stay.select("_doc.*")

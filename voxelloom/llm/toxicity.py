@@ -171,7 +171,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, toxic: int, clean: int) ->
     few = known.filter("toxic = 1").orderBy(*order).limit(toxic).unionByName(known.filter("toxic = 0").orderBy(*order).limit(clean))
     few = F.broadcast(durable(few))  # at most toxic + clean rows of two numbers
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).join(few, "doc_id")
-    return rows.withColumn("digest", F.sha2("text", 256)).dropDuplicates(["digest"]).select("text", "toxic")
+    return rows.groupBy(F.sha2("text", 256).alias("digest")).agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")).select("text", "toxic")
 
 
 def learn_marks(rows: DataFrame, model: np.ndarray, contexts: int, most: int) -> dict[str, float]:
@@ -265,6 +265,7 @@ def score(
     rows = durable(training_rows(docs, labels, toxic, clean))
     weights = learn_marks(rows, model, contexts, most)
     known = measured(rows, model, weights, "toxic", "int").toPandas()  # at most toxic + clean rows of three numbers
+    known = known.sort_values(["toxic", "most", "all"])
     y = known["toxic"].to_numpy(float)
     curve = fit_curve(known[["most", "all"]].to_numpy(float), y) if 0 < y.sum() < len(y) else np.array([-30.0, 0, 0])
     found = measured(docs.withColumn("doc_id", F.col("doc_id").cast("long")), model, weights, "doc_id", "long")
