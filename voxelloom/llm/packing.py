@@ -28,14 +28,16 @@ RANKED = 50_000
 #: Words whose ids a worker keeps; beyond, it starts anew.
 CACHED_WORDS = 300_000
 LONGEST_CACHED = 64
+WHOLE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 
 
 class WordTokenizer:
     """Ids of a text as the tokenizer gives them, from a cache of its words.
 
     The tokenizer drops white space and never looks across it, so a text's ids
-    are those of its words in order. Texts with a special token's opening are
-    left to the tokenizer as a whole."""
+    are those of its words in order. Texts with a special token's opening, or
+    with a separator that Python alone takes for white space, are left to the
+    tokenizer as a whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -48,7 +50,7 @@ class WordTokenizer:
         return b"".join([i.to_bytes(4, "little") for i in ids])
 
     def ids(self, text: str) -> bytes:
-        if "<|" in text:
+        if any(sign in text for sign in WHOLE):
             return self.whole(text)
         words, cache = text.split(), self.words
         try:
