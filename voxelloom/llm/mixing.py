@@ -57,7 +57,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3)
 
 
 def _class(size: Column) -> Column:
-    return F.when(size < 1, 0).otherwise(F.floor(F.log2(size.cast("double"))) + 1).cast("int")
+    """The number of binary digits; 0 for 0."""
+    return F.when(size < 1, 0).otherwise(F.length(F.bin(size))).cast("int")
 
 
 def systematic_copies(
