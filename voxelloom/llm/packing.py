@@ -14,8 +14,10 @@ empty result. Other columns are ignored."""
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,45 +27,108 @@ from .common import durable
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long"
 #: Rows that one window task ranks on average at most.
 RANKED = 50_000
-#: Words whose ids a worker keeps; beyond, it starts anew.
-CACHED_WORDS = 300_000
+#: Words whose ids a worker keeps in each of two generations.
+CACHED_WORDS = 450_000
+#: Texts tokenized at a time.
+TEXTS = 256
 LONGEST_CACHED = 64
 WHOLE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 
 
 class WordTokenizer:
-    """Ids of a text as the tokenizer gives them, from a cache of its words.
+    """Ids of texts as the tokenizer gives them, from a cache of their words.
 
     The tokenizer drops white space and never looks across it, so a text's ids
-    are those of its words in order. Texts with a special token's opening, or
-    with a separator that Python alone takes for white space, are left to the
-    tokenizer as a whole."""
+    are those of its words in order; it lower-cases, and it parts letters from
+    signs, so a word and the sign after it are looked up apart. Words of letters
+    alone are one unit each, and the new ones of a batch are encoded together:
+    the ids of a unit end with one that ends words. Texts with a special token's
+    opening, or with a separator that Python alone takes for white space, are
+    left to the tokenizer as a whole."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a worker for each core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.signs = {sign: self.whole(sign) for sign in ".,;:!?"}
         self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return b"".join([i.to_bytes(4, "little") for i in ids])
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def together(self, words: list[str]) -> list[bytes]:
+        (found,) = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)
+        ids = np.array(found.ids, "<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(words):
+            return [self.whole(w) for w in words]
+        raw, stops = ids.tobytes(), (4 * stops).tolist()
+        return [raw[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
+
+    def learn(self, new: set[str]) -> None:
+        """Add new words to the cache. Words of the last generation come over;
+        the cache starts a new generation when it is full."""
+        cache, old, signs = self.words, self.old, self.signs
+        plain, signed, odd = [], [], []
+        for word in new:
+            if word in old:
+                cache[word] = old[word]
+            elif word.isalpha():
+                plain.append(word)
+            elif word[-1] in signs and word[:-1].isalpha() and latin(word):
+                signed.append(word)
+            else:
+                odd.append(word)
+        fresh = {w[:-1] for w in signed}.difference(cache, new)
+        for word in fresh:
+            if word in old:
+                cache[word] = old[word]
+            else:
+                plain.append(word)
+        if not latin("".join(plain)) or max(map(len, plain), default=0) > LONGEST_CACHED:
+            odd += [w for w in plain if not latin(w) or len(w) > LONGEST_CACHED]
+            plain = [w for w in plain if latin(w) and len(w) <= LONGEST_CACHED]
+        if plain:
+            cache.update(zip(plain, self.together(plain), strict=True))
+        for word in odd:
+            cache[word] = self.whole(word)
+        for word in signed:
+            cache[word] = cache[word[:-1]] + signs[word[-1]]
+
+    def batch(self, texts: list[str]) -> list[bytes]:
+        split: list[list[str] | None] = []
+        for text in texts:
+            if any(sign in text for sign in WHOLE):
+                split.append(None)
+                continue
+            if text.isascii() or latin(text):
+                text = text.lower()
+            split.append(text.split())
+        every = set().union(*(words for words in split if words))
+        new = every.difference(self.words)
+        if len(self.words) + len(new) > CACHED_WORDS:
+            self.words, self.old = {}, self.words
+            new = every
+        self.learn(new)
+        get = self.words.__getitem__
+        return [self.whole(text) if words is None else b"".join(map(get, words)) for text, words in zip(texts, split, strict=True)]
 
     def ids(self, text: str) -> bytes:
-        if any(sign in text for sign in WHOLE):
-            return self.whole(text)
-        words, cache = text.split(), self.words
-        try:
-            return b"".join([cache[w] for w in words])
-        except KeyError:
-            pass
-        if len(cache) > CACHED_WORDS:
-            cache.clear()
-        new = [w for w in dict.fromkeys(words) if w not in cache]
-        short = [w for w in new if len(w) <= LONGEST_CACHED]
-        for word, found in zip(short, self.tokenizer.encode_batch(short, add_special_tokens=False), strict=True):
-            cache[word] = b"".join([i.to_bytes(4, "little") for i in found.ids])
-        return b"".join([cache[w] if w in cache else self.whole(w) for w in words])
+        return self.batch([text])[0]
+
+
+def latin(text: str) -> bool:
+    """Whether a text stays within Latin-1, where lower-casing has no context."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 2) -> DataFrame:
@@ -75,19 +140,16 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
         tokenizer = WordTokenizer(tokenizer_path)
         names = ["doc_id", "start", "length", "ids", "doc_tokens"]
         for batch in batches:
-            rows: list[list] = [[] for _ in names]
-            held = 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                whole = tokenizer.ids(text.as_py() or "") + end
-                for at in range(0, len(whole), width):
-                    part = whole[at : at + width]
-                    for column, value in zip(rows, (doc_id, at // 4, len(part) // 4, part, len(whole) // 4), strict=True):
-                        column.append(value)
-                    held += len(part)
-                if held > 16_000_000:
-                    yield arrow(rows, names)
-                    rows, held = [[] for _ in names], 0
-            yield arrow(rows, names)
+            for part in (batch.slice(at, TEXTS) for at in range(0, batch.num_rows, TEXTS)):
+                rows: list[list] = [[] for _ in names]
+                texts = [text or "" for text in part.column(1).to_pylist()]
+                for doc_id, ids in zip(part.column(0).to_pylist(), tokenizer.batch(texts), strict=True):
+                    whole = ids + end
+                    for at in range(0, len(whole), width):
+                        cut_off = whole[at : at + width]
+                        for column, value in zip(rows, (doc_id, at // 4, len(cut_off) // 4, cut_off, len(whole) // 4), strict=True):
+                            column.append(value)
+                yield arrow(rows, names)
 
     def arrow(rows: list[list], names: list[str]) -> pa.RecordBatch:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
