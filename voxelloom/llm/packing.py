@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long"
 #: Rows that one window task ranks on average at most.
 RANKED = 50_000
 #: Words whose ids a worker keeps in each of two generations.
-CACHED_WORDS = 450_000
+CACHED_WORDS = 600_000
 #: Texts tokenized at a time.
 TEXTS = 256
 LONGEST_CACHED = 64
@@ -131,13 +132,19 @@ def latin(text: str) -> bool:
     return True
 
 
+@lru_cache(maxsize=1)
+def tokenizer_of(path: str) -> WordTokenizer:
+    """One for each Python worker, which keeps its words from task to task."""
+    return WordTokenizer(path)
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 2) -> DataFrame:
     """Cut each document's ids, with end_id after them, into pieces of at most
     capacity. `ids` holds them as little-endian unsigned 32-bit numbers."""
     end, width = end_id.to_bytes(4, "little"), 4 * capacity
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(tokenizer_path)
+        tokenizer = tokenizer_of(tokenizer_path)
         names = ["doc_id", "start", "length", "ids", "doc_tokens"]
         for batch in batches:
             for part in (batch.slice(at, TEXTS) for at in range(0, batch.num_rows, TEXTS)):
