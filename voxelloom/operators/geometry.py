@@ -100,20 +100,33 @@ def lookup_labels(points: DataFrame, raster: DataFrame, row: Column, col: Column
     return found.drop("_row", "_col", "_label", "_hemi")
 
 
+def map_sizes(sections: DataFrame) -> DataFrame:
+    return sections.select("section_number", plane_size("u").alias("map_width"), plane_size("v").alias("map_height"))
+
+
+def voxel_below(x: Column, y: Column) -> list[Column]:
+    """The voxel lx, ly, lz below cell (x, y) of a row that holds a plane and its
+    map's size."""
+    s, t = x / F.col("map_width").cast("double"), y / F.col("map_height").cast("double")
+    return [F.floor(F.col(f"o{a}") + F.col(f"v{a}") * t + F.col(f"u{a}") * s).cast("int").alias(f"l{a}") for a in "xyz"]
+
+
+def with_voxels(rows: DataFrame, voxels: DataFrame) -> DataFrame:
+    """Label (and hemi) of the voxel lx, ly, lz of each row; 0 outside."""
+    values = [c for c in ("label", "hemi") if c in voxels.columns]
+    below = voxels.select(*(F.col(a).alias(f"l{a}") for a in "xyz"), *values)
+    found = rows.drop(*values).join(below, ["lx", "ly", "lz"], "left")
+    return found.withColumns({c: F.coalesce(c, F.lit(0)).cast("long" if c == "label" else "int") for c in values})
+
+
 def slice_grid(sections: DataFrame) -> DataFrame:
     """Every cell (x, y) of each section's atlas slice with the voxel below it."""
-    nu, nv = plane_size("u"), plane_size("v")
-    grid = sections.withColumns({"map_width": nu, "map_height": nv})
+    grid = sections.withColumns({"map_width": plane_size("u"), "map_height": plane_size("v")})
     grid = grid.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("map_height") - 1)))
     grid = grid.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("map_width") - 1)))
-    s, t = F.col("x") / F.col("map_width").cast("double"), F.col("y") / F.col("map_height").cast("double")
-    voxels = [F.floor(F.col(f"o{a}") + F.col(f"v{a}") * t + F.col(f"u{a}") * s).cast("int").alias(f"l{a}") for a in "xyz"]
-    return grid.select("section_number", "map_width", "map_height", "y", "x", *voxels)
+    return grid.select("section_number", "map_width", "map_height", "y", "x", *voxel_below(F.col("x"), F.col("y")))
 
 
 def slice_atlas(sections: DataFrame, voxels: DataFrame) -> DataFrame:
     """Label and hemi of every cell of each section's slice; 0 outside."""
-    below = voxels.select(*(F.col(a).alias(f"l{a}") for a in "xyz"), "label", *(["hemi"] if "hemi" in voxels.columns else []))
-    found = slice_grid(sections).join(below, ["lx", "ly", "lz"], "left")
-    filled = {c: F.coalesce(c, F.lit(0)).cast("long" if c == "label" else "int") for c in ("label", "hemi") if c in found.columns}
-    return found.withColumns(filled)
+    return with_voxels(slice_grid(sections), voxels)

@@ -91,8 +91,8 @@ def stride_sample(pixels: DataFrame, most: int = SAMPLE, order: tuple[str, ...]
     whole. This is the feature's own limit."""
     within = Window.partitionBy("section_number")
     ranked = pixels.withColumn("_rank", F.row_number().over(within.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(within))
-    step = (F.col("_n") - 1) / F.lit(float(most - 1))
+    step = (F.col("_n") - 1) / F.lit(float(max(1, most - 1)))
     # rank r is taken if some i has floor(i step) = r
-    i = F.ceil(F.col("_rank") / step)
+    i = F.ceil(F.col("_rank") / F.when(step > 0, step))
     taken = (F.col("_n") <= most) | ((i <= most - 1) & (F.floor(i * step) == F.col("_rank")))
     return ranked.filter(taken).drop("_rank", "_n")

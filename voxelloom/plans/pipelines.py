@@ -33,10 +33,11 @@ def format_of(name: str) -> tuple[Callable[[object], Column], str | None]:
     return FORMATS[name]
 
 
-def marker_triangles(sections: DataFrame) -> DataFrame:
-    """Triangles of all sections with markers; sections are tens to thousands."""
-    rows = sections.filter("markers is not null and size(markers) > 0").select("section_number", "width", "height", "markers")
-    return warp.triangle_table(sections.sparkSession, [r.asDict() for r in rows.collect()])
+def marker_triangles(sections: DataFrame) -> DataFrame | None:
+    """Triangles of all sections with markers, None where there are none;
+    sections are tens to thousands."""
+    rows = sections.filter("markers is not null and size(markers) > 0").select("section_number", "width", "height", "markers").collect()
+    return warp.triangle_table(sections.sparkSession, [r.asDict() for r in rows]) if rows else None
 
 
 def section_maps(sections: DataFrame, atlas: Atlas, triangles: DataFrame | None = None) -> DataFrame:
@@ -82,13 +83,23 @@ def turned(points: DataFrame, atlas: Atlas, orientation: str) -> DataFrame:
     return geometry.reorient(named, atlas.shape, orientation)
 
 
-def labelled(points: DataFrame, maps: DataFrame, has_hemi: bool) -> DataFrame:
-    sizes = maps.select("section_number", "map_width", "map_height").distinct()
-    at = points.join(sizes, "section_number")
-    row = geometry.floor_cell(F.col("ry"), F.col("height"), F.col("map_height"))
-    col = geometry.floor_cell(F.col("rx"), F.col("width"), F.col("map_width"))
-    found = geometry.lookup_labels(at, maps, row, col, has_hemi).drop("map_width", "map_height")
-    return found if has_hemi else found.withColumn("hemi", F.lit(None).cast("int"))
+def labelled(points: DataFrame, sections: DataFrame, atlas: Atlas, triangles: DataFrame | None = None, key: list[str] | None = None) -> DataFrame:
+    """Adds label and hemi of the map cell that each point (rx, ry) falls into; 0
+    outside. The cell's voxel is found by arithmetic, so that points meet the
+    volume in one equi-join and no map is made."""
+    plane = sections.select("section_number", *PLANE).join(geometry.map_sizes(sections), "section_number")
+    at = points.drop("label", "hemi").join(plane, "section_number")
+    at = at.withColumn("sy", geometry.floor_cell(F.col("ry"), F.col("height"), F.col("map_height")))
+    at = at.withColumn("sx", geometry.floor_cell(F.col("rx"), F.col("width"), F.col("map_width")))
+    inside = lambda: (F.col("sx") >= 0) & (F.col("sy") >= 0) & (F.col("sx") < F.col("map_width")) & (F.col("sy") < F.col("map_height"))
+    at = at.withColumn("_in", inside())
+    if triangles is not None:
+        at = at.withColumns({"_cx": F.col("sx") * F.col("width") / F.col("map_width").cast("double"), "_cy": F.col("sy") * F.col("height") / F.col("map_height").cast("double")})
+        at = warp.source_cells(warp.warp_points(at, triangles, ["section_number", *(key or [])], "_cx", "_cy"))
+        at = at.withColumn("_in", F.col("_in") & inside()).drop("wx", "wy", "_cx", "_cy")
+    cells = [F.when(F.col("_in"), c).alias(n) for c, n in zip(geometry.voxel_below(F.col("sx"), F.col("sy")), ("lx", "ly", "lz"), strict=True)]
+    found = geometry.with_voxels(at.select(*points.drop("label", "hemi").columns, *cells), atlas.voxels).drop("lx", "ly", "lz")
+    return found if atlas.has_hemi else found.withColumn("hemi", F.lit(None).cast("int"))
 
 
 def xy_to_atlas(coordinates: DataFrame, sections: DataFrame, atlas: Atlas, orientation: str = "asr") -> Extraction:
@@ -104,7 +115,7 @@ def xy_to_atlas(coordinates: DataFrame, sections: DataFrame, atlas: Atlas, orien
     triangles = marker_triangles(sections)
     maps = section_maps(sections.join(sizes.select("section_number"), "section_number", "left_semi"), atlas, triangles)
     damage = warp.damage_cells(sections)
-    found = labelled(points, maps, atlas.has_hemi)
+    found = labelled(points, sections, atlas, triangles, ["ordinal"])
     found = warp.flag_damage(found, damage, F.col("width"), F.col("height"), "rx", "ry")
     found = place(found, sections, triangles, ["section_number", "ordinal"], "rx", "ry")
     result = turned(found.drop("x", "y", "rx", "ry", "seg_width", "seg_height", "width", "height"), atlas, orientation)
@@ -141,17 +152,16 @@ def segmentation_to_atlas(spark: SparkSession, folder: str, sections: DataFrame,
         at = df.join(sizes, "section_number").join(registered, "section_number")
         return at.withColumns({"rx": geometry.scaled(F.col("x"), F.col("seg_width"), F.col("width")), "ry": geometry.scaled(F.col("y"), F.col("seg_height"), F.col("height"))})
 
-    points = labelled(to_registration(members), maps, atlas.has_hemi)
+    points = labelled(to_registration(members), sections, atlas, triangles, ["y", "x"])
     points = warp.flag_damage(points, damage, F.col("width"), F.col("height"), "rx", "ry")
     points = place(points, sections, triangles, ["section_number", "y", "x"], "rx", "ry")
 
-    map_sizes = maps.select("section_number", "map_width", "map_height").distinct()
-    votes = members.join(sizes, "section_number").join(map_sizes, "section_number")
+    votes = members.join(sizes, "section_number").join(geometry.map_sizes(sections), "section_number")
     votes = votes.withColumns({"_r": geometry.nearest_cell(F.col("y"), F.col("seg_height"), F.col("map_height")), "_c": geometry.nearest_cell(F.col("x"), F.col("seg_width"), F.col("map_width"))})
     cells = maps.select("section_number", F.col("y").cast("long").alias("_r"), F.col("x").cast("long").alias("_c"), "label")
     voted = objects.majority_labels(votes.join(cells, ["section_number", "_r", "_c"], "left"))
     table = objects.object_table(members, cutoff=cutoff).withColumnsRenamed({"cy": "y", "cx": "x"})
-    centres = labelled(to_registration(table), maps, atlas.has_hemi).drop("label").join(voted, ["section_number", "component"])
+    centres = labelled(to_registration(table), sections, atlas, triangles, ["component"]).drop("label").join(voted, ["section_number", "component"])
     centres = warp.flag_damage(centres, damage, F.col("width"), F.col("height"), "rx", "ry")
     centres = place(centres, sections, triangles, ["section_number", "component"], "rx", "ry")
     extra = ("rx", "ry", "seg_width", "seg_height", "width", "height")
@@ -163,8 +173,7 @@ def segmentation_to_atlas(spark: SparkSession, folder: str, sections: DataFrame,
 
 def _at_registration(maps: DataFrame, sections: DataFrame) -> DataFrame:
     """Section maps stretched over the registration, cell by cell."""
-    sizes = maps.select("section_number", "map_width", "map_height").distinct()
-    grid = sections.select("section_number", "width", "height").join(sizes, "section_number")
+    grid = sections.select("section_number", "width", "height").join(geometry.map_sizes(sections), "section_number")
     grid = grid.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("height") - 1))).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
     grid = grid.withColumns({"_r": geometry.resized_cell(F.col("y"), F.col("map_height"), F.col("height")).cast("int"), "_c": geometry.resized_cell(F.col("x"), F.col("map_width"), F.col("width")).cast("int")})
     cells = maps.select("section_number", F.col("y").alias("_r"), F.col("x").alias("_c"), "label", *(["hemi"] if "hemi" in maps.columns else []))

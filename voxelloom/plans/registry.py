@@ -268,8 +268,8 @@ _FOUND = """found as (select p.*, coalesce(m.label, 0) as label, coalesce(m.hemi
 
 @query(f"{ctes('fx_xy', 'fx_sections', 'fx_voxels')}, {_PLACED}, {_SLICES}, {_FOUND} select event_id, label, hemi from found")
 def label_lookup_floor(spark: SparkSession, sf: str) -> DataFrame:
-    maps = geometry.slice_atlas(view(spark, sf, "fx_sections"), voxels(spark))
-    return pipelines.labelled(_placed(spark, sf), maps, True).select("event_id", "label", "hemi")
+    points = _placed(spark, sf).drop(*geometry.PLANE)
+    return pipelines.labelled(points, view(spark, sf, "fx_sections"), _fixture_atlas(spark, sf)).select("event_id", "label", "hemi")
 
 
 def _fixture_atlas(spark: SparkSession, sf: str) -> Atlas:

@@ -188,8 +188,8 @@ def segrle_runs(data: bytes) -> tuple[int, int, list[tuple[int, int, int]]]:
             if byte < 128:
                 return value
 
-    at += (size := number())
-    del size
+    size = number()
+    at += size
     codes = [number() for _ in range(number())]
     width, height = number(), number()
     runs, start = [], 0
