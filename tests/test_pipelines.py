@@ -201,6 +201,52 @@ def test_volume(spark, atlas, tmp_path):
     assert struct.unpack("<f", raw[80:84])[0] == 25.0 and max(raw[352:]) == 255
 
 
+@pytest.mark.parametrize("mode", ["pixel_count", "mean", "object_count"])
+def test_volume_of_images(spark, series, sections, atlas, mode):
+    """Against a plain loop over the cells of each plane, as if without markers."""
+    plain = sections.withColumn("markers", F.lit(None).cast("array<array<double>>"))
+    made = pipelines.volume_from_images(spark, str(series[0] / "images"), plain, atlas, "0,0,0", mode=mode, interpolate=False, missing=0.0, orientation="lpi")
+    got = {(r["x"], r["y"], r["z"]): (r["value"], r["freq"], r["damage"]) for r in made.collect() if r["freq"]}
+    sums, freq = {}, {}
+    for n, y in ((1, 3), (2, 6)):
+        mask = (series[1][n] == 0).all(2)
+        cells = np.zeros((16, 20), bool)
+        for j in range(16):
+            for i in range(20):
+                cells[j, i] = mask[round((j + 0.5) * 2) * 2, round((i + 0.5) * 2) * 2] if round((i + 0.5) * 2) < 40 and round((j + 0.5) * 2) < 32 else False
+        groups = objects.label_components(cells, 8)
+        for j in range(16):
+            for i in range(20):
+                at = (round((i + 0.5) / 20 * 19.99), y, round(15.99 - (j + 0.5) / 16 * 15.99))
+                if at[0] < 20 and at[2] < 16:
+                    freq[at] = freq.get(at, 0) + 1
+                    sums.setdefault(at, []).append((n, groups[j, i]))
+    assert got.keys() == freq.keys() and all(got[k][1] == freq[k] for k in freq)
+    for k, cells in sums.items():
+        front = [c for c in cells if c[1]]
+        want = {"pixel_count": len(front), "mean": len(front) / freq[k], "object_count": len(set(front))}[mode]
+        assert got[k][0] == want, k
+    assert any(v[0] for v in got.values())
+    assert {v[2] for k, v in got.items() if k[1] == 3} == {0} and {v[2] for k, v in got.items() if k[1] == 6} == {0, 1}
+
+
+def test_volume_of_intensities(spark, series, sections, atlas):
+    made = pipelines.volume_from_images(spark, str(series[0] / "images"), sections, atlas, segmentation=False, mode="mean", low=1, high=300, k=2, scale=0.5)
+    values = [r["value"] for r in made.collect()]
+    assert len(values) == 10 * 5 * 8 and all(0 <= v <= 255 for v in values) and max(values) > 0
+    for text, want in (("auto", "auto"), (" ", "auto"), (None, "auto"), ("7", (7,)), ("[1, 2,3]", (1, 2, 3)), ([4, 5, 6], (4, 5, 6))):
+        assert pipelines.parse_colour(text) == want
+    with pytest.raises(ValueError):
+        pipelines.parse_colour("blue")
+
+
+def test_lookup_in_a_raster(spark):
+    raster = spark.createDataFrame([(1, 0, 0, 5, 1), (1, 1, 2, 7, 2)], "section_number int, y int, x int, label long, hemi int")
+    points = spark.createDataFrame([(1, 0.4, 0.9), (1, 1.0, 2.0), (1, 9.0, 0.0)], "section_number int, py double, px double")
+    found = geometry.lookup_labels(points, raster, F.floor("py"), F.floor("px"), hemi=True).orderBy("py").collect()
+    assert [(r["label"], r["hemi"]) for r in found] == [(5, 1), (7, 2), (0, 0)]
+
+
 def test_pictures(spark, sections, atlas, tmp_path):
     maps = geometry.slice_atlas(sections, atlas.voxels)
     marks = spark.createDataFrame([(1, 0, 0)], "section_number int, y int, x int")

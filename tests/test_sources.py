@@ -171,6 +171,32 @@ def test_tables(spark, tmp_path):
         tables.read_coordinates(spark, str(tmp_path / "bad.csv"))
 
 
+def test_labels_of_anything(spark):
+    frame = spark.createDataFrame([(1,)], "idx long")
+
+    class Holder:
+        labels = frame
+
+    class Atlas:
+        structures_list = [{"id": 4, "name": "x", "rgb_triplet": [1, 2, 3]}]
+
+    assert tables.resolve_labels(spark, frame) is frame and tables.resolve_labels(spark, Holder()) is frame
+    assert tables.resolve_labels(spark, Atlas()).count() == 2
+    with pytest.raises(TypeError):
+        tables.resolve_labels(spark, 3)
+
+
+def test_jpeg(spark, tmp_path):
+    image = spark._jvm.java.awt.image.BufferedImage(8, 6, 1)
+    for y in range(6):
+        for x in range(8):
+            image.setRGB(x, y, 0x102030)
+    spark._jvm.javax.imageio.ImageIO.write(image, "jpg", spark._jvm.java.io.File(str(tmp_path / "a_s005.jpg")))
+    rows = rasters.jpeg_pixels(spark, str(tmp_path)).collect()
+    assert len(rows) == 48 and {r["section_number"] for r in rows} == {5}
+    assert all(abs(r["c0"] - 0x30) < 4 and abs(r["c2"] - 0x10) < 4 for r in rows)
+
+
 def test_custom_regions(spark, tmp_path):
     path = tmp_path / "c.txt"
     path.write_text("caption\tone\ttwo\nRGB\t1;2;3\t4;5;6\nids\t10\t20\n\t11\t\n")

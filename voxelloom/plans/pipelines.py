@@ -226,14 +226,87 @@ def quantify(result: Extraction, labels: DataFrame) -> DataFrame:
     return regions.region_table(counts, labels, areas)
 
 
+def parse_colour(colour: object) -> object:
+    """`auto` for nothing, "auto" or an empty text; numbers otherwise."""
+    if colour is None or (isinstance(colour, str) and colour.strip().lower() in ("", "auto")):
+        return "auto"
+    if isinstance(colour, str):
+        parts = [p.strip() for p in colour.strip().strip("[]").split(",") if p.strip()]
+        if not parts or not all(p.isdigit() for p in parts):
+            raise ValueError(f"a colour is auto, a number or numbers with commas, not {colour!r}")
+        return tuple(map(int, parts))
+    return tuple(colour)
+
+
+def plane_samples(signal: DataFrame, sizes: DataFrame, sections: DataFrame, scale: float = 1.0, objects_too: bool = False) -> DataFrame:
+    """Each section's plane in cells of 1/scale voxel: x, y, z of the volume,
+    value, undamaged (true where a section's damage mask says so) and component.
+
+    signal: section_number, y, x, value of image pixels that are not 0; sizes:
+    section_number, seg_width, seg_height. A cell takes the pixel nearest to its
+    centre, moved by the forward warp; outside it is 0."""
+    used = sections.join(sizes, "section_number")
+    for name, p in (("plane_w", "u"), ("plane_h", "v")):
+        length = geometry.norm(*(F.col(p + a) for a in "xyz"))
+        used = used.withColumn(name, F.greatest(F.lit(1), F.rint(length * scale).cast("int")))
+    grid = used.select("section_number", "width", "height", "seg_width", "seg_height", "plane_w", "plane_h", *PLANE)
+    grid = grid.withColumn("py", F.explode(F.sequence(F.lit(0), F.col("plane_h") - 1))).withColumn("px", F.explode(F.sequence(F.lit(0), F.col("plane_w") - 1)))
+    grid = grid.withColumns({"rx": (F.col("px") + 0.5) * F.col("width") / F.col("plane_w"), "ry": (F.col("py") + 0.5) * F.col("height") / F.col("plane_h")})
+    triangles = marker_triangles(sections)
+    if triangles is not None:
+        grid = warp.warp_points(grid, triangles, ["section_number", "py", "px"], "rx", "ry", forward=True)
+    else:
+        grid = grid.withColumns({"wx": F.col("rx"), "wy": F.col("ry")})
+    at = grid.withColumns({"_c": F.rint("wx").cast("int"), "_r": F.rint("wy").cast("int")})
+    inside = (F.col("_c") >= 0) & (F.col("_c") < F.col("width")) & (F.col("_r") >= 0) & (F.col("_r") < F.col("height"))
+    cells = {"x": geometry.resized_cell(F.col("_c"), F.col("seg_width"), F.col("width")), "y": geometry.resized_cell(F.col("_r"), F.col("seg_height"), F.col("height"))}
+    at = at.withColumns({n: F.when(inside, c).cast("int") for n, c in cells.items()})
+    found = at.join(signal.select("section_number", "y", "x", "value"), ["section_number", "y", "x"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+    damage = warp.damage_cells(sections)
+    masked = damage.select("section_number").distinct().withColumn("_m", F.lit(True))
+    found = warp.flag_damage(found.join(masked, "section_number", "left"), damage, F.col("width"), F.col("height"), "wx", "wy")
+    found = found.withColumn("undamaged", F.coalesce("_m", F.lit(False)) & F.col("undamaged") & inside)
+    if objects_too:
+        front = found.filter("value <> 0").select("section_number", F.col("py").alias("y"), F.col("px").alias("x"))
+        marks = objects.connected_pixels(front, 8).withColumnsRenamed({"y": "py", "x": "px"})
+        found = found.join(marks, ["section_number", "py", "px"], "left").withColumn("component", F.coalesce("component", F.lit(0)))
+    placed = geometry.to_atlas(found, "rx", "ry")
+    return placed.select("section_number", *[(F.col(f"a{a}") * scale).alias(a) for a in "xyz"], "value", "undamaged", *(["component"] if objects_too else []))
+
+
+def volume_from_images(spark: SparkSession, folder: str, sections: DataFrame, atlas: Atlas, colour: object = "auto", scale: float = 1.0, mode: str = "pixel_count",
+                       k: int = 5, interpolate: bool = True, use_mask: bool = True, missing: float = float("nan"), name: str = "binary", segmentation: bool = True,
+                       channel: str = "grayscale", low: float | None = None, high: float | None = None, orientation: str = "asr") -> DataFrame:
+    """The heat map of a folder of section images."""
+    from ..functions.colours import channel as plane
+
+    volume.value_of(mode)
+    rows = image_pixels(image_files(spark, folder))
+    sizes = rows.groupBy("section_number").agg(F.first("width").alias("seg_width"), F.first("height").alias("seg_height"))
+    if segmentation:
+        pixel_id = parse_colour(colour)
+        signal = _foreground(rows, name, pixel_id if name == "binary" else None).select("section_number", "y", "x", F.lit(1.0).alias("value"))
+    else:
+        grey = F.when(F.col("c1").isNull(), F.col("c0").cast("double")).otherwise(plane(F.col("c0"), F.col("c1"), F.col("c2"), channel))
+        signal = rows.select("section_number", "y", "x", pixels.bounded(grey, low, high).alias("value")).filter("value <> 0")
+        if mode != "mean":
+            signal = signal.withColumn("value", F.lit(1.0))
+    samples = plane_samples(signal, sizes, sections, scale, mode == "object_count")
+    return _volume(samples, atlas, scale, mode, k, interpolate, use_mask, missing, orientation, 1.0)
+
+
 def interpolated_volume(points: DataFrame, atlas: Atlas, scale: float = 1.0, mode: str = "pixel_count", k: int = 5, interpolate: bool = True,
                         use_mask: bool = True, missing: float = float("nan"), orientation: str = "asr") -> DataFrame:
     """Voxels with value, freq and damage, of points in internal orientation. The
     atlas masks them only at its own scale."""
     volume.value_of(mode)
+    return _volume(points, atlas, scale, mode, k, interpolate, use_mask, missing, orientation, scale)
+
+
+def _volume(points: DataFrame, atlas: Atlas, scale: float, mode: str, k: int, interpolate: bool, use_mask: bool, missing: float, orientation: str, step: float) -> DataFrame:
     shape = volume.volume_shape(atlas.shape, scale)
     spark = points.sparkSession
-    covered = volume.voxelise(points, shape, scale)
+    covered = volume.voxelise(points, shape, step)
     n = shape[0] * shape[1] * shape[2]
     at = F.col("id")
     grid = spark.range(n).select(*(c.cast("int").alias(a) for a, c in zip("xyz", (F.floor(at / (shape[1] * shape[2])), F.floor(at / shape[2]) % shape[1], at % shape[2]), strict=True)))

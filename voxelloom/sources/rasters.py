@@ -278,6 +278,23 @@ def run_pixels(runs: DataFrame) -> DataFrame:
     return at.select("path", "section_number", "height", "width", F.floor(F.col("_i") / F.col("width")).cast("int").alias("y"), (F.col("_i") % F.col("width")).cast("int").alias("x"), "label")
 
 
-def jpeg_images(spark: SparkSession, folder: str) -> DataFrame:
-    """JPEG files by Spark's image source: origin, height, width, nChannels, data."""
-    return spark.read.format("image").load(folder).select("image.*")
+def jpeg_pixels(spark: SparkSession, folder: str) -> DataFrame:
+    """Pixels of a folder's JPEG files, decoded by Spark's image source."""
+    from .files import section_number
+
+    files = spark.read.format("image").option("dropInvalid", True).load(folder).select("image.*")
+    files = files.filter(F.lower("origin").rlike(r"\.jpe?g$")).withColumn("section_number", section_number(F.col("origin")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [part.split()[0] for part in PIXELS.split(", ")]
+        for batch in batches:
+            for row in batch.to_pylist():
+                height, width, planes = row["height"], row["width"], row["nChannels"]
+                flat = np.frombuffer(row["data"], np.uint8).reshape(height * width, planes)
+                for at in np.array_split(np.arange(height * width), max(1, -(-height * width // BATCH))):
+                    n = len(at)
+                    channels = [pa.array(flat[at, i].astype(np.int32)) if i < min(planes, 3) else pa.nulls(n, pa.int32()) for i in range(3)]
+                    heads = [pa.array([row["origin"]] * n), *(pa.array(np.full(n, v, np.int32)) for v in (row["section_number"], height, width))]
+                    yield pa.RecordBatch.from_arrays([*heads, pa.array((at // width).astype(np.int32)), pa.array((at % width).astype(np.int32)), *channels], names=names)
+
+    return files.select("origin", "section_number", "height", "width", "nChannels", "data").mapInArrow(run, PIXELS)

@@ -32,6 +32,18 @@ def atlas_labels(spark: SparkSession, structures: list[dict]) -> DataFrame:
     return spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], LABELS + ", label_ordinal long")
 
 
+def resolve_labels(spark: SparkSession, found: object) -> DataFrame:
+    """A label table from a DataFrame, an atlas, or a list of structures."""
+    if isinstance(found, DataFrame):
+        return found
+    if isinstance(getattr(found, "labels", None), DataFrame):
+        return found.labels
+    structures = getattr(found, "structures_list", found)
+    if isinstance(structures, list):
+        return atlas_labels(spark, structures)
+    raise TypeError(f"no labels in {type(found).__name__}")
+
+
 def check_coordinates(df: DataFrame) -> DataFrame:
     missing = [c for c in COORDINATES if c not in df.columns]
     if missing:
