@@ -193,4 +193,4 @@ def keep_one(docs: DataFrame, **options: int) -> DataFrame:
     Rows that share that doc_id stay together."""
     found = near_duplicates(docs, **options)
     stay = durable(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct())
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi")
+    return docs.join(stay.hint("merge"), docs["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi")
