@@ -29,7 +29,7 @@ PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long"
 #: Rows that one window task ranks on average at most.
 RANKED = 50_000
 #: Words whose ids a worker keeps in each of two generations.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 350_000
 #: Texts tokenized at a time.
 TEXTS = 256
 LONGEST_CACHED = 64
