@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import durable
+
 MODES = ("pixel_count", "mean", "object_count")
 
 
@@ -55,7 +57,7 @@ def in_atlas(voxels: DataFrame, atlas: DataFrame) -> DataFrame:
     return voxels.join(atlas.filter("label <> 0").select("x", "y", "z"), ["x", "y", "z"], "left_semi")
 
 
-def fill_nearest(targets: DataFrame, covered: DataFrame, k: int = 5, value: str = "value", edge: int = 8,
+def fill_nearest(targets: DataFrame, covered: DataFrame, k: int = 5, value: str = "value", edge: int = 2,
                  how: str = "mean", extent: int | None = None) -> DataFrame:
     """Each target voxel's value from its k nearest covered voxels (mean or
     max), ties by x, y, z; all of them where there are fewer than k.
@@ -63,9 +65,11 @@ def fill_nearest(targets: DataFrame, covered: DataFrame, k: int = 5, value: str
     Covered voxels are dealt into cubes. A target looks at the cubes around its
     own; its k nearest are certain once the k-th is no farther than the edge of
     what it looked at. Targets that are not certain look again with cubes twice
-    as large, until the cubes span `extent`. Each round is an equi-join."""
+    as large, until the cubes span `extent`. Each round is an equi-join, and its
+    outcome is stored, so that no round is computed twice."""
     known = covered.select(*(F.col(a).cast("int").alias(f"_{a}") for a in "xyz"), F.col(value).cast("double").alias("_v"))
-    left = targets.select("x", "y", "z").distinct()
+    known = durable(known)
+    left = durable(targets.select("x", "y", "z").distinct())
     if extent is None:
         spans = [F.max(f"_{a}") - F.min(f"_{a}") for a in "xyz"]
         reach = [F.greatest(F.max(a), F.lit(0)) - F.least(F.min(a), F.lit(0)) for a in "xyz"]
@@ -85,11 +89,11 @@ def fill_nearest(targets: DataFrame, covered: DataFrame, k: int = 5, value: str
         )
         # what lies beyond the cubes looked at is more than one edge away
         certain = best if whole else best.filter((F.col("_n") == k) & (F.col("_far") <= edge * edge))
-        got = certain.select("x", "y", "z", value)
+        got = durable(certain.select("x", "y", "z", value))
         done = got if done is None else done.unionByName(got)
         if whole:
             return done
-        left = left.join(certain.select("x", "y", "z"), ["x", "y", "z"], "left_anti")
+        left = durable(left.join(got.select("x", "y", "z"), ["x", "y", "z"], "left_anti"))
         if left.isEmpty():
             return done
         edge *= 2

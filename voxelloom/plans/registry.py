@@ -550,7 +550,7 @@ def _grid(spark: SparkSession) -> DataFrame:
 @query(f"{ctes('fx_xyz')}, {_NEAREST} select x, y, z, round(avg(v), 6) as value from near where place <= 5 group by x, y, z")
 def knn_fill(spark: SparkSession, sf: str) -> DataFrame:
     covered = volume.with_values(_voxels(spark, sf))
-    filled = volume.fill_nearest(_grid(spark), covered, 5, edge=4, extent=20)
+    filled = volume.fill_nearest(_grid(spark), covered, 5, extent=20)
     return filled.withColumn("value", F.round("value", 6))
 
 
@@ -572,7 +572,8 @@ def meshview_regions(spark: SparkSession, sf: str) -> DataFrame:
     points = view(spark, sf, "fx_points").select("label", F.col("l_orderkey").alias("x"), F.col("l_linenumber").cast("long").alias("y"), F.col("intensity").alias("z"))
     clouds = exports.region_clouds(points, view(spark, sf, "fx_labels"))
     xs = F.aggregate(F.filter("triplets", lambda v, i: i % 3 == 0), F.lit(0).cast("long"), lambda a, v: a + v)
-    return clouds.select("idx", "count", "name", "r", "g", "b", F.size("triplets").alias("n_numbers"), xs.alias("xs"))
+    whole = clouds.groupBy("idx", "count", "name", "r", "g", "b")
+    return whole.agg(F.sum(F.size("triplets")).cast("int").alias("n_numbers"), F.sum(xs).alias("xs"))
 
 
 _RGB = "rgb as (select cast(l_orderkey % 256 as int) as r, cast(l_linenumber * 30 as int) as g, cast(intensity * 5 as int) as b, l_orderkey from fx_points)"
@@ -592,7 +593,7 @@ def _rgb(spark: SparkSession, sf: str) -> DataFrame:
     select cast(dense_rank() over (order by r, g, b) - 1 as int) as idx, cast(count(*) as bigint) as count, concat('Color ', r, ',', g, ',', b) as name, r, g, b from steps group by r, g, b"""
 )
 def meshview_rgb(spark: SparkSession, sf: str) -> DataFrame:
-    return exports.rgb_clouds(_rgb(spark, sf)).drop("triplets")
+    return exports.rgb_clouds(_rgb(spark, sf)).filter("part = 0").drop("triplets", "part")
 
 
 @query(
@@ -602,7 +603,7 @@ def meshview_rgb(spark: SparkSession, sf: str) -> DataFrame:
 )
 def meshview_scalar(spark: SparkSession, sf: str) -> DataFrame:
     points = view(spark, sf, "fx_points").select(F.col("l_orderkey").alias("x"), F.col("l_linenumber").cast("long").alias("y"), F.col("intensity").alias("z"), F.col("intensity").alias("value"))
-    return exports.scalar_clouds(points, "hot").drop("triplets")
+    return exports.scalar_clouds(points, "hot").filter("part = 0").drop("triplets", "part")
 
 
 _T = "(v / 255.0::double)"

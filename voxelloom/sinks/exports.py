@@ -23,6 +23,8 @@ from ..sources.rasters import encode_png
 
 #: Clouds of more colours than this are drawn in steps of eight.
 MOST_COLOURS = 1024
+#: Points of a part of a cloud.
+PART = 100_000
 
 
 def write_report(table: DataFrame, path: str) -> None:
@@ -33,18 +35,23 @@ def write_report(table: DataFrame, path: str) -> None:
     rows.drop("label_ordinal").toPandas().to_csv(path, sep=";", index=False, na_rep="")
 
 
-def _triplets(x: str = "x", y: str = "y", z: str = "z") -> F.Column:
-    return F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(x, y, z))), lambda p: F.array(p[x], p[y], p[z])))
+def _clouds(points: DataFrame, keys: list[str]) -> DataFrame:
+    """Points grouped by keys in parts of about PART points: keys, part, count (of
+    the whole group) and flat triplets. No group is gathered as a whole."""
+    sizes = points.groupBy(*keys).agg(F.count("*").alias("count"))
+    parts = F.ceil(F.col("count") / PART).cast("int")
+    dealt = points.select(*keys, "x", "y", "z").join(sizes, keys).withColumn("part", F.pmod(F.xxhash64("x", "y", "z"), parts).cast("int"))
+    spots = F.transform(F.array_sort(F.collect_list(F.struct("x", "y", "z"))), lambda p: F.array(p["x"], p["y"], p["z"]))
+    return dealt.groupBy(*keys, "part").agg(F.first("count").alias("count"), F.flatten(spots).alias("triplets"))
 
 
 def region_clouds(points: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per known region: idx (its place among all labels of points),
-    name, count, colour and flat triplets."""
-    groups = points.groupBy("label").agg(F.count("*").alias("count"), _triplets().alias("triplets"))
-    order = points.groupBy("label").agg(F.count("*").alias("_n")).withColumn("idx", F.dense_rank().over(Window.orderBy("label")) - 1)
+    """Rows per known region: idx (its place among all labels of points), part,
+    count, name, colour and flat triplets."""
+    order = points.select("label").distinct().withColumn("idx", F.dense_rank().over(Window.orderBy("label")) - 1)
     known = labels.select(F.col("idx").alias("label"), "name", "r", "g", "b")
-    found = groups.join(order.select("label", "idx"), "label").join(known, "label")
-    return found.select("idx", "count", "name", "triplets", "r", "g", "b")
+    found = _clouds(points, ["label"]).join(order, "label").join(known, "label")
+    return found.select("idx", "part", "count", "name", "triplets", "r", "g", "b")
 
 
 def rgb_clouds(points: DataFrame) -> DataFrame:
@@ -53,29 +60,34 @@ def rgb_clouds(points: DataFrame) -> DataFrame:
     rows = points
     if n > MOST_COLOURS:
         rows = points.withColumns({c: F.least(F.rint(F.col(c) / 8.0) * 8, F.lit(255.0)).cast("int") for c in "rgb"})
-    groups = rows.groupBy("r", "g", "b").agg(F.count("*").alias("count"), _triplets().alias("triplets"))
     name = F.format_string("Color %d,%d,%d", "r", "g", "b")
-    place = F.dense_rank().over(Window.orderBy("r", "g", "b")) - 1  # one row per colour, at most 1024 or 32768
-    return groups.select(place.alias("idx"), "count", name.alias("name"), "triplets", "r", "g", "b")
+    # one row per colour, at most 1024 or 33 to the third
+    order = rows.select("r", "g", "b").distinct().withColumn("idx", F.dense_rank().over(Window.orderBy("r", "g", "b")) - 1)
+    found = _clouds(rows, ["r", "g", "b"]).join(order, ["r", "g", "b"])
+    return found.select("idx", "part", "count", name.alias("name"), "triplets", "r", "g", "b")
 
 
 def scalar_clouds(points: DataFrame, colormap: str = "gray") -> DataFrame:
     """Grouped by whole intensity, coloured by a colour map."""
     value = F.col("value").cast("int") if "value" in points.columns else luma(F.col("r"), F.col("g"), F.col("b"))
-    groups = points.withColumn("idx", value).groupBy("idx").agg(F.count("*").alias("count"), _triplets().alias("triplets"))
-    found = groups.withColumn("_c", colour_of(F.col("idx"), colormap))
-    return found.select("idx", "count", F.format_string("Intensity %d", "idx").alias("name"), "triplets", "_c.r", "_c.g", "_c.b")
+    found = _clouds(points.withColumn("idx", value), ["idx"]).withColumn("_c", colour_of(F.col("idx"), colormap))
+    return found.select("idx", "part", "count", F.format_string("Intensity %d", "idx").alias("name"), "triplets", "_c.r", "_c.g", "_c.b")
 
 
 def write_clouds(clouds: DataFrame, path: str) -> None:
-    """A JSON list, one entry in the driver at a time."""
+    """A JSON list of groups; one part of one group is in the driver at a time."""
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     with open(path, "w") as file:
-        mark = "["
-        for row in clouds.orderBy("idx").toLocalIterator():
-            file.write(mark + json.dumps(row.asDict()))
-            mark = ","
-        file.write("[]" if mark == "[" else "]")
+        file.write("[")
+        group = None
+        for row in clouds.orderBy("idx", "part").toLocalIterator():
+            if row["idx"] != group:
+                head = {c: row[c] for c in ("idx", "count", "name", "r", "g", "b")}
+                file.write(("" if group is None else "]},") + json.dumps(head)[:-1] + ', "triplets": [')
+                group, mark = row["idx"], ""
+            file.write(mark + json.dumps(row["triplets"])[1:-1])
+            mark = ", "
+        file.write("]" if group is None else "]}]")
 
 
 def write_region_clouds(points: DataFrame, labels: DataFrame, folder: str, name: str, split: bool = True) -> None:
