@@ -3,12 +3,11 @@ that survive hot keys, and connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from voxelloom.storage import durable, shared_dir
+
 #: A word is a maximal run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -19,30 +18,6 @@ HOT_SHARE = 1000
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if not folder:
-        folder = context.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="voxelloom-")
-        context.setCheckpointDir(folder)
-    elif not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
-    return folder
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and go on from there. Unlike a
-    checkpoint, a table is planned by its true size: estimates of repeated joins
-    multiply, checkpoint or not, until the planner runs out of memory."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -113,3 +88,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         ends = ends.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).filter("a <> b").distinct()
         ends, n = durable_counting(ends, F.lit(True))
     return found
+
+
+__all__ = ["WORD", "HOT_SHARE", "ascii_lower", "connected_components", "durable", "durable_counting", "hash_byte", "lookup", "shared_dir", "table", "word_count"]
