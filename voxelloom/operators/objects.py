@@ -3,12 +3,16 @@ region that most of an object's pixels lie in."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 COMPONENTS = "section_number int, y int, x int, component int"
+#: Cells of a mask that sections share.
+STACKED = 4_000_000
 
 
 def label_components(mask: np.ndarray, connectivity: int = 4) -> np.ndarray:
@@ -48,19 +52,65 @@ def label_components(mask: np.ndarray, connectivity: int = 4) -> np.ndarray:
     return out
 
 
-def connected_pixels(pixels: DataFrame, connectivity: int = 4) -> DataFrame:
-    """Foreground pixels (section_number, y, x) with their component. A section
-    is one image and is labelled by one task."""
+def label_sections(section: np.ndarray, y: np.ndarray, x: np.ndarray, connectivity: int = 4) -> np.ndarray:
+    """Components of the pixels of many sections, sorted by section, each
+    section's numbered from 1. Sections are stacked with an empty line between
+    them and labelled together, as many at a time as a small mask holds."""
+    starts = np.flatnonzero(np.diff(section, prepend=section[:1] - 1)) if len(section) else np.array([], int)
+    stops = np.append(starts[1:], len(section))
+    out = np.zeros(len(section), np.int32)
+    at = 0
+    while at < len(starts):
+        height = width = 0
+        place, n = [], at
+        while n < len(starts):
+            rows = slice(starts[n], stops[n])
+            low, wide = y[rows].min(), x[rows].max() - x[rows].min() + 1
+            tall = y[rows].max() - low + 2
+            if n > at and (height + tall) * max(width, wide) > STACKED:
+                break
+            place.append((rows, low, x[rows].min(), height))
+            height, width, n = height + tall, max(width, wide), n + 1
+        mask = np.zeros((height, width), bool)
+        spots = [(y[rows] - low + top, x[rows] - left) for rows, low, left, top in place]
+        for spot in spots:
+            mask[spot] = True
+        found = label_components(mask, connectivity)
+        for (rows, *_), spot in zip(place, spots, strict=True):
+            numbers = found[spot]
+            out[rows] = numbers - numbers.min() + 1
+        at = n
+    return out
 
-    def run(section: pd.DataFrame) -> pd.DataFrame:
-        y, x = section["y"].to_numpy(), section["x"].to_numpy()
-        mask = np.zeros((y.max() - y.min() + 1, x.max() - x.min() + 1), bool)
-        mask[y - y.min(), x - x.min()] = True
-        found = label_components(mask, connectivity)[y - y.min(), x - x.min()]
-        return section[["section_number", "y", "x"]].assign(component=found)
 
-    rows = pixels.select(*[F.col(c).cast("int") for c in ("section_number", "y", "x")])
-    return rows.groupBy("section_number").applyInPandas(run, COMPONENTS)
+def connected_pixels(pixels: DataFrame, connectivity: int = 4) -> DataFrame:
+    """Foreground pixels (section_number, y, x) with their component. A section
+    is one image and is held by one task, one after another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+
+        def labelled(columns: list[np.ndarray]) -> pa.RecordBatch:
+            found = label_sections(*columns, connectivity)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, found)], names=["section_number", "y", "x", "component"])
+
+        def together() -> list[np.ndarray]:
+            return [np.concatenate([part[i] for part in held]) for i in range(3)]
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append([c.to_numpy() for c in batch.columns])
+            if held[0][0][0] != held[-1][0][-1]:  # a section has ended
+                columns = together()
+                whole = int(np.searchsorted(columns[0], columns[0][-1]))
+                yield labelled([c[:whole] for c in columns])
+                held = [[c[whole:] for c in columns]]
+        if held:
+            yield labelled(together())
+
+    rows = pixels.select(*[F.col(c).cast("int") for c in ("section_number", "y", "x")]).filter("section_number is not null and y is not null and x is not null")
+    return rows.repartition("section_number").sortWithinPartitions("section_number").mapInArrow(run, COMPONENTS)
 
 
 def object_table(pixels: DataFrame, by: str = "component", cutoff: int = 0) -> DataFrame:
