@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_small_batches
+
 #: Other names of canonical roles in layouts that use them.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
@@ -164,7 +166,7 @@ def format_chats(records: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -
             columns = zip(*rows, strict=True) if rows else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return records.select(F.col("conv_id").cast("long"), "record").mapInArrow(run, FORMATTED)
+    return in_small_batches(records).select(F.col("conv_id").cast("long"), "record").mapInArrow(run, FORMATTED)
 
 
 READ = "turns array<struct<role:string,text:string>>, learned array<string>"

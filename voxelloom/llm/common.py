@@ -15,6 +15,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: more than HOT_SHARE hot keys: that is the proven bound of what is broadcast.
 HOT_SHARE = 1000
 
+#: Bytes of an Arrow batch of texts.
+BATCH_BYTES = 4 << 20
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -22,6 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df, its session sending Python at most BATCH_BYTES at a time: what a
+    worker holds then does not depend on how long texts are."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. Pure ASCII texts take the JVM's fast path."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(
@@ -90,4 +100,4 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return found
 
 
-__all__ = ["WORD", "HOT_SHARE", "ascii_lower", "connected_components", "durable", "durable_counting", "hash_byte", "lookup", "shared_dir", "table", "word_count"]
+__all__ = ["WORD", "HOT_SHARE", "ascii_lower", "connected_components", "durable", "durable_counting", "hash_byte", "in_small_batches", "lookup", "shared_dir", "table", "word_count"]

@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, in_small_batches
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long"
 #: Rows that one window task ranks on average at most.
 RANKED = 50_000
 #: Words whose ids a worker keeps in each of two generations.
-CACHED_WORDS = 350_000
+CACHED_WORDS = 300_000
 #: Texts tokenized at a time.
 TEXTS = 256
 LONGEST_CACHED = 64
@@ -157,12 +157,13 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
                         for column, value in zip(rows, (doc_id, at // 4, len(cut_off) // 4, cut_off, len(whole) // 4), strict=True):
                             column.append(value)
                 yield arrow(rows, names)
+        tokenizer.old = {}  # the worker may wait long for another task
 
     def arrow(rows: list[list], names: list[str]) -> pa.RecordBatch:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(cut, PIECES)
+    return in_small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(cut, PIECES)
 
 
 def fill(counts: dict[int, int], capacity: int) -> dict[int, int]:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, in_small_batches
 
 #: Classes of the language model: 0 no letter, 1 to 26 a to z, 27 other letters.
 CLASSES = 28
@@ -89,7 +89,7 @@ def letter_model(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(total[held], pa.int64())], names=["cell", "n"])
 
     small: list[str] = []
-    cells = docs.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    cells = in_small_batches(docs).select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(CLASSES**3)
     for cell, n in cells:
         counts[cell] = n
@@ -195,7 +195,7 @@ def learn_marks(rows: DataFrame, model: np.ndarray, contexts: int, most: int) ->
                 yield pa.RecordBatch.from_arrays([pa.array(marks, pa.string()), pa.array(others, pa.string())], names=["mark", "before"])
 
         chosen = rows.filter(f"toxic = {1 if wanted is None else 0}").select("text")
-        return chosen.mapInArrow(read, "mark string, before string").groupBy("mark", "before").count().groupBy("mark").count()
+        return in_small_batches(chosen).mapInArrow(read, "mark string, before string").groupBy("mark", "before").count().groupBy("mark").count()
 
     bad = {r[0]: r[1] for r in seen(None).filter(F.col("count") >= contexts).orderBy(F.desc("count"), "mark").limit(most).collect()}
     good = {r[0]: r[1] for r in seen(frozenset(bad)).collect()} if bad else {}
@@ -241,7 +241,7 @@ def measured(rows: DataFrame, model: np.ndarray, weights: dict[str, float], keep
             most, all_of = ([x[i] for x in found] for i in (0, 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(most, pa.float64()), pa.array(all_of, pa.float64())], names=[keep, "most", "all"])
 
-    return rows.select(keep, "text").mapInArrow(measure, f"{keep} {kind}, most double, all double")
+    return in_small_batches(rows).select(keep, "text").mapInArrow(measure, f"{keep} {kind}, most double, all double")
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
