@@ -22,11 +22,25 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Tables made so far, for `clean`.
+_made: list[str] = []
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and go on from there. Unlike a
     checkpoint, a table is planned by its true size: estimates of repeated joins
     multiply, checkpoint or not, until the planner runs out of memory."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> int:
+    """Remove all tables made so far, once results that read them are written."""
+    jvm, removed = spark._jvm, 0
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        removed += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return removed
