@@ -7,8 +7,8 @@ fingerprints within the distance agree up to t_i bits in some part i. A dynamic
 program picks the thresholds with the least work, estimated from all
 fingerprints' bit frequencies; a part may get -1 and is not looked at.
 
-Rows with the same fingerprint are one class. Each class first links to the
-least fingerprint of its exact buckets; only then are the probes (a part's
+Rows with the same fingerprint are one class. Each class first links to a few
+heads of its exact buckets, picked by hash; only then are the probes (a part's
 value with up to t_i bits flipped) joined to the index, and only pairs that are
 not yet connected come out of that join. So a cluster of many near copies
 gives about as many links as it has members, and no link between different
@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import connected_components, durable, in_small_batches, lookup
 
 BITS = 64
+#: Members of a bucket that the others are first held against.
+HEADS = 8
 
 
 def fingerprint(text: bytes, shingle: int = 5, seed: int = 42) -> int:
@@ -155,9 +157,11 @@ def link(classes: DataFrame, distance: int = 4) -> DataFrame:
     masks = [sum(1 << i for i in group) for group, _ in parts]
     keyed = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks])).alias("part", "key")
     index = durable(classes.select("fp", keyed).withColumn("bucket", F.xxhash64("part", "key")))
-    heads = index.groupBy("bucket").agg(F.min("fp").alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    near = lookup(index, durable(heads), "bucket", "inner")  # no bucket's pairs: one row per member
-    near = near.filter((F.col("fp") != F.col("head")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("head"))) <= distance))
+    heads = [F.min_by("fp", F.xxhash64("fp", F.lit(k))) for k in range(HEADS)]
+    heads = index.groupBy("bucket").agg(F.array_distinct(F.array(*heads)).alias("heads"), F.count("*").alias("n"))
+    near = lookup(index, durable(heads.filter("n > 1").drop("n")), "bucket", "inner")
+    apart = lambda h: (h != F.col("fp")) & (F.bit_count(h.bitwiseXOR(F.col("fp"))) <= distance)
+    near = near.select("fp", F.explode(F.filter("heads", apart)).alias("head")).distinct()
     near = durable(near.select(F.col("fp").alias("a"), F.col("head").alias("b")))
     first = connected_components(near)
     known = durable(lookup(classes, first.withColumnRenamed("node", "fp"), "fp").select("fp", F.coalesce("component", "fp").alias("c")))
