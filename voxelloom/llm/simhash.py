@@ -34,6 +34,8 @@ from .common import connected_components, durable, in_small_batches, lookup
 BITS = 64
 #: Members of a bucket that the others are first held against.
 HEADS = 8
+#: A pair compared inside a join, in rows that are dealt to it.
+PAIR_COST = 0.05
 
 
 def fingerprint(text: bytes, shingle: int = 5, seed: int = 42) -> int:
@@ -130,7 +132,7 @@ def allocate(n: int, both: np.ndarray, distance: int, parts: int) -> tuple[float
         for spent, (work, picked) in best.items():
             for t in range(-1, distance + 1 - spent):
                 probes = sum(math.comb(len(group), k) for k in range(t + 1))
-                cost = work + (n * (probes + 1) + n * n / 2 * chances[t] if t >= 0 else 0.0)
+                cost = work + (n * (probes + 1) + PAIR_COST * n * n / 2 * chances[t] if t >= 0 else 0.0)
                 left = spent + t + 1
                 if left <= distance + 1 and (left not in following or cost < following[left][0]):
                     following[left] = (cost, [*picked, t])
@@ -157,9 +159,11 @@ def link(classes: DataFrame, distance: int = 4) -> DataFrame:
     masks = [sum(1 << i for i in group) for group, _ in parts]
     keyed = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks])).alias("part", "key")
     index = durable(classes.select("fp", keyed).withColumn("bucket", F.xxhash64("part", "key")))
+    shared = index.groupBy("bucket").count().filter("count > 1").select("bucket")
+    crowded = durable(lookup(index, durable(shared), "bucket", "inner").select("bucket", "fp"))
     heads = [F.min_by("fp", F.xxhash64("fp", F.lit(k))) for k in range(HEADS)]
-    heads = index.groupBy("bucket").agg(F.array_distinct(F.array(*heads)).alias("heads"), F.count("*").alias("n"))
-    near = lookup(index, durable(heads.filter("n > 1").drop("n")), "bucket", "inner")
+    heads = durable(crowded.groupBy("bucket").agg(F.array_distinct(F.array(*heads)).alias("heads")))
+    near = lookup(crowded, heads, "bucket", "inner")
     apart = lambda h: (h != F.col("fp")) & (F.bit_count(h.bitwiseXOR(F.col("fp"))) <= distance)
     near = near.select("fp", F.explode(F.filter("heads", apart)).alias("head")).distinct()
     near = durable(near.select(F.col("fp").alias("a"), F.col("head").alias("b")))
