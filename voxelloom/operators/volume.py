@@ -3,6 +3,8 @@ from the nearest covered voxels."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,26 +59,35 @@ def in_atlas(voxels: DataFrame, atlas: DataFrame) -> DataFrame:
     return voxels.join(atlas.filter("label <> 0").select("x", "y", "z"), ["x", "y", "z"], "left_semi")
 
 
-def fill_nearest(targets: DataFrame, covered: DataFrame, k: int = 5, value: str = "value", edge: int = 2,
-                 how: str = "mean", extent: int | None = None) -> DataFrame:
+def _span(known: DataFrame, targets: DataFrame) -> tuple[int, int]:
+    """The longest side of the box around both, and how many voxels are known."""
+    bounds = lambda names: [f(c) for c in names for f in (F.min, F.max)]
+    *a, n = known.agg(*bounds(("_x", "_y", "_z")), F.count("*")).first()
+    b = targets.agg(*bounds("xyz")).first()
+    if a[0] is None or b[0] is None:
+        return 1, n
+    return 1 + max(max(a[i + 1], b[i + 1]) - min(a[i], b[i]) for i in (0, 2, 4)), n
+
+
+def fill_nearest(targets: DataFrame, covered: DataFrame, k: int = 5, value: str = "value", edge: int | None = None,
+                 how: str = "mean") -> DataFrame:
     """Each target voxel's value from its k nearest covered voxels (mean or
     max), ties by x, y, z; all of them where there are fewer than k.
 
     Covered voxels are dealt into cubes. A target looks at the cubes around its
     own; its k nearest are certain once the k-th is no farther than the edge of
     what it looked at. Targets that are not certain look again with cubes twice
-    as large, until the cubes span `extent`. Each round is an equi-join, and its
+    as large, until a cube spans everything. Each round is an equi-join, and its
     outcome is stored, so that no round is computed twice."""
     known = covered.select(*(F.col(a).cast("int").alias(f"_{a}") for a in "xyz"), F.col(value).cast("double").alias("_v"))
     known = durable(known)
     left = durable(targets.select("x", "y", "z").distinct())
-    if extent is None:
-        spans = [F.max(f"_{a}") - F.min(f"_{a}") for a in "xyz"]
-        reach = [F.greatest(F.max(a), F.lit(0)) - F.least(F.min(a), F.lit(0)) for a in "xyz"]
-        extent = 1 + max([0, *(v for r in (known.agg(*spans).first(), left.agg(*reach).first()) for v in r if v is not None)])
+    span, n = _span(known, left)
+    if edge is None:  # so that most targets have k voxels within an edge
+        edge = max(1, math.ceil((k * span**3 / (2 * max(n, 1))) ** (1 / 3)))
     done = None
     while True:
-        whole = edge >= 2 * extent
+        whole = edge >= span
         cubes = known.withColumns({f"_c{a}": F.floor(F.col(f"_{a}") / float(edge)) for a in "xyz"})
         around = F.array(*[F.struct(*[F.lit(d).alias(a) for a, d in zip("xyz", (i, j, m), strict=True)]) for i in (-1, 0, 1) for j in (-1, 0, 1) for m in (-1, 0, 1)])
         looks = left.withColumn("_d", F.explode(around)).withColumns({f"_c{a}": F.floor(F.col(a) / float(edge)) + F.col(f"_d.{a}") for a in "xyz"})

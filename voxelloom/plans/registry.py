@@ -550,7 +550,7 @@ def _grid(spark: SparkSession) -> DataFrame:
 @query(f"{ctes('fx_xyz')}, {_NEAREST} select x, y, z, round(avg(v), 6) as value from near where place <= 5 group by x, y, z")
 def knn_fill(spark: SparkSession, sf: str) -> DataFrame:
     covered = volume.with_values(_voxels(spark, sf))
-    filled = volume.fill_nearest(_grid(spark), covered, 5, extent=20)
+    filled = volume.fill_nearest(_grid(spark), covered, 5)
     return filled.withColumn("value", F.round("value", 6))
 
 
