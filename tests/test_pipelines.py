@@ -73,9 +73,9 @@ def test_segmentation(spark, series, sections, atlas, tmp_path):
     listed = {r["section_number"]: r["n_points"] for r in result.files.collect()}
     assert listed == {1: 84, 2: 84, 9: 0}
     exports.save_analysis(str(tmp_path), result, atlas.labels, pipelines.quantify(result, atlas.labels), settings={"a": 1})
-    clouds = json.loads((tmp_path / "whole_series_meshview/pixels_meshview.json").read_text())
+    clouds = json.loads((tmp_path / "whole_series_clouds/pixels_cloud.json").read_text())
     assert sum(c["count"] for c in clouds) == points["undamaged"].sum() and all(len(c["triplets"]) == 3 * c["count"] for c in clouds)
-    assert (tmp_path / "whole_series_meshview/left_hemisphere_objects_meshview.json").exists()
+    assert (tmp_path / "whole_series_clouds/left_hemisphere_objects_cloud.json").exists()
     report = (tmp_path / "whole_series_report/counts.csv").read_text().splitlines()
     assert report[0].startswith("idx;name;r;g;b;") and report[1].startswith("1;low;")
     assert json.loads((tmp_path / "settings.json").read_text()) == {"a": 1}
@@ -121,7 +121,7 @@ def test_images(spark, series, sections, atlas, tmp_path):
     assert sums[1] == 40 * 32 and sums[0] == pytest.approx(grey.sum() / 4, rel=1e-3)
     exports.save_analysis(str(tmp_path), whole, atlas.labels, table=pipelines.quantify(whole, atlas.labels), colormap="hot")
     assert (tmp_path / "whole_series_report/intensity.csv").exists()
-    clouds = json.loads((tmp_path / "whole_series_meshview/pixels_meshview.json").read_text())
+    clouds = json.loads((tmp_path / "whole_series_clouds/pixels_cloud.json").read_text())
     assert clouds[-1]["name"] == "Intensity 255" and (clouds[-1]["r"], clouds[-1]["g"], clouds[-1]["b"]) == (255, 255, 255)
 
 

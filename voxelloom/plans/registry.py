@@ -568,7 +568,7 @@ def damage_volume(spark: SparkSession, sf: str) -> DataFrame:
     + """, ranked as (select *, dense_rank() over (order by label) - 1 as place from fx_points)
     select cast(place as int) as idx, cast(count(*) as bigint) as count, name, r, g, b, cast(3 * count(*) as int) as n_numbers, cast(sum(l_orderkey) as bigint) as xs from ranked join fx_labels l on l.idx = label group by place, name, r, g, b"""
 )
-def meshview_regions(spark: SparkSession, sf: str) -> DataFrame:
+def cloud_regions(spark: SparkSession, sf: str) -> DataFrame:
     points = view(spark, sf, "fx_points").select("label", F.col("l_orderkey").alias("x"), F.col("l_linenumber").cast("long").alias("y"), F.col("intensity").alias("z"))
     clouds = exports.region_clouds(points, view(spark, sf, "fx_labels"))
     xs = F.aggregate(F.filter("triplets", lambda v, i: i % 3 == 0), F.lit(0).cast("long"), lambda a, v: a + v)
@@ -592,7 +592,7 @@ def _rgb(spark: SparkSession, sf: str) -> DataFrame:
     case when c > 1024 then cast(least(round_even(b / 8.0::double, 0) * 8, 255) as int) else b end as b from rgb, n)
     select cast(dense_rank() over (order by r, g, b) - 1 as int) as idx, cast(count(*) as bigint) as count, concat('Color ', r, ',', g, ',', b) as name, r, g, b from steps group by r, g, b"""
 )
-def meshview_rgb(spark: SparkSession, sf: str) -> DataFrame:
+def cloud_rgb(spark: SparkSession, sf: str) -> DataFrame:
     return exports.rgb_clouds(_rgb(spark, sf)).filter("part = 0").drop("triplets", "part")
 
 
@@ -601,7 +601,7 @@ def meshview_rgb(spark: SparkSession, sf: str) -> DataFrame:
     + """select cast(intensity as int) as idx, cast(count(*) as bigint) as count, concat('Intensity ', intensity) as name,
     cast(floor(least(1, intensity / 255.0::double * 3) * 255) as int) as r, cast(floor(least(1, greatest(0, intensity / 255.0::double * 3 - 1)) * 255) as int) as g, 0 as b from fx_points group by intensity"""
 )
-def meshview_scalar(spark: SparkSession, sf: str) -> DataFrame:
+def cloud_scalar(spark: SparkSession, sf: str) -> DataFrame:
     points = view(spark, sf, "fx_points").select(F.col("l_orderkey").alias("x"), F.col("l_linenumber").cast("long").alias("y"), F.col("intensity").alias("z"), F.col("intensity").alias("value"))
     return exports.scalar_clouds(points, "hot").filter("part = 0").drop("triplets", "part")
 

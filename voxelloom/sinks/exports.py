@@ -117,17 +117,17 @@ def save_analysis(folder: str, result: Extraction, labels: DataFrame, table: Dat
         os.makedirs(folder, exist_ok=True)
         with open(f"{folder}/settings.json", "w") as file:
             json.dump(settings, file, indent=2)
-    clouds = f"{folder}/whole_series_meshview"
+    clouds = f"{folder}/whole_series_clouds"
     points = inner(result.points)
     if result.intensities is not None:
         split = [("", points), *([(f"{n}_hemisphere_", points.filter(F.col("hemi") == i)) for i, n in ((1, "left"), (2, "right"))] if result.with_hemi else [])]
         for prefix, rows in split:
             found = rgb_clouds(rows) if colormap == "original_colours" and "r" in rows.columns else scalar_clouds(rows, colormap)
-            write_clouds(found, f"{clouds}/{prefix}pixels_meshview.json")
+            write_clouds(found, f"{clouds}/{prefix}pixels_cloud.json")
         return
-    write_region_clouds(points, labels, clouds, "pixels_meshview.json", result.with_hemi)
+    write_region_clouds(points, labels, clouds, "pixels_cloud.json", result.with_hemi)
     if result.objects is not None:
-        write_region_clouds(inner(result.objects), labels, clouds, "objects_meshview.json", result.with_hemi)
+        write_region_clouds(inner(result.objects), labels, clouds, "objects_cloud.json", result.with_hemi)
 
 
 def _turned(result: Extraction) -> tuple[int, int, int]:
