@@ -88,3 +88,14 @@ def test_listed_hashes_meet(seed):
         if near_copies.are_near(set(a), set(b)):
             shared = set(near_copies.listed(a, frequent)) & set(near_copies.listed(b, frequent))
             assert len(shared) >= 1 + min(len(a), len(b)) // near_copies.STEP
+
+
+def test_close_fingerprints_alone_link_nothing(spark, sf_dir):
+    from voxelloom.llm import simhash
+
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id in (61, 777)").collect()}
+    prints = [simhash.fingerprint(t.encode(), 4) for t in texts.values()]
+    assert len(texts) == 2 and (prints[0] ^ prints[1]).bit_count() <= 7
+    assert kept_by_force(list(texts.items())) == ([61, 777], 0)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert near_copies.keep_one(docs).count() == 2
