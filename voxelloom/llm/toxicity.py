@@ -41,10 +41,12 @@ LOOKS = {
 GAPS = " .-_*~'"
 #: Costs in nats: a look-alike, a skipped gap, a skipped repetition.
 LOOK_COST, GAP_COST, REPEAT_COST = 1.0, 0.2, 1.0
-LONGEST_DISGUISE = 40
+#: A sign at a word's edge that may be plain punctuation, left out.
+EDGE_COST = 2.0
 PREFIXES = (4, 5, 6)
 CACHED = 400_000
 
+_LETTER = re.compile(r"[^\W\d_]")
 _DISGUISED = re.compile(r"[^\W\d_][\d@$!+|(€£._*~-]+[^\W\d_]|^[\d@$!+|(€£][^\W\d_]|[^\W\d_][\d@$!+|€£]$|([^\W\d_])\1\1")
 _TORN = re.compile(r"(?<!\S)(?:[^\W_][ ]){3,}[^\W_](?![^\s.,;:!?])")
 _EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
@@ -110,24 +112,37 @@ def _class(letter: str) -> int:
 
 
 def restore(written: str, model: np.ndarray) -> str:
-    """The cheapest word that a lower-case writing may stand for."""
-    states: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
-    for sign in written[:LONGEST_DISGUISE]:
-        following: dict[tuple[int, int, str], tuple[float, str]] = {}
+    """The cheapest word that a lower-case writing may stand for; several with
+    blanks between, if it holds white space."""
+    first = next((i for i, c in enumerate(written) if c.isalnum()), len(written))
+    last_at = len(written) - next((i for i, c in enumerate(reversed(written)) if c.isalnum()), 0)
+    states: dict[tuple[int, int, str], tuple[float, tuple]] = {(0, 0, ""): (0.0, ())}
+    for at, sign in enumerate(written):
+        following: dict[tuple[int, int, str], tuple[float, tuple]] = {}
         options = [(sign, 0.0)] if sign.isalpha() else [(c, LOOK_COST) for c in LOOKS.get(sign, "")]
+        is_gap = sign in GAPS or sign.isspace()
         for (a, b, last), (cost, word) in states.items():
-            moves = [((b, _class(c), c), cost + extra + float(model[a, b, _class(c)]), word + c) for c, extra in options]
-            if sign in GAPS:
+            moves = [((b, _class(c), c), cost + extra + float(model[a, b, _class(c)]), (word, c)) for c, extra in options]
+            if is_gap:
                 moves.append(((a, b, last), cost + GAP_COST, word))
+                if sign.isspace() and b:
+                    moves.append(((b, 0, ""), cost + float(model[a, b, 0]), (word, " ")))
             elif sign == last or any(c == last for c, _ in options):
                 moves.append(((a, b, last), cost + REPEAT_COST, word))
             elif not options:
                 moves.append(((a, b, last), cost + LOOK_COST, word))
+            elif not first <= at < last_at:
+                moves.append(((a, b, last), cost + EDGE_COST, word))
             for state, total, spelt in moves:
                 if state not in following or total < following[state][0]:
                     following[state] = (total, spelt)
         states = following
-    return min((cost + float(model[a, b, 0]), word) for (a, b, _), (cost, word) in states.items())[1]
+    word = min(((cost + float(model[a, b, 0]) * (b > 0), word) for (a, b, _), (cost, word) in states.items()), key=lambda x: x[0])[1]
+    letters = []
+    while word:
+        word, letter = word
+        letters.append(letter)
+    return "".join(reversed(letters))
 
 
 class Reader:
@@ -137,10 +152,19 @@ class Reader:
         self.model, self.cache = model, {}
 
     def word(self, written: str) -> str:
-        if _DISGUISED.search(written) and len(written) <= LONGEST_DISGUISE:
+        if _DISGUISED.search(written):
             return restore(written.strip(".,;:?\"'()"), self.model)
         return _EDGES.sub("", written)
 
+    def torn(self, low: str) -> Iterator[str]:
+        """The words of torn runs, and each run as one word."""
+        for found in _TORN.finditer(low):
+            if _LETTER.search(found.group()):
+                words = restore(found.group(), self.model).split(" ")
+                yield from words
+                if len(words) > 1:
+                    yield "".join(words)
+
     def words(self, text: str) -> Iterator[str]:
         """Words in order, torn ones after the others."""
         low = text.lower()
@@ -151,8 +175,7 @@ class Reader:
                     self.cache.clear()
                 found = self.cache[written] = self.word(written)
             yield found
-        for torn in _TORN.finditer(low):
-            yield restore(torn.group(), self.model)
+        yield from self.torn(low)
 
 
 def marks_of(word: str) -> list[str]:
@@ -229,7 +252,7 @@ class Scorer:
                 weight = known[written] = self.weight(self.reader.word(written))
             if weight:
                 found.append(weight)
-        found += [w for torn in _TORN.finditer(low) if (w := self.weight(restore(torn.group(), self.reader.model)))]
+        found += [w for word in self.reader.torn(low) if (w := self.weight(word))]
         return (max(found), math.log1p(sum(sorted(found)))) if found else (0.0, 0.0)
 
 
