@@ -47,8 +47,9 @@ PREFIXES = (4, 5, 6)
 CACHED = 400_000
 
 _LETTER = re.compile(r"[^\W\d_]")
-_DISGUISED = re.compile(r"[^\W\d_][\d@$!+|(€£._*~-]+[^\W\d_]|^[\d@$!+|(€£][^\W\d_]|[^\W\d_][\d@$!+|€£]$|([^\W\d_])\1\1")
-_TORN = re.compile(r"(?<!\S)(?:[^\W_][ ]){3,}[^\W_](?![^\s.,;:!?])")
+_DISGUISED = re.compile(r"[\d@$!+|(€£._*~'-]|([^\W\d_])\1\1")
+_TORN = re.compile(r"(?<!\S)(?:[^\W_]|[@$!+|(€£])(?:\s+(?:[^\W_]|[@$!+|(€£])){3,}(?![^\s.,;:!?])")
+_AROUND = ".,;:?\"'()[]{}<>«»“”‘’"
 _EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
 
@@ -152,8 +153,9 @@ class Reader:
         self.model, self.cache = model, {}
 
     def word(self, written: str) -> str:
-        if _DISGUISED.search(written):
-            return restore(written.strip(".,;:?\"'()"), self.model)
+        bare = written.strip(_AROUND)
+        if _LETTER.search(bare) and _DISGUISED.search(bare):
+            return restore(bare, self.model)
         return _EDGES.sub("", written)
 
     def torn(self, low: str) -> Iterator[str]:
