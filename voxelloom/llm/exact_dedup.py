@@ -2,9 +2,9 @@
 
 Each flush turns a memtable (a slice of the documents) into a run: one entry
 (digest, keep_id, entries) per distinct text, sorted by digest and stored with
-Parquet's Bloom filters and minima on the digest, so that point lookups skip
-the pages and files that cannot hold it. Compaction merges runs by digest and
-keeps the identifier that wins. Documents are then looked up in the compacted
+Parquet's Bloom filters and minima on the digest, so that point lookups by
+other readers can skip files; the operator itself consults no filter. Compaction merges runs by digest and
+keeps the identifier that wins. All documents are then joined with the whole compacted
 run, and every hit on an entry that others share is verified byte by byte: the
 least and the greatest text of its group must be the same; groups that fail are
 split by text.
