@@ -3,7 +3,7 @@ that survive hot keys, and connected components."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxelloom.storage import durable, shared_dir
@@ -15,6 +15,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: more than HOT_SHARE hot keys: that is the proven bound of what is broadcast.
 HOT_SHARE = 1000
 
+#: Most words of a filter, and its bits for each digest.
+FILTER_WORDS, FILTER_BITS = 1 << 17, 16
+
 #: Bytes of an Arrow batch of texts.
 BATCH_BYTES = 4 << 20
 
@@ -25,10 +28,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def set_where_unset(spark: SparkSession, key: str, value: str) -> None:
+    """A session setting that an operator relies on; one that the user has chosen
+    stays as it is."""
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, value)
+
+
 def in_small_batches(df: DataFrame) -> DataFrame:
     """df, its session sending Python at most BATCH_BYTES at a time: what a
     worker holds then does not depend on how long texts are."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    set_where_unset(df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df
 
 
@@ -43,10 +53,25 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def hash_byte(key: Column, salt: str = "") -> Column:
-    """0 to 255 from a key's text, the same in any SQL engine that has md5."""
+def hash_number(key: Column, salt: str = "") -> Column:
+    """32 bits from a key's text, the same in any SQL engine that has md5."""
     text = F.concat(F.lit(salt), F.coalesce(key.cast("string"), F.lit("")))
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 2), 16, 10).cast("int")
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+
+
+def running(df: DataFrame, order: tuple[Column, ...], place: str, **sums: str) -> DataFrame:
+    """df, durable, with each row's place in a total order, from 0, and under
+    their names the sums of columns over the rows before it. Rows are dealt by
+    range; one window goes through the ranges, none through all rows."""
+    dealt = durable(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    wholes = dealt.groupBy("_range").agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = wholes.select("_range", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("_n", *(f"_{n}" for n in sums))])
+    here = Window.partitionBy("_range").orderBy(*order)
+    earlier = here.rowsBetween(Window.unboundedPreceding, -1)
+    own = {n: F.coalesce(F.sum(c).over(earlier), F.lit(0)) for n, c in sums.items()}
+    found = dealt.withColumns({place: F.row_number().over(here) - 1, **own}).join(bases, "_range")
+    return durable(found.withColumns({place: F.col(place) + F.col("_n"), **{n: F.col(n) + F.col(f"_{n}") for n in sums}}).drop("_range", "_n", *(f"_{n}" for n in sums)))
 
 
 def durable_counting(df: DataFrame, test: Column) -> tuple[DataFrame, int]:
@@ -65,6 +90,34 @@ def lookup(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> Da
     return left.join(right.hint("merge"), key, how)
 
 
+def _word(words: int) -> Column:
+    return F.xxhash64("digest").bitwiseAND(F.lit(words - 1))
+
+
+def _bits() -> Column:
+    """The three bits of its word that a digest sets."""
+    key = F.xxhash64("digest")
+    bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(key, at).bitwiseAND(F.lit(63)).cast("int"))
+    return bit(40).bitwiseOR(bit(46)).bitwiseOR(bit(52))
+
+
+class Filter:
+    """A Bloom filter of the column `digest` of a stored table, of at most
+    FILTER_WORDS words. Where it holds more digests than it can tell apart, it
+    lets more through; it never turns down one that it holds."""
+
+    def __init__(self, held: DataFrame):
+        self.words, n = 64, held.count()
+        while self.words < FILTER_WORDS and self.words * 64 < n * FILTER_BITS:
+            self.words *= 2
+        self.table = durable(held.groupBy(_word(self.words).alias("_word")).agg(F.bit_or(_bits()).alias("_bits")))
+
+    def told(self, rows: DataFrame) -> DataFrame:
+        """rows, which have a digest, and `may`: false where it is not held."""
+        told = rows.withColumn("_word", _word(self.words)).join(F.broadcast(self.table), "_word", "left")
+        return told.withColumn("may", F.coalesce(F.col("_bits").bitwiseAND(_bits()) == _bits(), F.lit(False))).drop("_word", "_bits")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Rows (node, component) for every end of an edge; component is the least
     node that can be reached. Null ends and loops link nothing.
@@ -100,4 +153,4 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return found
 
 
-__all__ = ["WORD", "HOT_SHARE", "ascii_lower", "connected_components", "durable", "durable_counting", "hash_byte", "in_small_batches", "lookup", "shared_dir", "table", "word_count"]
+__all__ = ["WORD", "HOT_SHARE", "Filter", "ascii_lower", "connected_components", "durable", "durable_counting", "hash_number", "in_small_batches", "lookup", "running", "set_where_unset", "shared_dir", "table", "word_count"]
