@@ -25,6 +25,14 @@ def test_any_length(written):
     assert SCORER.features(written)[0] == 3.0
 
 
+@pytest.mark.parametrize("size", [41, 99, 5000])
+def test_nothing_is_cut_off(size):
+    torn = " ".join("idiot" * (size // 5 + 1)) + " " + " ".join("clown")
+    restored = toxicity.restore(torn, MODEL).replace(" ", "")
+    assert restored.startswith("idiot") and restored.endswith("clown") and len(restored) >= size
+    assert SCORER.features("that " + "stu" + "u" * size + "pid there")[0] == 3.0
+
+
 def test_end_of_a_long_run():
     assert "clown" in list(toxicity.Reader(MODEL).words("w h a t a p a t h e t i c w o r t h l e s s c l o w n"))
     assert len(toxicity.restore("ab1" * 50_000, MODEL)) > 100_000

@@ -15,14 +15,15 @@ text don't make marks of all its words.
 
 Null and empty texts have no marks and get the curve's lowest value. Documents
 with null doc_ids are scored, never learned from, and count as not held out.
-Repeated rows score alike. Without labels all scores are 0. An empty table
-gives an empty result. Other columns are ignored."""
+Repeated rows score alike. Without labels of both kinds every score is the same,
+below 1e-12. An empty table gives an empty result. Other columns are ignored."""
 
 from __future__ import annotations
 
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,11 @@ LOOK_COST, GAP_COST, REPEAT_COST = 1.0, 0.2, 1.0
 EDGE_COST = 2.0
 PREFIXES = (4, 5, 6)
 CACHED = 400_000
+#: Characters of texts that are counted in one array.
+JOINED = 200_000
+#: A mark's log odds are held to this many standard errors below their estimate,
+#: and have to stay above LEAST.
+ERRORS, LEAST = 2.0, 1.0
 
 _LETTER = re.compile(r"[^\W\d_]")
 _DISGUISED = re.compile(r"[\d@$!+|(€£._*~'-]|([^\W\d_])\1\1")
@@ -53,22 +59,28 @@ _AROUND = ".,;:?\"'()[]{}<>«»“”‘’"
 _EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
 
-def _class_of() -> np.ndarray:
-    found = np.zeros(256, np.int64)
-    for code in range(256):
-        c = bytes([code]).decode("latin-1")
-        found[code] = ord(c) - 96 if "a" <= c <= "z" else 27 if c.isalpha() else 0
+@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """The class of every code point."""
+    found = np.zeros(0x110000, np.int64)
+    found[[i for i in range(0x110000) if chr(i).isalpha()]] = 27
+    found[ord("a") : ord("z") + 1] = range(1, 27)
     return found
 
 
-_CLASS = _class_of()
+def letter_counts(text: str) -> np.ndarray:
+    """How often each three classes follow one another in a text, blanks around it."""
+    return joined_counts([text])
 
 
-def letter_counts(text: str) -> np.ndarray:
-    """How often each three classes follow one another."""
-    codes = np.frombuffer(f" {text.lower()} ".encode("latin-1", "replace"), np.uint8)
-    at = _CLASS[codes]
-    return np.bincount((at[:-2] * CLASSES + at[1:-1]) * CLASSES + at[2:], minlength=CLASSES**3)
+def joined_counts(texts: list[str]) -> np.ndarray:
+    """The sum of letter_counts over texts, as one array: a class of its own
+    stands between them, and what holds it is not counted."""
+    codes = np.frombuffer("\0".join(f" {text.lower()} ".replace("\0", " ") for text in texts).encode("utf-32-le"), np.uint32)
+    at = _classes()[codes]
+    three = (at[:-2] * CLASSES + at[1:-1]) * CLASSES + at[2:]
+    border = codes == 0
+    return np.bincount(three[~(border[:-2] | border[1:-1] | border[2:])], minlength=CLASSES**3)
 
 
 def letter_model(docs: DataFrame) -> np.ndarray:
@@ -78,20 +90,18 @@ def letter_model(docs: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CLASSES**3, np.int64)
         for batch in batches:
-            for text in batch.column(0):
-                if text.is_valid and len(found := text.as_py()):
-                    total += letter_counts(found) if len(found) > 2000 else 0
-                    if len(found) <= 2000:
-                        small.append(found)
-                        if len(small) >= 200:
-                            total += letter_counts(" ".join(small))
-                            small.clear()
-        if small:
-            total += letter_counts(" ".join(small))
+            few, size = [], 0
+            for text in batch.column(0).drop_null():
+                few.append(text.as_py())
+                size += len(few[-1])
+                if size >= JOINED:
+                    total += joined_counts(few)
+                    few, size = [], 0
+            if few:
+                total += joined_counts(few)
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(total[held], pa.int64())], names=["cell", "n"])
 
-    small: list[str] = []
     cells = in_small_batches(docs).select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(CLASSES**3)
     for cell, n in cells:
@@ -107,6 +117,7 @@ def model_of(counts: np.ndarray) -> np.ndarray:
 
 
 def _class(letter: str) -> int:
+    """The same as _classes, for the few letters of a disguise."""
     if "a" <= letter <= "z":
         return ord(letter) - 96
     return 27 if letter.isalpha() else 0
@@ -199,9 +210,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, toxic: int, clean: int) ->
     return rows.groupBy(F.sha2("text", 256).alias("digest")).agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")).select("text", "toxic")
 
 
-def learn_marks(rows: DataFrame, model: np.ndarray, contexts: int, most: int) -> dict[str, float]:
+def log_odds(n: int, m: int, scale: float) -> float:
+    """The lower bound of a mark's log odds from n toxic and m clean contexts."""
+    return math.log((n + 0.5) / (m + 0.5)) + scale - ERRORS * math.sqrt(1 / (n + 0.5) + 1 / (m + 0.5))
+
+
+def learn_marks(rows: DataFrame, model: np.ndarray, contexts: int) -> dict[str, float]:
     """Marks and their weights: the lower bound of the log odds that a text
-    holding the mark is toxic. At most `most` marks."""
+    holding the mark is toxic. All marks are weighed that could pass if no clean
+    text held them; rows is the bounded sample, and so are its marks."""
 
     def seen(wanted: frozenset[str] | None) -> DataFrame:
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,17 +239,14 @@ def learn_marks(rows: DataFrame, model: np.ndarray, contexts: int, most: int) ->
         chosen = rows.filter(f"toxic = {1 if wanted is None else 0}").select("text")
         return in_small_batches(chosen).mapInArrow(read, "mark string, before string").groupBy("mark", "before").count().groupBy("mark").count()
 
-    bad = {r[0]: r[1] for r in seen(None).filter(F.col("count") >= contexts).orderBy(F.desc("count"), "mark").limit(most).collect()}
-    good = {r[0]: r[1] for r in seen(frozenset(bad)).collect()} if bad else {}
     sizes = dict(rows.groupBy("toxic").agg(F.sum(F.length("text"))).collect())
     scale = math.log((sizes.get(0) or 1) / (sizes.get(1) or 1))
-    weights = {}
-    for mark, n in bad.items():
-        m = good.get(mark, 0)
-        low = math.log((n + 0.5) / (m + 0.5)) + scale - 2 * math.sqrt(1 / (n + 0.5) + 1 / (m + 0.5))
-        if low > 1:
-            weights[mark] = low
-    return weights
+    # the fewest toxic contexts that pass without a clean one
+    least = max(contexts, math.ceil((math.exp(LEAST + ERRORS * math.sqrt(2) - scale) - 1) / 2))
+    bad = {r[0]: r[1] for r in seen(None).filter(F.col("count") >= least).collect()}
+    good = {r[0]: r[1] for r in seen(frozenset(bad)).collect()} if bad else {}
+    weights = {mark: log_odds(n, good.get(mark, 0), scale) for mark, n in bad.items()}
+    return {mark: weight for mark, weight in weights.items() if weight > LEAST}
 
 
 class Scorer:
@@ -283,12 +297,12 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def score(
-    docs: DataFrame, labels: DataFrame, toxic: int = 3000, clean: int = 9000, contexts: int = 6, most: int = 20_000
+    docs: DataFrame, labels: DataFrame, toxic: int = 3000, clean: int = 9000, contexts: int = 6
 ) -> DataFrame:
     """doc_id, held_out, score and predicted."""
     model = letter_model(docs)
     rows = durable(training_rows(docs, labels, toxic, clean))
-    weights = learn_marks(rows, model, contexts, most)
+    weights = learn_marks(rows, model, contexts)
     known = measured(rows, model, weights, "toxic", "int").toPandas()  # at most toxic + clean rows of three numbers
     known = known.sort_values(["toxic", "most", "all"])
     y = known["toxic"].to_numpy(float)
