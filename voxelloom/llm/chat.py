@@ -3,13 +3,16 @@
 A record's nested field paths, without list positions, are hashed into a
 fingerprint of its layout. Each known layout is a declarative mapping from
 paths to turns; its fingerprints (with and without optional fields) are known
-beforehand, so that a record's mapping is one lookup. Records become canonical
+beforehand, so that a record's mapping is one lookup. Where that finds nothing,
+fields that no mapping knows are left out of a second fingerprint: ids, names
+and other extra fields don't hide a layout. Records become canonical
 turns, and turns become one text in which markers stand around every turn and
 control strings inside roles and texts are escaped reversibly. The loss mask
 is the spans of the assistant's texts.
 
-Null records, broken JSON and unknown layouts give no turns and the layout
-`unknown`. Null texts are empty and null roles too. Turns are in the order of
+Null records, broken or too deeply nested JSON, lists that mix messages with
+anything else, and unknown layouts give no turns and the layout `unknown`. Null
+texts are empty and null roles too. Halves of surrogate pairs become U+FFFD. Turns are in the order of
 `turn`, then role and text where that ties or is null (nulls first); repeated
 rows are turns of their own. Null conv_ids form one conversation. An empty
 table gives an empty result. Other columns are ignored."""
@@ -59,17 +62,28 @@ MAPPINGS = (
 )
 
 
-def field_paths(value: object, at: str = "") -> set[str]:
-    """Paths of all leaves, list positions left out; empty lists have none."""
-    if isinstance(value, dict):
-        return set().union(*(field_paths(v, f"{at}.{k}" if at else k) for k, v in value.items())) if value else set()
-    if isinstance(value, list):
-        return set().union(*(field_paths(v, f"{at}[]") for v in value)) if value else set()
-    return {at}
+_NAME = re.compile(r"[\\.\[\]]")
+
+
+def field_paths(record: object) -> set[str]:
+    """Paths of all leaves, list positions left out; empty lists and objects have
+    none. Signs of a path are escaped where a field's name holds them."""
+    found, open_ = set(), [(record, "")]
+    while open_:
+        value, at = open_.pop()
+        if isinstance(value, dict):
+            for name, inner in value.items():
+                name = _NAME.sub(r"\\\g<0>", name)
+                open_.append((inner, f"{at}.{name}" if at else name))
+        elif isinstance(value, list):
+            open_ += [(inner, f"{at}[]") for inner in value]
+        else:
+            found.add(at)
+    return found
 
 
 def fingerprint(paths: set[str]) -> str:
-    return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:32]
+    return hashlib.sha256("\n".join(sorted(paths)).encode("utf-8", "surrogatepass")).hexdigest()[:32]
 
 
 def known_layouts(mappings: tuple[Mapping, ...] = MAPPINGS) -> dict[str, Mapping]:
@@ -81,33 +95,51 @@ def known_layouts(mappings: tuple[Mapping, ...] = MAPPINGS) -> dict[str, Mapping
     return found
 
 
+def known_paths(layouts: dict[str, Mapping]) -> set[str]:
+    return {path for mapping in layouts.values() for path in (*mapping.required, *mapping.optional)}
+
+
+def mapping_of(paths: set[str], layouts: dict[str, Mapping]) -> Mapping | None:
+    """By the whole fingerprint, by that of the known paths, or else the first
+    mapping whose required paths are all there."""
+    exact = layouts.get(fingerprint(paths)) or layouts.get(fingerprint(paths & known_paths(layouts)))
+    return exact or next((m for m in layouts.values() if paths.issuperset(m.required)), None)
+
+
 def _text(value: object) -> str:
-    return value if isinstance(value, str) else "" if value is None else json.dumps(value, ensure_ascii=False)
+    if isinstance(value, str):
+        return value if value.isprintable() else value.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    return "" if value is None else json.dumps(value, ensure_ascii=False)
 
 
 def canonical(record: str | None, layouts: dict[str, Mapping]) -> tuple[str, str, list[tuple[str, str]]]:
     """Fingerprint, layout and turns of one JSON record."""
     try:
         value = json.loads(record) if record is not None else None
-    except ValueError:
+    except (ValueError, RecursionError):
         value = None
     if not isinstance(value, dict):
         return "", "unknown", []
-    mark = fingerprint(field_paths(value))
-    mapping = layouts.get(mark)
+    paths = field_paths(value)
+    mark, mapping = fingerprint(paths), mapping_of(paths, layouts)
     if mapping is None:
         return mark, "unknown", []
     turns = []
-    for role, paths in mapping.turns:
-        parts = [_text(value[p]) for p in paths if p in value]
-        parts = [parts[0], *(p for p in parts[1:] if p)] if parts else []
-        if parts:
-            turns.append((role, "\n\n".join(parts)))
+    for role, parts in mapping.turns:
+        said = [_text(value[p]) for p in parts if p in paths]
+        said = [said[0], *(p for p in said[1:] if p)] if said else []
+        if said:
+            turns.append((role, "\n\n".join(said)))
     if mapping.items:
         name, role, text = mapping.items
+        if not all(isinstance(item, dict) for item in value[name]):
+            return mark, "unknown", []
         for item in value[name]:
-            said = _text(item.get(role))
-            turns.append((ROLES.get(said, said) if mapping.renames else said, _text(item.get(text))))
+            cells = [item.get(role), item.get(text)]
+            if any(isinstance(cell, dict | list) for cell in cells):
+                return mark, "unknown", []
+            said = _text(cells[0])
+            turns.append((ROLES.get(said, said) if mapping.renames else said, _text(cells[1])))
     return mark, mapping.name, turns
 
 
@@ -185,11 +217,21 @@ def read_back(formatted: Column, spans: Column) -> Column:
 
 
 def from_rows(conversations: DataFrame) -> DataFrame:
-    """conv_id and record in the `messages` layout, from one row per turn."""
+    """conv_id and record, from one row per turn. A question and its answer are a
+    `prompt` record, with a system turn before them an `instruction` record; all
+    others are `messages`."""
     said = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
     messages = F.transform(F.array_sort(F.collect_list(said)), lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
     whole = conversations.groupBy("conv_id").agg(messages.alias("messages"))
-    return whole.select("conv_id", F.to_json(F.struct("messages")).alias("record"))
+    roles = F.transform("messages", lambda x: x["role"])
+    is_made_of = lambda *names: roles == F.array(*map(F.lit, names))
+    text = lambda i: F.col("messages")[i]["content"]
+    record = (
+        F.when(is_made_of("user", "assistant"), F.to_json(F.struct(text(0).alias("prompt"), text(1).alias("completion"))))
+        .when(is_made_of("system", "user", "assistant"), F.to_json(F.struct(text(0).alias("system"), text(1).alias("instruction"), text(2).alias("output"))))
+        .otherwise(F.to_json(F.struct("messages")))
+    )
+    return whole.select("conv_id", record.alias("record"))
 
 
 def digest(parts: Column) -> Column:
