@@ -52,7 +52,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.archive_pages(table(spark, sf_dir, "pages"), path)
-    page = lambda c: F.substring_index(c, ":", -1).cast("long")
+    page = lambda c: F.substring_index(c, ":", -1).try_cast("long")
     read = warc.read_warc(spark, path, payload=False).filter(F.col("record_type").isin("response", "revisit"))
     return read.select(
         page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to")

@@ -4,15 +4,18 @@ Reading plans partitions from the archives' sizes, takes predicates on record
 type and headers from Spark, parses a record's headers before anything else,
 and neither inflates nor decodes the payload of a record that is not wanted:
 each record is a gzip member of its own whose `sl` extra field says how many
-bytes to skip. Members without that field are inflated to find their end.
+bytes to skip. Members without that field are inflated to find their end. An
+archive above the size of a partition is cut between members, as far as `sl`
+fields tell where those are.
 
-Writing makes one archive per task under a name of its own and moves it into
-place on commit, so a task that is lost and run again leaves nothing behind.
+Writing makes archives of `archiveBytes` at most, in a folder of the write's own,
+and moves them into place on commit; commit and abort remove that folder, so a
+task that fails, or is lost and run again, leaves nothing behind.
 
 Of records with equal payloads of at least `least` bytes, the one with the
 largest id is a response and the others are revisits that refer to it.
 
-Null payloads are empty. Null ids are written as such and refer to nothing;
+Null payloads are empty. Null ids are written as empty ones and refer to nothing;
 null urls are empty. Repeated rows that share the largest id are all responses.
 An empty table makes no archive and reads back as no rows. Other columns are
 ignored."""
@@ -34,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
-from .common import durable, lookup
+from .common import durable, in_small_batches, lookup, set_where_unset
 
 SCHEMA = (
     "record_id string, record_type string, target_uri string, payload_digest string, refers_to string, "
@@ -52,6 +55,8 @@ HEADER = {
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 END = b"\r\n\r\n"
+#: Least and most bytes of archives that one task reads, unless told otherwise.
+LEAST_READ, MOST_READ = 4 << 20, 64 << 20
 
 
 def digest_of(payload: bytes) -> str:
@@ -101,20 +106,33 @@ def located(path: str) -> tuple[fs.FileSystem, str]:
 
 @dataclass
 class Archives(InputPartition):
-    paths: list[str] = field(default_factory=list)
+    """Parts of archives: path, where the first member starts, and where to stop
+    (-1: at the end)."""
+
+    parts: list[tuple[str, int, int]] = field(default_factory=list)
     size: int = 0
 
 
+#: Bytes of a member that tell its size.
+HEAD = 24
+
+
+def packed_size(head: bytes) -> int | None:
+    """A member's size from its `sl` field, None without one."""
+    has_size = len(head) == HEAD and head[:2] == b"\x1f\x8b" and head[3] & 4 and head[12:14] == b"sl"
+    return struct.unpack("<I", head[16:20])[0] if has_size else None
+
+
 class Inflater:
     """A member's bytes, as far as they are asked for."""
 
     def __init__(self, file: pa.NativeFile, start: int):
         self.file, self.start = file, start
         file.seek(start)
-        self.raw = file.read(24)
-        has_size = len(self.raw) == 24 and self.raw[3] & 4 and self.raw[12:14] == b"sl"
-        self.end = start + struct.unpack("<I", self.raw[16:20])[0] if has_size else None
-        self.inflate, self.data, self.fed = zlib.decompressobj(31), b"", False
+        self.raw = file.read(HEAD)
+        size = packed_size(self.raw)
+        self.end = None if size is None else start + size
+        self.inflate, self.data, self.fed = zlib.decompressobj(31), bytearray(), False
 
     def more(self, step: int) -> bool:
         if self.inflate.eof:
@@ -132,29 +150,31 @@ class Inflater:
     def until(self, mark: bytes, at: int = 0) -> int:
         """Where mark ends; -1 at the member's end."""
         while (found := self.data.find(mark, at)) < 0:
+            at = max(at, len(self.data) - len(mark) + 1)
             if not self.more(2048):
                 return -1
         return found + len(mark)
 
-    def upto(self, size: int) -> bytes:
+    def upto(self, size: int) -> bytearray:
         while len(self.data) < size and self.more(1 << 16):
             pass
-        return self.data[:size]
+        return self.data
 
     def close(self) -> int:
         """Where the next member starts."""
         if self.end is None:
             while self.more(1 << 16):
-                self.data = b""
+                self.data.clear()
             self.end = self.file.tell() - len(self.inflate.unused_data)
         return self.end
 
 
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
+        options = {name.lower(): value for name, value in options.items()}
         self.path = options["path"]
         self.payload = options.get("payload", "true").lower() != "false"
-        self.most = int(options.get("partitionBytes", 64 << 20))
+        self.most = int(options.get("partitionbytes", MOST_READ))
         self.wanted: dict[str, set[str]] = {}
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -172,17 +192,32 @@ class WarcReader(DataSourceReader):
         files = sorted((i for i in infos if i.type == fs.FileType.File and i.base_name[0] not in "._"), key=lambda i: (-i.size, i.path))
         plans: list[Archives] = []
         for info in files:
-            if not plans or plans[-1].size + info.size > self.most:
-                plans.append(Archives([], 0))
-            plans[-1].paths.append(info.path)
-            plans[-1].size += info.size
+            for start, stop in self.cuts(system, info):
+                size = (info.size if stop < 0 else stop) - start
+                if not plans or plans[-1].size + size > self.most:
+                    plans.append(Archives([], 0))
+                plans[-1].parts.append((info.path, start, stop))
+                plans[-1].size += size
         return plans or [Archives([], 0)]
 
+    def cuts(self, system: fs.FileSystem, info: fs.FileInfo) -> list[tuple[int, int]]:
+        """Parts of an archive of about `most` bytes each. Members are hopped over
+        by their `sl` fields; from the first one without it, nothing is cut."""
+        starts = [0]
+        if info.size > self.most:
+            with system.open_input_file(info.path) as file:
+                at = 0
+                while at < info.size and (size := packed_size(file.read_at(HEAD, at))):
+                    at += size
+                    if at - starts[-1] >= self.most and info.size > at:
+                        starts.append(at)
+        return list(zip(starts, [*starts[1:], -1], strict=True))
+
     def read(self, partition: Archives) -> Iterator[tuple]:
         system, _ = located(self.path)
-        for path in partition.paths:
+        for path, at, stop in partition.parts:
             with system.open_input_file(path) as file:
-                at, size = 0, file.size()
+                size = file.size() if stop < 0 else stop
                 while at < size:
                     source = Inflater(file, at)
                     if (row := self.row(source)) is not None:
@@ -206,7 +241,7 @@ class WarcReader(DataSourceReader):
             length = parse_headers(source.data[body:inner]).get("Content-Length", "")
             full = int(length) if length.isdigit() else None
         if self.payload:
-            payload = source.upto(stop)[inner:stop]
+            payload = bytes(memoryview(source.upto(stop))[inner:stop])
         return (*cells.values(), stop - inner if full is None else full, headers, payload)
 
     @staticmethod
@@ -218,43 +253,56 @@ class WarcReader(DataSourceReader):
 
 @dataclass
 class Written(WriterCommitMessage):
-    temporary: str
-    final: str
+    moves: list[tuple[str, str]]
 
 
 class WarcWriter(DataSourceArrowWriter):
     def __init__(self, options: dict[str, str]):
+        options = {name.lower(): value for name, value in options.items()}
         self.path, self.level = options["path"], int(options.get("level", 1))
+        self.most = int(options.get("archivebytes", MOST_READ))
+        self.folder = f"_{uuid.uuid4().hex}"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         system, root = located(self.path)
-        name, stream = uuid.uuid4().hex, None
-        temporary = f"{root}/_{name}"
-        for batch in iterator:
-            rows = batch.select(["record_id", "target_uri", "payload", "refers_to"])
-            for record_id, uri, payload, refers_to in zip(*rows.columns, strict=True):
-                if stream is None:
-                    system.create_dir(root)
-                    stream = system.open_output_stream(temporary, compression=None)
-                body = payload.as_py() or b""
-                body = body.encode() if isinstance(body, str) else body
-                stream.write(member(record(record_id.as_py() or "", uri.as_py() or "", body, refers_to.as_py()), self.level))
-        if stream is not None:
-            stream.close()
-        return Written(temporary if stream is not None else "", f"{root}/{name}.warc.gz")
+        moves, stream, size = [], None, 0
+        try:
+            for batch in iterator:
+                rows = batch.select(["record_id", "target_uri", "payload", "refers_to"])
+                for record_id, uri, payload, refers_to in zip(*rows.columns, strict=True):
+                    if stream is None:
+                        name, size = uuid.uuid4().hex, 0
+                        system.create_dir(f"{root}/{self.folder}")
+                        moves.append((f"{root}/{self.folder}/{name}", f"{root}/{name}.warc.gz"))
+                        stream = system.open_output_stream(moves[-1][0], compression=None)
+                    body = payload.as_py() or b""
+                    body = body.encode() if isinstance(body, str) else body
+                    packed = member(record(record_id.as_py() or "", uri.as_py() or "", body, refers_to.as_py()), self.level)
+                    stream.write(packed)
+                    size += len(packed)
+                    if size >= self.most:
+                        stream.close()
+                        stream = None
+        finally:
+            if stream is not None:
+                stream.close()
+        return Written(moves)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         system, root = located(self.path)
         system.create_dir(root)
         for message in messages:
-            if message is not None and message.temporary:
-                system.move(message.temporary, message.final)
+            for temporary, final in message.moves if message is not None else []:
+                system.move(temporary, final)
+        self.clear()
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        system, _ = located(self.path)
-        for message in messages:
-            if message is not None and message.temporary:
-                system.delete_file(message.temporary)
+        self.clear()
+
+    def clear(self) -> None:
+        system, root = located(self.path)
+        if system.get_file_info(f"{root}/{self.folder}").type == fs.FileType.Directory:
+            system.delete_dir(f"{root}/{self.folder}")
 
 
 class WarcSource(DataSource):
@@ -273,20 +321,27 @@ class WarcSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    set_where_unset(spark, "spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
 
 
-def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, payload: bool = True, partition_bytes: int | None = None) -> DataFrame:
+    """All records of a folder's archives or of one archive. Small folders are
+    dealt in two parts a core."""
     register(spark)
-    return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
+    if partition_bytes is None:
+        system, root = located(path)
+        files = system.get_file_info(fs.FileSelector(root, allow_not_found=True)) if system.get_file_info(root).type == fs.FileType.Directory else []
+        share = sum(f.size or 0 for f in files) // (2 * spark.sparkContext.defaultParallelism)
+        partition_bytes = min(max(share, LEAST_READ), MOST_READ)
+    return spark.read.format("warc").option("payload", str(payload).lower()).option("partitionBytes", partition_bytes).load(path)
 
 
-def write_warc(records: DataFrame, path: str, level: int = 1) -> None:
+def write_warc(records: DataFrame, path: str, level: int = 1, archive_bytes: int = MOST_READ) -> None:
     """records: record_id, target_uri, payload (text or bytes), refers_to."""
     register(records.sparkSession)
-    rows = records.select("record_id", "target_uri", "payload", "refers_to")
-    rows.write.format("warc").option("level", level).mode("append").save(path)
+    rows = in_small_batches(records.select("record_id", "target_uri", "payload", "refers_to"))
+    rows.write.format("warc").option("level", level).option("archiveBytes", archive_bytes).mode("append").save(path)
 
 
 def with_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
