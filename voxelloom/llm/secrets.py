@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re._constants as sre
 import re._parser as parser
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -176,9 +177,23 @@ def candidates(index: DataFrame, trigrams: list[str], queries: dict[str, list[Cl
     return found.filter(" or ".join(f"`{kind}`" for kind in queries))
 
 
+SPANS = "array<struct<start:int,place:int,stop:int>>"
+#: Matches whose places are summed up together.
+BLOCK = 256
+
+
+def _running(steps: Column, first: Column, step: Callable[[Column], Column]) -> Column:
+    """Before each of an array's items, first and the sum of `step` over the items
+    before it. What is appended to stays as short as the array."""
+    start = F.struct(first.cast("long").alias("at"), F.array().cast("array<long>").alias("found"))
+    add = lambda state, x: F.struct((state["at"] + step(x)).alias("at"), F.array_append(state["found"], state["at"]).alias("found"))
+    return F.aggregate(steps, start, add, lambda state: state["found"])
+
+
 def spans_of(text: Column, rule: Rule, place: int) -> Column:
     """array<struct<start, place, stop>> of the rule's matches, leftmost and not
-    overlapping, those that are too short dropped."""
+    overlapping, those that are too short dropped. Where they start is summed up
+    in blocks, so that many matches in a text take little more than their number."""
     matches = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     tested = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
     between = F.split(text, rule.pattern, -1)
@@ -188,17 +203,29 @@ def spans_of(text: Column, rule: Rule, place: int) -> Column:
             F.length(x["b"]).alias("gap"), F.length(x["m"]).alias("size"), (F.length(x["t"]) >= rule.shortest).alias("ok")
         ),
     )
-    kind = "array<struct<start:int,place:int,stop:int>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("found"))
+    length = lambda x: (x["gap"] + x["size"]).cast("long")
+    whole = lambda block: F.aggregate(block, F.lit(0).cast("long"), lambda sum_, x: sum_ + length(x))
+
+    def blocks_of(rows: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / BLOCK)), lambda b: F.slice(rows, (b * BLOCK + 1).cast("int"), BLOCK))
+
+    def placed(block: Column, first: Column) -> Column:
+        each = F.arrays_zip(block.alias("x"), _running(block, first, length).alias("at"))
+        start = lambda e: (e["at"] + e["x"]["gap"]).cast("int")
+        span = lambda e: F.struct(start(e).alias("start"), F.lit(place).alias("place"), (start(e) + e["x"]["size"]).alias("stop"))
+        return F.transform(F.filter(each, lambda e: e["x"]["ok"]), span)
+
+    def summed(blocks: Column) -> Column:
+        dealt = F.arrays_zip(blocks.alias("block"), _running(blocks, F.lit(0), whole).alias("first"))
+        return F.flatten(F.transform(dealt, lambda d: placed(d["block"], d["first"])))
+
+    found = _once(_once(rows, blocks_of), summed)
+    return F.when(text.rlike(rule.pattern), found).otherwise(F.array().cast(SPANS))
 
-    def step(state: Column, x: Column) -> Column:
-        begin = state["at"] + x["gap"]
-        stop = begin + x["size"]
-        span = F.struct(begin.alias("start"), F.lit(place).alias("place"), stop.alias("stop"))
-        return F.struct(stop.alias("at"), F.when(x["ok"], F.array_append(state["found"], span)).otherwise(state["found"]).alias("found"))
 
-    found = F.aggregate(rows, start, step, lambda state: state["found"])
-    return F.when(text.rlike(rule.pattern), found).otherwise(F.array().cast(kind))
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), in which value is computed a single time."""
+    return F.transform(F.array(value), use)[0]
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
@@ -208,7 +235,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
     trigrams = sorted({t for q in indexed.values() for clause in q for option in clause for t in option})
     found = durable(candidates(build_index(docs, trigrams), trigrams, indexed))
     texts = docs.select("doc_id", _key(), F.coalesce("text", F.lit("")).alias("text")).join(found.hint("merge"), "key", "left")
-    none = F.array().cast("array<struct<start:int,place:int,stop:int>>")
+    none = F.array().cast(SPANS)
     each = []
     for place, rule in enumerate(rules):
         spans = spans_of(F.col("text"), rule, place)
