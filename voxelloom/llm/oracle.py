@@ -48,7 +48,7 @@ def mixing() -> str:
     m as (select *, max(case when w * level < most then level end) over () as pour from l),
     t as (select source, cast(source_size as bigint) as source_size, least(most::double, coalesce(w * pour, most::double)) as target from m),
     n as (select d.*, t.source_size, t.target, row_number() over (partition by d.source
-        order by case when size < 1 then 0 else length(bin(size)) end, cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 2) as int) % 64, size, doc_id nulls first) as rank,
+        order by size, cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 8) as bigint), doc_id nulls first) as rank,
         (cast('0x' || substr(md5('mix:' || coalesce(d.source, '')), 1, 4) as int) + 0.5::double) / 65536 as u,
         case when t.source_size > 0 then target / t.source_size else 0::double end as e from d join t on d.source is not distinct from t.source)
     select doc_id, size, source_size, target, cast(floor(rank * e + u) - floor((rank - 1) * e + u) as bigint) * size as taken from n"""
