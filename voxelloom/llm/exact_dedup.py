@@ -1,13 +1,17 @@
 """Exact deduplication over a log-structured merge index, native.
 
-Each flush turns a memtable (a slice of the documents) into a run: one entry
-(digest, keep_id, entries) per distinct text, sorted by digest and stored with
-Parquet's Bloom filters and minima on the digest, so that point lookups by
-other readers can skip files; the operator itself consults no filter. Compaction merges runs by digest and
-keeps the identifier that wins. All documents are then joined with the whole compacted
-run, and every hit on an entry that others share is verified byte by byte: the
-least and the greatest text of its group must be the same; groups that fail are
-split by text.
+Each memtable (a slice of the documents) is flushed as a run: one entry (digest,
+keep_id, entries) per distinct text, sorted by digest. When a level holds
+`fanout` runs, compaction merges them into one of the next level and keeps the
+identifier that wins; at the end all are merged into one run.
+
+A run's filter is a Bloom filter of the digests that more than one row has: words
+of 64 bits, in one of which each digest sets three. It has a bounded number of words,
+however many texts there are (where they are more than it can tell apart it lets
+more through), and is broadcast. A row that the filter turns down is alone with
+its text, and needs no lookup; the others look the run up, and their texts are
+shuffled for verification byte by byte: the least and the greatest text of a
+digest must be the same. Digests that fail are split by text.
 
 Null and empty texts are equal. Null doc_ids lose to any other. Repeated rows
 count as often as they occur; of rows that also share the doc_id that stays,
@@ -16,12 +20,12 @@ gives an empty result. Other columns are ignored, or kept by `deduplicate`."""
 
 from __future__ import annotations
 
-import uuid
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, ascii_lower, durable, lookup, shared_dir
+from .common import HOT_SHARE, Filter, ascii_lower, durable, lookup
 
 #: Rows of a part of a hot group.
 PART = 20_000
@@ -32,102 +36,145 @@ def normalised(text: Column) -> Column:
 
 
 class RunIndex:
-    """Sorted digest runs in a folder, each level merged into the next."""
+    """Sorted digest runs by level; `fanout` runs of a level become one of the next."""
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, keep: str = "min", memtables: int = 4):
-        self.spark, self.keep, self.memtables = spark, keep, memtables
-        self.folder = folder or f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"
-        self.runs: list[str] = []
+    def __init__(self, keep: str = "min", fanout: int = 2):
+        self.keep, self.fanout = keep, fanout
+        self.levels: list[list[DataFrame]] = [[]]
 
     def _wins(self, column: str) -> Column:
         return F.max(column) if self.keep == "max" else F.min(column)
 
-    def _write(self, entries: DataFrame, name: str) -> str:
-        path = f"{self.folder}/{name}"
-        sorted_run = entries.sortWithinPartitions("run", "digest") if "run" in entries.columns else entries
-        writer = sorted_run.write.option("parquet.bloom.filter.enabled#digest", "true")
-        writer = writer.option("parquet.bloom.filter.expected.ndv#digest", "100000")
-        if "run" in entries.columns:
-            writer = writer.partitionBy("run")
-        writer.parquet(path)
-        return path
-
-    def flush(self, entries: DataFrame) -> None:
-        """entries: (doc_id, digest). Adds one run per memtable."""
-        slices = entries.withColumn("run", F.pmod(F.xxhash64("doc_id"), F.lit(self.memtables)).cast("int"))
-        merged = slices.groupBy("run", "digest").agg(self._wins("doc_id").alias("keep_id"), F.count("*").alias("entries"))
-        self.runs.append(self._write(merged, f"level0-{len(self.runs)}"))
-
-    def compact(self) -> None:
-        """Merge all runs into one."""
-        whole = self.entries()
-        merged = whole.groupBy("digest").agg(self._wins("keep_id").alias("keep_id"), F.sum("entries").alias("entries"))
-        self.runs = [self._write(merged.sortWithinPartitions("digest"), f"level1-{len(self.runs)}-{uuid.uuid4().hex[:8]}")]
-
-    def entries(self) -> DataFrame:
-        kind = "digest binary, keep_id long, entries long"
-        runs = [self.spark.read.schema(kind).parquet(path).select("digest", "keep_id", "entries") for path in self.runs]
+    def _run(self, entries: DataFrame) -> DataFrame:
+        merged = entries.groupBy("digest").agg(self._wins("keep_id").alias("keep_id"), F.sum("entries").alias("entries"))
+        return durable(merged.sortWithinPartitions("digest"))
+
+    def _merge(self, runs: list[DataFrame]) -> DataFrame:
         whole = runs[0]
         for run in runs[1:]:
             whole = whole.unionByName(run)
-        return whole
-
-
-def exact_groups(docs: DataFrame, keep: str = "min", memtables: int = 4) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept and
-    text_sha256 of the normalised text."""
-    spark = docs.sparkSession
-    text = normalised(F.col("text"))
-    digest = F.unhex(F.sha2(text, 256))
-    entries = durable(docs.select(F.col("doc_id").cast("long"), digest.alias("digest")))
-    index = RunIndex(spark, keep=keep, memtables=memtables)
-    index.flush(entries)
-    index.compact()
-    # verify the hits: a group whose least and greatest text agree is one text.
-    # Hot groups, of which there are at most HOT_SHARE, are dealt in parts.
+        return self._run(whole)
+
+    def flush(self, memtable: DataFrame) -> None:
+        """memtable: (doc_id, digest). Adds a run and compacts full levels."""
+        self.levels[0].append(self._run(memtable.select("digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("entries"))))
+        level = 0
+        while len(self.levels[level]) >= self.fanout:
+            runs, self.levels[level] = self.levels[level], []
+            if level + 1 == len(self.levels):
+                self.levels.append([])
+            self.levels[level + 1].append(self._merge(runs))
+            level += 1
+
+    def whole(self) -> DataFrame:
+        """One run of all levels."""
+        runs = [run for level in self.levels for run in level]
+        if len(runs) > 1:
+            runs = [self._merge(runs)]
+        self.levels = [runs]
+        return runs[0]
+
+
+@dataclass
+class Index:
+    """entries: (doc_id, digest, sha) of every row; shared: the run's entries
+    of more than one row; clashing: digests of different texts, None without."""
+
+    entries: DataFrame
+    shared: DataFrame
+    filter: Filter
+    clashing: DataFrame | None
+    digest_bytes: int
+
+
+def _digest(text: Column, digest_bytes: int) -> Column:
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, digest_bytes)
+
+
+def build(docs: DataFrame, keep: str, memtables: int = 4, fanout: int = 2, digest_bytes: int = 32) -> Index:
+    entries = docs.select(F.col("doc_id").cast("long"), F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("sha"))
+    entries = durable(entries.select("doc_id", F.substring("sha", 1, digest_bytes).alias("digest"), "sha"))
+    index = RunIndex(keep, fanout)
+    for i in range(memtables):
+        index.flush(entries.filter(F.pmod(F.xxhash64("doc_id"), F.lit(memtables)) == i))
+    shared = durable(index.whole().filter("entries > 1"))
+    found = Filter(shared)
+    return Index(entries, shared, found, _clashes(docs, entries, shared, found, digest_bytes), digest_bytes)
+
+
+def _clashes(docs: DataFrame, entries: DataFrame, shared: DataFrame, held: Filter, digest_bytes: int) -> DataFrame | None:
+    """Digests whose texts differ. Hot groups, of which there are at most
+    HOT_SHARE, are dealt in parts."""
     total = entries.count()
     parts = F.greatest(F.lit(16), F.ceil(F.col("entries") / PART)).cast("int")
     is_hot = (F.col("entries") * HOT_SHARE >= total) & (F.col("entries") >= 32)
-    shared = index.entries().filter("entries > 1").withColumn("parts", F.when(is_hot, parts).otherwise(1))
-    hot = F.broadcast(shared.filter("parts > 1").select("digest", "parts"))
-    dealt = shared.select("digest", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    read = docs.select(F.col("doc_id").cast("long"), text.alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
+    parted = shared.select("digest", F.when(is_hot, parts).otherwise(1).alias("parts"))
+    hot = F.broadcast(parted.filter("parts > 1"))
+    dealt = parted.select("digest", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    read = docs.select(F.col("doc_id").cast("long"), normalised(F.col("text")).alias("text"))
+    read = held.told(read.withColumn("digest", _digest(F.col("text"), digest_bytes))).filter("may")
     part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("parts"))).cast("int")
     read = read.join(hot, "digest", "left").select("digest", part.alias("part"), "text")
     hits = read.join(dealt.hint("merge"), ["digest", "part"], "left_semi").groupBy("digest", "part")
     ends = hits.agg(F.min("text").alias("least"), F.max("text").alias("most"))
     ends = ends.groupBy("digest").agg(F.min("least").alias("least"), F.max("most").alias("most"))
-    clashes = [r[0] for r in ends.filter("least <> most").select("digest").take(1)]
-    found = lookup(entries, index.entries(), "digest")
+    found = durable(ends.filter("least <> most").select("digest"))
+    return None if found.isEmpty() else found
+
+
+def exact_groups(docs: DataFrame, keep: str = "min", memtables: int = 4, fanout: int = 2, digest_bytes: int = 32) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept and
+    text_sha256 of the normalised text."""
+    return groups_of(docs, build(docs, keep, memtables, fanout, digest_bytes), keep)
+
+
+def groups_of(docs: DataFrame, index: Index, keep: str, hits_only: bool = False) -> DataFrame:
+    """exact_groups of an index; with hits_only, of rows that its filter lets through."""
+    told = index.filter.told(index.entries)
+    alone = told.filter(~F.col("may")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("entries"), "sha", "digest")
+    hits = lookup(told.filter("may").select("doc_id", "digest", "sha"), index.shared.select("digest", "keep_id", "entries"), "digest")
+    is_shared = F.col("entries").isNotNull()
+    hits = hits.select(
+        "doc_id", F.when(is_shared, F.col("keep_id")).otherwise(F.col("doc_id")).alias("keep_id"), F.coalesce("entries", F.lit(1)).alias("entries"), "sha", "digest"
+    )
+    found = hits if hits_only else alone.unionByName(hits)
+    if index.clashing is not None:
+        found = lookup(found, index.clashing, "digest", "left_anti")
     found = found.select(
         "doc_id", "keep_id", F.col("entries").alias("group_size"),
         F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
+        F.lower(F.hex("sha")).alias("text_sha256"),
     )
-    if not clashes:
-        return found
-    return by_text(docs, keep)
+    if index.clashing is not None:
+        read = docs.select(F.col("doc_id").cast("long"), normalised(F.col("text")).alias("text"))
+        read = read.withColumn("digest", _digest(F.col("text"), index.digest_bytes))
+        found = found.unionByName(by_text(lookup(read, index.clashing, "digest", "left_semi").drop("digest"), keep))
+    return found
 
 
-def by_text(docs: DataFrame, keep: str) -> DataFrame:
-    """The same from the texts themselves, should two of them share a digest."""
-    read = docs.select(F.col("doc_id").cast("long"), normalised(F.col("text")).alias("text"))
+def by_text(rows: DataFrame, keep: str) -> DataFrame:
+    """The groups of (doc_id, text) from the texts themselves, should different
+    ones share a digest."""
     wins = F.max("doc_id") if keep == "max" else F.min("doc_id")
-    groups = read.groupBy("text").agg(wins.alias("keep_id"), F.count("*").alias("group_size"))
+    groups = rows.groupBy("text").agg(wins.alias("keep_id"), F.count("*").alias("group_size"))
     kept = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull())
-    return read.join(groups, "text").select(
+    return rows.join(groups, "text").select(
         "doc_id", "keep_id", "group_size", kept.alias("kept"), F.sha2("text", 256).alias("text_sha256")
     )
 
 
 def deduplicate(docs: DataFrame, keep: str = "min") -> DataFrame:
-    """The rows of docs that stay, one per text, columns unchanged."""
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key")
-    found = exact_groups(docs, keep).filter("kept")
-    found = durable(found.select(F.unhex("text_sha256").alias("_digest"), key))
+    """The rows of docs that stay, one per text, columns unchanged. Rows that the
+    filter turns down stay where they are; only the others are shuffled."""
+    index = build(docs, keep)
+    id_ = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key")
+    found = groups_of(docs, index, keep, hits_only=True).filter("kept")
+    found = durable(found.select(F.unhex("text_sha256").alias("_digest"), id_))
     repeated = not found.groupBy("_digest", "_key").count().filter("count > 1").isEmpty()
-    whole = docs.select(F.struct(*docs.columns).alias("_doc"), F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("_digest"), key)
-    stay = whole.join(found.hint("merge"), ["_digest", "_key"], "left_semi")
+    whole = docs.select(F.struct(*docs.columns).alias("_doc"), id_, _digest(normalised(F.col("text")), index.digest_bytes).alias("digest"))
+    told = index.filter.told(whole)
+    hits = told.filter("may").select("_doc", F.col("digest").alias("_digest"), "_key")
+    stay = hits.join(found.hint("merge"), ["_digest", "_key"], "left_semi")
     if repeated:  # rows that share even the doc_id
-        stay = stay.dropDuplicates(["_digest", "_key"])
-    return stay.select("_doc.*")
+        stay = stay.groupBy("_digest", "_key").agg(F.min_by("_doc", F.to_json("_doc")).alias("_doc"))
+    return told.filter(~F.col("may")).select("_doc.*").unionByName(stay.select("_doc.*"))
