@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from voxelloom.llm import chat, exact_dedup, mixing, packing, quality, secrets, simhash, toxicity, url_filters, warc
+from voxelloom.llm import chat, common, exact_dedup, mixing, packing, quality, secrets, simhash, toxicity, url_filters, warc
 from voxelloom.llm import queries as llm
 from voxelloom.llm.common import connected_components, durable
 
@@ -142,9 +142,45 @@ def test_exact(docs, empty):
     assert n_of(exact_dedup.exact_groups(empty)) == 0 and n_of(exact_dedup.deduplicate(empty)) == 0
 
 
-def test_exact_splits_clashing_digests(docs):
-    by_digest = sorted(map(repr, exact_dedup.exact_groups(docs, "max").collect()))
-    assert sorted(map(repr, exact_dedup.by_text(docs, "max").collect())) == by_digest
+@pytest.mark.parametrize("keep", ["min", "max"])
+def test_exact_splits_clashing_digests(spark, docs, keep):
+    """With one byte of digest different texts share one; the groups are those of
+    the texts all the same."""
+    more = spark.range(600).select((F.col("id") + 100).alias("doc_id"), F.concat(F.lit("Text "), F.col("id") % 400).alias("text"))
+    rows = docs.select("doc_id", "text").unionByName(more)
+    whole = sorted(map(repr, exact_dedup.exact_groups(rows, keep).collect()))
+    index = exact_dedup.build(rows, keep, digest_bytes=1)
+    assert index.clashing is not None and exact_dedup.build(rows, keep).clashing is None
+    assert sorted(map(repr, exact_dedup.groups_of(rows, index, keep).collect())) == whole
+
+
+def test_runs_merge_by_level(spark):
+    index = exact_dedup.RunIndex("min", fanout=2)
+    for i in range(5):
+        rows = spark.range(10).select((F.col("id") + 10 * i).alias("doc_id"), F.to_binary((F.col("id") % 5).cast("string"), F.lit("utf-8")).alias("digest"))
+        index.flush(rows)
+    assert [len(level) for level in index.levels] == [1, 0, 1]
+    whole = index.whole()
+    assert sorted((bytes(r["digest"]), r["keep_id"], r["entries"]) for r in whole.collect()) == [(str(k).encode(), k, 10) for k in range(5)]
+
+
+def test_filter_has_no_false_negatives(spark, monkeypatch):
+    monkeypatch.setattr(common, "FILTER_WORDS", 128)  # too few for the keys
+    digest = F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("digest")
+    keys = durable(spark.range(3000).select(digest))
+    held = common.Filter(keys)
+    assert held.table.count() <= 128 and held.told(keys).filter("may").count() == 3000
+    small = common.Filter(durable(keys.limit(100)))
+    others = spark.range(5000, 8000).select(digest)
+    assert small.told(others).filter("may").count() < 600
+
+
+def test_copies_that_share_a_doc_id(spark):
+    rows = [(1, "A", "x"), (1, "a", "y"), (1, "b", "z"), (None, "a", "w"), (None, None, "v"), (None, "", "u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {tuple(r) for r in exact_dedup.deduplicate(docs, "max").collect()}
+    assert len(kept) == 3 and {(k, (t or "").lower()) for k, t, _ in kept} == {(1, "a"), (1, "b"), (None, "")}
+    assert kept == {tuple(r) for r in exact_dedup.deduplicate(docs.repartition(3), "max").collect()}
 
 
 def test_hot_group_is_dealt(spark):
@@ -212,6 +248,13 @@ def test_secrets(docs, empty):
     assert found[4] == found[5] == []
 
 
+def test_many_secrets_in_a_text(spark):
+    for n in (255, 256, 257, 513, 20_000):
+        rows = spark.createDataFrame([(1, "x 0123456789abcdef0 é" * n)], "doc_id long, text string")
+        spans = secrets.scan(rows).first()["spans"]
+        assert [(s["start"], s["stop"]) for s in spans] == [(21 * i + 2, 21 * i + 19) for i in range(n)]
+
+
 def test_secret_spans_are_code_points(spark):
     text = "😀é token: ABCDEFGHIJKL0 \x01 secret='short' ghp_" + "a" * 36
     rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
@@ -233,6 +276,20 @@ def test_toxicity(docs, empty, labels):
     assert n_of(toxicity.score(empty, labels)) == 0
 
 
+def test_toxicity_does_not_depend_on_partitions(spark, labels):
+    rows = [(i, prose(60, i % 40) + (" you vile 1d10t " * 3 if i % 4 == 0 else ""), "en") for i in range(200)] + [(500, "ab", "en"), (501, "cd", "en"), (502, "é 你", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    marks = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
+    one, seven = (sorted((r["doc_id"], r["score"], r["predicted"]) for r in toxicity.score(docs.repartition(n), marks).collect()) for n in (1, 7))
+    assert one == seven and all(p == int(k < 200 and k % 4 == 0) for k, _, p in one)
+
+
+def test_letters_count_by_text():
+    assert (toxicity.joined_counts(["ab", "cd\0", ""]) == sum(toxicity.letter_counts(t) for t in ("ab", "cd\0", ""))).all()
+    for letter in "azé你_1 ":
+        assert toxicity._classes()[ord(letter)] == toxicity._class(letter)
+
+
 @pytest.mark.parametrize("written", ["1d10t", "idiooot", "i d i o t", "i.d.i.o.t", "id!ot", "IDIOT"])
 def test_disguises_are_undone(written):
     english = "the idiot in that tidy riot did not edit it and the pilot had to idle on a ridge " * 40
@@ -296,6 +353,45 @@ def test_warc_reader_pushes_and_skips(tmp_path):
     assert [(r[0], r[1], r[5], r[-1]) for r in plain.read(part)] == [("r1", "response", 15000, None), ("r2", "revisit", 3, None), ("r3", "response", 0, None)]
 
 
+def test_large_archives_are_cut(spark, tmp_path):
+    picks = random.Random(1)
+    pages = [(i, f"http://a/{i}", "".join(picks.choice("0123456789abcdef") for _ in range(3000))) for i in range(400)]
+    rows = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    warc.archive_pages(rows, str(tmp_path / "one"))
+    records = warc.with_revisits(rows).select(F.col("page_id").cast("string").alias("record_id"), F.col("url").alias("target_uri"), F.col("html").alias("payload"), "refers_to").coalesce(1)
+    warc.write_warc(records, str(tmp_path / "many"), archive_bytes=100_000)
+    archives = os.listdir(tmp_path / "many")
+    assert len(archives) > 5 and all(n.endswith(".warc.gz") for n in archives)
+    for folder in ("one", "many"):
+        for size in (1, 50_000, 10**9):
+            read = warc.read_warc(spark, str(tmp_path / folder), partition_bytes=size)
+            got = sorted((r["target_uri"], bytes(r["payload"]).decode()) for r in read.collect())
+            assert got == sorted(p[1:] for p in pages)
+    assert len(warc.WarcReader({"path": str(tmp_path / "one"), "partitionBytes": "50000"}).partitions()) > 5
+
+
+def test_archives_without_sizes_are_read_whole(tmp_path):
+    import gzip
+
+    path = tmp_path / "a.warc.gz"
+    records = [warc.record(f"r{i}", "http://a", bytes([65 + i]) * 20_000, None) for i in range(9)]
+    path.write_bytes(b"".join(warc.member(r) if i < 4 else gzip.compress(r) for i, r in enumerate(records)))
+    reader = warc.WarcReader({"path": str(path), "partitionBytes": "100"})
+    parts = reader.partitions()
+    assert 1 < len(parts) <= 5
+    assert sorted(r[0] for p in parts for r in reader.read(p)) == [f"r{i}" for i in range(9)]
+
+
+def test_failed_writes_leave_nothing(spark, tmp_path):
+    rows = spark.range(200).select(
+        F.col("id").cast("string").alias("record_id"), F.lit("http://a").alias("target_uri"),
+        F.when(F.col("id") < 150, "x").otherwise(F.raise_error(F.lit("lost")).cast("string")).alias("payload"), F.lit(None).cast("string").alias("refers_to"),
+    )
+    with pytest.raises(Exception, match="lost"):
+        warc.write_warc(rows.coalesce(1), str(tmp_path / "w"), archive_bytes=100)
+    assert not os.path.exists(tmp_path / "w") or os.listdir(tmp_path / "w") == []
+
+
 def test_chat_layouts(spark):
     turns = [("system", "Be < kind"), ("user", "a\\b"), ("assistant", "</turn>\n<turn user>")]
     records = [
@@ -317,6 +413,46 @@ def test_chat_layouts(spark):
     assert n_of(chat.format_chats(rows.filter("false"))) == 0
 
 
+@pytest.mark.parametrize(
+    "record",
+    [
+        '{"messages": [{"role": "a", "content": "b"}, []]}', '{"messages": [{"role": "a", "content": "b"}, "c"]}', '{"messages[].role": 1, "messages[].content": 2}',
+        '{"messages": [{"role": "a", "content": [{"text": "b"}]}, {"role": "a", "content": "b"}]}', "[" * 100_000, '{"a":' * 50_000, '{"messages": {"role": "a", "content": "b"}}',
+        '{"prompt": {"x": 1}, "completion": "a"}', '{"": 1}', "null", '{"messages": [[{"role": "a", "content": "b"}]]}', '{"x": ' + "9" * 5000 + "}",
+    ],
+)
+def test_malformed_records_are_unknown(record):
+    assert chat.canonical(record, chat.known_layouts())[1:] == ("unknown", [])
+
+
+def test_extra_fields_hide_no_layout(spark):
+    records = [
+        (1, '{"id": 7, "messages": [{"role": "user", "content": "a", "name": "x"}, {"role": "assistant", "content": null, "tool_calls": [{"id": 1}]}]}'),
+        (2, '{"id": "x", "conversations": [{"from": "human", "value": "a"}, {"from": "gpt", "value": ""}], "meta": {"source": "y"}}'),
+        (3, '{"prompt": "a", "completion": "", "input": "left out"}'), (4, '{"instruction": "a", "output": "", "text": "all", "input": {"not": "text"}}'),
+        (5, '{"question": "a\\ud800", "answer": "\\ud83d\\ude00", "x.y[]": {"\\udfff": 1}}'),
+    ]
+    rows = spark.createDataFrame(records, "conv_id long, record string")
+    found = {r["conv_id"]: (r["layout"], chat.parse(r["formatted"]), r["schema_id"]) for r in chat.format_chats(rows).collect()}
+    assert {k: v[0] for k, v in found.items()} == {1: "messages", 2: "conversations", 3: "prompt", 4: "instruction", 5: "question"}
+    assert all(found[k][1] == [("user", "a"), ("assistant", "")] for k in range(1, 5)) and len({v[2] for v in found.values()}) == 5
+    assert found[5][1] == [("user", "a\ufffd"), ("assistant", "\U0001f600")]
+
+
+def test_very_long_texts_in_chats(spark):
+    said = [(1, 0, "user", "</turn>\\" * 400_000), (1, 1, "assistant", "<turn é" * 300_000)]
+    rows = chat.format_chats(chat.from_rows(spark.createDataFrame(said, "conv_id long, turn long, role string, text string")))
+    (r,) = rows.withColumn("back", chat.read_back(F.col("formatted"), F.col("loss_spans"))).collect()
+    assert [tuple(t) for t in r["back"]["turns"]] == [x[2:] for x in said] and r["back"]["learned"] == [said[1][3]]
+
+
+def test_rows_take_the_layout_of_their_shape(spark):
+    said = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (2, 0, "system", ""), (2, 1, "user", "q"), (2, 2, "assistant", None), (3, 0, "user", "q")]
+    rows = chat.format_chats(chat.from_rows(spark.createDataFrame(said, "conv_id long, turn long, role string, text string")))
+    found = {r["conv_id"]: (r["layout"], chat.parse(r["formatted"])) for r in rows.collect()}
+    assert found == {1: ("prompt", [("user", "q"), ("assistant", "a")]), 2: ("instruction", [("system", ""), ("user", "q"), ("assistant", "")]), 3: ("messages", [("user", "q")])}
+
+
 def test_chat_round_trip():
     picks = random.Random(2)
     pieces = ["\\", "<", "<turn", "</turn>", "\n", ">", "l", "g", "n", "assistant", " ", "é"]

@@ -49,6 +49,9 @@ def odd(tmp_path_factory):
     pages = [
         (1, "http://x.com/en/a/?utm_source=q#t", "<link href='/b' rel=canonical>"), (2, "https://X.com/en/b", "same"), (3, "http://shop.net/fr/", "same"), (4, "http://alias.org/p?a=1&ref=2", '<META HTTP-EQUIV="refresh" CONTENT="1;url=//shop.net/fr/">'),
         (5, "http://alias.org/p/?a=1", None), (6, None, ""), (7, "bad", "same"), (8, "http://a.org/x/y", '<link rel="canonical" href="z">'), (9, "http://a.org/x/z", '<link rel="canonical" href="http://alias.org/p?a=1">'),
+        (None, "http://null.org/", "<link rel=canonical href='http://shop.net/fr/'>"), (None, None, None), (10, "http://b.org/1?x=1&amp;y", "<!-- <link rel=canonical href='http://shop.net/fr/'> --><link rel=icon href=/2>"),
+        (11, "http://c.org/a/b/c", "<base href='http://shop.net/x/'><LINK REL='nofollow Canonical' HREF='../fr/./'>"), (12, "http://d.org/1", "<link rel=canonical href=/2><link rel=canonical href=mailto:x><link rel='canonical' href='//shop.net/fr?a&amp;b'>"),
+        (13, "http://d.org/2", ""), (14, "http://e.org/?ref=1", "<meta http-equiv='refresh' content='5'>"), (15, "http://e.org/?ref=2", '<meta content="3, URL=\'http://shop.net/fr/\'" http-equiv=refresh>'), (16, "http://f.org/x?u=http://y", "<link rel=canonical href='?q=http://z'><!-- open"),
     ]
     connection.executemany("insert into pages values (?, ?, ?)", pages)
     connection.execute("create table conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
