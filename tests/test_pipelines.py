@@ -141,13 +141,13 @@ def test_warp_at_markers(spark):
     markers = [[10.0, 12.0, 20.0, 22.0], [70.0, 30.0, 60.0, 28.0], [40.0, 44.0, 41.0, 40.0]]
     triangles = warp.triangle_table(spark, [{"section_number": 1, "width": 100, "height": 60, "markers": markers}, {"section_number": 2, "width": 1, "height": 1, "markers": None}])
     points = [(1, i, m[2], m[3]) for i, m in enumerate(markers)] + [(1, 9, -500.0, 0.0), (2, 10, 3.0, 4.0)]
-    moved = {r["k"]: (r["wx"], r["wy"]) for r in warp.warp_points(spark.createDataFrame(points, "section_number int, k int, x double, y double"), triangles, ["k"]).collect()}
+    moved = {r["k"]: (r["wx"], r["wy"]) for r in warp.warp_points(spark.createDataFrame(points, "section_number int, k int, x double, y double"), triangles).collect()}
     for i, m in enumerate(markers):
         assert moved[i] == pytest.approx((m[0], m[1]))
     assert moved[9] == (0, 0) and moved[10] == (3, 4)
     grid = [(1, i, float(7 + i % 9 * 10), float(5 + i // 9 * 8)) for i in range(54)]
-    there = warp.warp_points(spark.createDataFrame(grid, "section_number int, k int, x double, y double"), triangles, ["k"])
-    back = warp.warp_points(there.select("section_number", "k", F.col("wx").alias("x"), F.col("wy").alias("y")), triangles, ["k"], forward=True)
+    there = warp.warp_points(spark.createDataFrame(grid, "section_number int, k int, x double, y double"), triangles)
+    back = warp.warp_points(there.select("section_number", "k", F.col("wx").alias("x"), F.col("wy").alias("y")), triangles, forward=True)
     for r in back.collect():
         assert (r["wx"], r["wy"]) == pytest.approx(grid[r["k"]][2:], abs=1e-6)
 

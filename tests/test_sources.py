@@ -69,6 +69,108 @@ def test_tiff(packing):
     assert np.array_equal(rasters.decode_tiff(head + body + struct.pack("<H", len(tags)) + entries), image)
 
 
+def tiff(parts, image, tags, big=False):
+    """A little-endian TIFF of encoded strips or tiles."""
+    offset, body, places = 16 if big else 8, b"", []
+    for part in parts:
+        places.append((offset + len(body), len(part)))
+        body += part
+    tiled = 322 in tags
+    entries = {256: (4, [image.shape[1]]), 257: (4, [image.shape[0]]), 324 if tiled else 273: (4, [p for p, _ in places]), 325 if tiled else 279: (4, [n for _, n in places]), **{t: (3, v) for t, v in tags.items()}}
+    word = "Q" if big else "I"
+    directory, extra, at = b"", b"", offset + len(body)
+    extra_at = at + (8 + 20 * len(entries) + 8 if big else 2 + 12 * len(entries) + 4)
+    for tag, (kind, values) in sorted(entries.items()):
+        raw = struct.pack(f"<{len(values)}{'H' if kind == 3 else 'I'}", *values)
+        size = 8 if big else 4
+        if len(raw) <= size:
+            cell = raw.ljust(size, b"\0")
+        else:
+            cell = struct.pack("<" + word, extra_at + len(extra))
+            extra += raw
+        directory += struct.pack("<HH" + word, tag, kind, len(values)) + cell
+    head = struct.pack("<2sHHHQ", b"II", 43, 8, 0, at) if big else struct.pack("<2sHI", b"II", 42, at)
+    return head + body + struct.pack("<Q" if big else "<H", len(entries)) + directory + b"\0" * (8 if big else 4) + extra
+
+
+def lzw(data):
+    codes, table, width, out, word = [], None, 9, "", b""
+
+    def put(code):
+        nonlocal out
+        out += format(code, f"0{width}b")
+
+    table = {bytes([i]): i for i in range(256)}
+    put(256)
+    for i in range(len(data)):
+        byte = data[i : i + 1]
+        if word + byte in table:
+            word += byte
+            continue
+        put(table[word])
+        table[word + byte] = len(table) + 2
+        if len(table) + 2 == (1 << width) and width < 12:
+            width += 1
+        if len(table) + 2 >= 4094:
+            put(256)
+            table, width = {bytes([i]): i for i in range(256)}, 9
+        word = byte
+    put(table[word])
+    put(257)
+    assert codes == []
+    return int(out.ljust(-(-len(out) // 8) * 8, "0"), 2).to_bytes(-(-len(out) // 8), "big")
+
+
+@pytest.mark.parametrize("packing", [1, 5, 8, 32773])
+@pytest.mark.parametrize("layout", ["strips", "tiles", "planes", "differences", "big"])
+@pytest.mark.parametrize("kind", [np.uint8, np.uint16])
+def test_tiff_layouts(packing, layout, kind):
+    image = np.random.default_rng(5).integers(0, 9, (37, 45, 3)).astype(kind)
+    pack = {1: bytes, 5: lzw, 8: zlib.compress, 32773: lambda d: b"".join(struct.pack("B", len(d[i : i + 100]) - 1) + d[i : i + 100] for i in range(0, len(d), 100))}[packing]
+    tags = {258: [8 * image.itemsize] * 3, 259: [packing], 262: [2], 277: [3], 278: [10]}
+    data = image
+    if layout == "differences":
+        tags[317] = [2]
+        data = np.concatenate([image[:, :1], np.diff(image.astype(np.int64), axis=1).astype(kind)], axis=1)
+    blocks = [data[y : y + 10] for y in range(0, 37, 10)]
+    if layout == "planes":
+        tags[284] = [2]
+        blocks = [b[:, :, i] for i in range(3) for b in blocks]
+    if layout == "tiles":
+        tags |= {322: [16], 323: [16]}
+        blocks = [np.pad(data, ((0, 11), (0, 3), (0, 0)))[y : y + 16, x : x + 16] for y in range(0, 37, 16) for x in range(0, 45, 16)]
+    found = rasters.decode_tiff(made := tiff([pack(b.tobytes()) for b in blocks], image, tags, layout == "big"))
+    assert np.array_equal(found, image[:, :, ::-1]) and rasters.size_of("a.tif", made) == (37, 45)
+
+
+def test_tiff_grey_and_refusals():
+    image = np.random.default_rng(6).integers(0, 255, (5, 4)).astype(np.uint8)
+    tags = {258: [8], 259: [1], 262: [0], 277: [1]}
+    assert np.array_equal(rasters.decode_tiff(tiff([image.tobytes()], image, tags)), 255 - image)
+    bits = image > 99
+    packed = np.packbits(bits, axis=1).tobytes()
+    assert np.array_equal(rasters.decode_tiff(tiff([packed], image, {258: [1], 259: [1], 262: [1], 277: [1]})), bits * 255)
+    for odd in ({259: [7]}, {317: [3]}, {258: [12]}):
+        with pytest.raises(ValueError, match="not supported"):
+            rasters.decode_tiff(tiff([image.tobytes()], image, tags | odd))
+
+
+@pytest.mark.parametrize("shape,kind", [((11, 7), np.uint8), ((19, 23, 3), np.uint8), ((1, 1), np.uint8), ((9, 2), np.uint16)])
+def test_interlaced_png(shape, kind):
+    image = np.random.default_rng(7).integers(0, np.iinfo(kind).max, shape).astype(kind)
+    rows = b""
+    for y, x, dy, dx in rasters.ADAM7:
+        part = image[y::dy, x::dx]
+        if part.size:
+            rows += b"".join(b"\0" + line.astype(np.dtype(kind).newbyteorder(">")).tobytes() for line in part)
+    planes = 1 if image.ndim == 2 else 3
+    head = struct.pack(">IIBBBBB", shape[1], shape[0], 8 * image.itemsize, {1: 0, 3: 2}[planes], 0, 0, 1)
+    chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+    data = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+    assert np.array_equal(rasters.decode_png(data), image if image.ndim == 2 else image[:, :, ::-1])
+    assert rasters.size_of("a.PNG", data) == shape[:2]
+
+
 def test_deep_zoom():
     image = np.random.default_rng(2).integers(0, 255, (6, 7, 3)).astype(np.uint8)
     packed = io.BytesIO()
@@ -192,6 +294,12 @@ def test_jpeg(spark, tmp_path):
         for x in range(8):
             image.setRGB(x, y, 0x102030)
     spark._jvm.javax.imageio.ImageIO.write(image, "jpg", spark._jvm.java.io.File(str(tmp_path / "a_s005.jpg")))
+    (tmp_path / "b_s006.png").write_bytes(rasters.encode_png(np.zeros((3, 2), np.uint8)))
+    found = files.image_files(spark, str(tmp_path))
+    sizes = {r["section_number"]: (r["seg_height"], r["seg_width"]) for r in rasters.image_sizes(found).collect()}
+    assert sizes == {5: (6, 8), 6: (3, 2)}
+    assert rasters.folder_pixels(spark, str(tmp_path), found).count() == 54
+    assert rasters.folder_pixels(spark, str(tmp_path), found, foreground=True).count() == 48
     rows = rasters.jpeg_pixels(spark, str(tmp_path)).collect()
     assert len(rows) == 48 and {r["section_number"] for r in rows} == {5}
     assert all(abs(r["c0"] - 0x30) < 4 and abs(r["c2"] - 0x10) < 4 for r in rows)

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import durable
+
 INTERNAL = "lpi"
 AXES = {"l": "lr", "r": "lr", "s": "si", "i": "si", "a": "ap", "p": "ap"}
 PLANE = ("ox", "oy", "oz", "ux", "uy", "uz", "vx", "vy", "vz")
@@ -119,6 +121,20 @@ def with_voxels(rows: DataFrame, voxels: DataFrame) -> DataFrame:
     return found.withColumns({c: F.coalesce(c, F.lit(0)).cast("long" if c == "label" else "int") for c in values})
 
 
+def needed_voxels(voxels: DataFrame, *cells: DataFrame) -> DataFrame:
+    """Those voxels that tables of cells (lx, ly, lz) name, stored: a volume is
+    read once for all of them, and only within their box."""
+    wanted = cells[0].select("lx", "ly", "lz")
+    for more in cells[1:]:
+        wanted = wanted.unionByName(more.select("lx", "ly", "lz"))
+    wanted = durable(wanted.filter("lx is not null and ly is not null and lz is not null").distinct())
+    box = wanted.agg(*[f(f"l{a}") for a in "xyz" for f in (F.min, F.max)]).first()
+    if box[0] is None:
+        return voxels.filter("false")
+    inside = reduce(lambda a, b: a & b, (F.col(a).between(box[2 * i], box[2 * i + 1]) for i, a in enumerate("xyz")))
+    return durable(voxels.filter(inside).join(wanted.toDF("x", "y", "z"), ["x", "y", "z"], "left_semi"))
+
+
 def slice_grid(sections: DataFrame) -> DataFrame:
     """Every cell (x, y) of each section's atlas slice with the voxel below it."""
     grid = sections.withColumns({"map_width": plane_size("u"), "map_height": plane_size("v")})

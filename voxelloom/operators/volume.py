@@ -72,15 +72,21 @@ def _span(known: DataFrame, targets: DataFrame) -> tuple[int, int]:
 def fill_nearest(targets: DataFrame, covered: DataFrame, k: int = 5, value: str = "value", edge: int | None = None,
                  how: str = "mean") -> DataFrame:
     """Each target voxel's value from its k nearest covered voxels (mean or
-    max), ties by x, y, z; all of them where there are fewer than k.
+    max), ties by x, y, z; all of them where there are fewer than k."""
+    return fill_all(targets, covered, {value: how}, k, edge)
+
+
+def fill_all(targets: DataFrame, covered: DataFrame, values: dict[str, str], k: int = 5, edge: int | None = None) -> DataFrame:
+    """fill_nearest of several columns, each with its own mean or max, from one
+    search.
 
     Covered voxels are dealt into cubes. A target looks at the cubes around its
     own; its k nearest are certain once the k-th is no farther than the edge of
     what it looked at. Targets that are not certain look again with cubes twice
     as large, until a cube spans everything. Each round is an equi-join, and its
     outcome is stored, so that no round is computed twice."""
-    known = covered.select(*(F.col(a).cast("int").alias(f"_{a}") for a in "xyz"), F.col(value).cast("double").alias("_v"))
-    known = durable(known)
+    held = [F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(values)]
+    known = durable(covered.select(*(F.col(a).cast("int").alias(f"_{a}") for a in "xyz"), *held))
     left = durable(targets.select("x", "y", "z").distinct())
     span, n = _span(known, left)
     if edge is None:  # so that most targets have k voxels within an edge
@@ -95,12 +101,11 @@ def fill_nearest(targets: DataFrame, covered: DataFrame, k: int = 5, value: str
         gap = sum(((F.col(a) - F.col(f"_{a}")).cast("long") * (F.col(a) - F.col(f"_{a}")) for a in "xyz"), F.lit(0).cast("long"))
         place = F.row_number().over(Window.partitionBy("x", "y", "z").orderBy("_gap", "_x", "_y", "_z"))
         near = pairs.withColumn("_gap", gap).withColumn("_place", place).filter(F.col("_place") <= k)
-        best = near.groupBy("x", "y", "z").agg(
-            (F.avg("_v") if how == "mean" else F.max("_v")).alias(value), F.count("*").alias("_n"), F.max("_gap").alias("_far")
-        )
+        found = [(F.avg if how == "mean" else F.max)(f"_v{i}").alias(c) for i, (c, how) in enumerate(values.items())]
+        best = near.groupBy("x", "y", "z").agg(*found, F.count("*").alias("_n"), F.max("_gap").alias("_far"))
         # what lies beyond the cubes looked at is more than one edge away
         certain = best if whole else best.filter((F.col("_n") == k) & (F.col("_far") <= edge * edge))
-        got = durable(certain.select("x", "y", "z", value))
+        got = durable(certain.select("x", "y", "z", *values))
         done = got if done is None else done.unionByName(got)
         if whole:
             return done
@@ -118,7 +123,6 @@ def finish(voxels: DataFrame, grid: DataFrame, interpolate: bool = True, k: int
     found = grid.select("x", "y", "z").join(covered, ["x", "y", "z"], "left")
     if not interpolate:
         return found.select("x", "y", "z", F.coalesce("value", F.lit(missing)).alias("value"), F.coalesce("freq", F.lit(0)).alias("freq"), F.coalesce("damage", F.lit(0)).alias("damage"))
-    values = fill_nearest(grid, covered, k)
-    damage = fill_nearest(grid, covered.withColumn("value", F.col("damage").cast("double")), k, how="max").withColumnRenamed("value", "_damage")
-    found = found.select("x", "y", "z", F.coalesce("freq", F.lit(0)).alias("freq")).join(values, ["x", "y", "z"], "left").join(damage, ["x", "y", "z"], "left")
+    near = fill_all(grid, covered.withColumnRenamed("damage", "_damage"), {"value": "mean", "_damage": "max"}, k)
+    found = found.select("x", "y", "z", F.coalesce("freq", F.lit(0)).alias("freq")).join(near, ["x", "y", "z"], "left")
     return found.select("x", "y", "z", F.coalesce("value", F.lit(missing)).alias("value"), "freq", (F.coalesce("_damage", F.lit(0.0)) > 0).cast("int").alias("damage"))

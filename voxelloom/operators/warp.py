@@ -65,38 +65,69 @@ def triangle_table(spark: SparkSession, sections: list[dict]) -> DataFrame:
     return spark.createDataFrame(rows, TRIANGLES)
 
 
-def _barycentric(x: Column, y: Column, p: str, q: str) -> tuple[Column, Column]:
+#: Cells along either axis of a section that its triangles are dealt to.
+CELLS = 16
+
+
+def _meshes(triangles: DataFrame, p: str, q: str) -> tuple[DataFrame, DataFrame]:
+    """Per section the box of its triangles' corners; and per cell of that box the
+    triangles that may reach into it, in order. Triangles are tens to hundreds a
+    section."""
+    low = [F.least(*(f"{c}{i}" for i in (0, 1, 2))) for c in (p, q)]
+    high = [F.greatest(*(f"{c}{i}" for i in (0, 1, 2))) for c in (p, q)]
+    boxes = triangles.groupBy("section_number").agg(*[F.min(c).alias(f"_{n}0") for c, n in zip(low, "xy", strict=True)], *[F.max(c).alias(f"_{n}1") for c, n in zip(high, "xy", strict=True)])
+    found = triangles.join(boxes, "section_number")
+    for n, a, b in zip("xy", low, high, strict=True):
+        found = found.withColumn(f"_c{n}", F.explode(F.sequence(_cell(a, n), _cell(b, n))))
+    corners = F.struct("ordinal", *[f"{c}{i}" for i in (0, 1, 2) for c in ("x", "y", "mx", "my")])
+    return boxes, found.groupBy("section_number", "_cx", "_cy").agg(F.array_sort(F.collect_list(corners)).alias("_mesh"))
+
+
+def _cell(value: Column, axis: str) -> Column:
+    """The cell of a coordinate; -1 and CELLS stand for what lies beyond the box."""
+    low, high = F.col(f"_{axis}0"), F.col(f"_{axis}1")
+    share = (value - low) * CELLS / F.when(high > low, high - low)
+    at = F.least(F.greatest(F.floor(F.coalesce(share, F.lit(0.0))), F.lit(0)), F.lit(CELLS - 1))
+    return F.when(value < low, -1).when(value > high, CELLS).otherwise(at).cast("int")
+
+
+def _barycentric(x: Column, y: Column, corners: Column, p: str, q: str) -> tuple[Column, Column]:
     """(u, v) of a point in the triangle with corners p0 q0, p1 q1, p2 q2."""
-    x0, y0 = F.col(f"{p}0"), F.col(f"{q}0")
-    ax, ay = F.col(f"{p}1") - x0, F.col(f"{q}1") - y0
-    bx, by = F.col(f"{p}2") - x0, F.col(f"{q}2") - y0
+    x0, y0 = corners[f"{p}0"], corners[f"{q}0"]
+    ax, ay = corners[f"{p}1"] - x0, corners[f"{q}1"] - y0
+    bx, by = corners[f"{p}2"] - x0, corners[f"{q}2"] - y0
     area = ax * by - ay * bx
     safe = F.when(area != 0, area)
     return ((x - x0) * by - (y - y0) * bx) / safe, (ax * (y - y0) - ay * (x - x0)) / safe
 
 
-def warp_points(points: DataFrame, triangles: DataFrame, key: list[str], x: str = "x", y: str = "y",
-                forward: bool = False) -> DataFrame:
+def warp_points(points: DataFrame, triangles: DataFrame, x: str = "x", y: str = "y", forward: bool = False) -> DataFrame:
     """Adds wx, wy: the place in the first triangle that holds the point, mapped
     to the other corners; (0, 0) where none does, the point itself where the
-    section has no triangles. key tells the points apart.
+    section has no triangles.
 
-    An equi-join on the section with the inclusion test as its condition; the
-    first triangle is a partial aggregate, so a point's hits are never gathered."""
+    A point meets the triangles of its own cell in one equi-join on section and
+    cell, and tries them in order; no point is held against a whole mesh, and
+    points are neither grouped nor joined back."""
     p, q, to_p, to_q = ("mx", "my", "x", "y") if forward else ("x", "y", "mx", "my")
-    corners = triangles.select("section_number", F.col("ordinal").alias("_ordinal"), *[F.col(f"{c}{i}").alias(f"_{c}{i}") for i in (0, 1, 2) for c in ("x", "y", "mx", "my")])
-    u, v = _barycentric(F.col(x), F.col(y), f"_{p}", f"_{q}")
-    inside = (u >= 0) & (u <= 1) & (v >= 0) & (v <= 1) & (u + v <= 1)
+    boxes, cells = _meshes(triangles, p, q)
+    at = points.join(boxes, "section_number", "left")
+    at = at.withColumns({"_cx": _cell(F.col(x), "x"), "_cy": _cell(F.col(y), "y")}).join(cells, ["section_number", "_cx", "_cy"], "left")
+
+    def inside(corners: Column) -> Column:
+        u, v = _barycentric(F.col(x), F.col(y), corners, p, q)
+        return F.coalesce((u >= 0) & (u <= 1) & (v >= 0) & (v <= 1) & (u + v <= 1), F.lit(False))
 
-    def moved(c: str) -> Column:
-        return F.col(f"_{c}0") + u * (F.col(f"_{c}1") - F.col(f"_{c}0")) + v * (F.col(f"_{c}2") - F.col(f"_{c}0"))
+    def moved(corners: Column) -> Column:
+        u, v = _barycentric(F.col(x), F.col(y), corners, p, q)
+        to = lambda c: corners[f"{c}0"] + u * (corners[f"{c}1"] - corners[f"{c}0"]) + v * (corners[f"{c}2"] - corners[f"{c}0"])
+        return F.struct(to(to_p).alias("wx"), to(to_q).alias("wy"))
 
-    hits = points.join(corners, "section_number").filter(inside)
-    first = hits.groupBy(*key).agg(F.min(F.struct("_ordinal", moved(to_p).alias("wx"), moved(to_q).alias("wy"))).alias("_hit"))
-    meshed = triangles.select("section_number").distinct().withColumn("_meshed", F.lit(True))
-    found = points.join(first, key, "left").join(meshed, "section_number", "left")
-    place = lambda c, old: F.when(F.col("_meshed"), F.coalesce(f"_hit.{c}", F.lit(0.0))).otherwise(F.col(old).cast("double"))
-    return found.withColumns({"wx": place("wx", x), "wy": place("wy", y)}).drop("_hit", "_meshed")
+    still = F.struct(F.col(x).cast("double").alias("wx"), F.col(y).cast("double").alias("wy"))
+    nowhere = F.struct(F.lit(0.0).alias("wx"), F.lit(0.0).alias("wy"))
+    hit = F.get(F.transform(F.slice(F.filter("_mesh", inside), 1, 1), moved), F.lit(0))
+    at = at.withColumn("_hit", F.when(F.col("_x0").isNull(), still).otherwise(F.coalesce(hit, nowhere)))
+    return at.withColumns({"wx": F.col("_hit.wx"), "wy": F.col("_hit.wy")}).drop("_hit", "_mesh", "_cx", "_cy", "_x0", "_x1", "_y0", "_y1")
 
 
 def displace(points: DataFrame, field: DataFrame, width: Column, height: Column, x: str = "x", y: str = "y") -> DataFrame:
@@ -130,22 +161,99 @@ def invert_field(field: DataFrame) -> DataFrame:
 
     def fill(section: pd.DataFrame) -> pd.DataFrame:
         section = section.sort_values(["yi", "xi"], ignore_index=True)
-        known = section["dx"].notna().to_numpy()
         values = section[["dx", "dy"]].to_numpy(float)
+        known = np.zeros((section["yi"].max() + 1, section["xi"].max() + 1), bool)
+        known[section["yi"], section["xi"]] = ~np.isnan(values[:, 0])
         if not known.any():
             values[:] = 0.0
-        elif not known.all():
-            places = section[["yi", "xi"]].to_numpy(float)
-            have = places[known]
-            for block in np.array_split(np.flatnonzero(~known), max(1, (~known).sum() * known.sum() // 4_000_000 + 1)):
-                gap = ((places[block, None] - have[None]) ** 2).sum(2)
-                values[block] = values[known][gap.argmin(1)]
+        elif np.isnan(values[:, 0]).any():
+            place = np.zeros(known.shape, np.int64)
+            place[section["yi"], section["xi"]] = np.arange(len(section))
+            near_y, near_x = nearest_known(known)
+            holes = np.isnan(values[:, 0])
+            y, x = section["yi"].to_numpy()[holes], section["xi"].to_numpy()[holes]
+            values[holes] = values[place[near_y[y, x], near_x[y, x]]]
         return section.assign(dx=values[:, 0], dy=values[:, 1])
 
     schema = field.select("section_number", "yi", "xi", F.col("dx").cast("double"), F.col("dy").cast("double")).schema
     return cells.select("section_number", "yi", "xi", F.col("dx").cast("double"), F.col("dy").cast("double")).groupBy("section_number").applyInPandas(fill, schema)
 
 
+#: Unknown cells that look at all columns together.
+LOOKS = 4_000_000
+
+
+def nearest_known(known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the known cell nearest to each cell, the first in raster
+    order on a tie. Rings of neighbours settle most cells; the others look at the
+    nearest known cell of each column."""
+    height, width = known.shape
+    rows, columns = np.indices(known.shape)
+    near_y, near_x = np.where(known, rows, -1), np.where(known, columns, -1)
+    y, x = np.nonzero(~known)
+    reach = range(-4, 5)
+    for dy, dx in sorted(((i, j) for i in reach for j in reach if 0 < i * i + j * j <= 16), key=lambda d: (d[0] ** 2 + d[1] ** 2, d)):
+        inside = (y + dy >= 0) & (y + dy < height) & (x + dx >= 0) & (x + dx < width)
+        hit = inside.copy()
+        hit[inside] = known[y[inside] + dy, x[inside] + dx]
+        near_y[y[hit], x[hit]], near_x[y[hit], x[hit]] = y[hit] + dy, x[hit] + dx
+        y, x = y[~hit], x[~hit]
+    if len(y):
+        up = np.maximum.accumulate(np.where(known, rows, -(1 << 20)), 0)
+        down = np.minimum.accumulate(np.where(known, rows, 1 << 20)[::-1], 0)[::-1]
+        best = np.where(rows - up <= down - rows, up, down)
+        for part in np.array_split(np.arange(len(y)), -(-len(y) * width // LOOKS)):
+            at = best[y[part]].astype(np.int64)
+            gap = (at - y[part, None]) ** 2 + (np.arange(width) - x[part, None]) ** 2
+            tied = np.where(gap == gap.min(1, keepdims=True), at, 1 << 21)
+            pick = tied.argmin(1)
+            near_y[y[part], x[part]], near_x[y[part], x[part]] = at[np.arange(len(part)), pick], pick
+    return near_y, near_x
+
+
+@dataclass
+class Warps:
+    """What moves the sections' points: triangles of markers, or displacement
+    fields (section_number, yi, xi, dx, dy) over the sections' images, which lead
+    to cells of the registration. Rows to be moved hold width and height."""
+
+    triangles: DataFrame | None = None
+    fields: DataFrame | None = None
+    inverse: DataFrame | None = None
+
+    def move(self, points: DataFrame, x: str = "x", y: str = "y", forward: bool = False) -> DataFrame:
+        """Adds wx, wy; sections without a warp stay as they are."""
+        if self.triangles is not None:
+            moved = warp_points(points, self.triangles, x, y, forward)
+        else:
+            moved = points.withColumns({"wx": F.col(x).cast("double"), "wy": F.col(y).cast("double")})
+        field = self.inverse if forward else self.fields
+        return moved if field is None else _displaced(moved, field, x, y)
+
+
+def _displaced(points: DataFrame, field: DataFrame, x: str, y: str) -> DataFrame:
+    """wx, wy anew where the section has a field: the place in the field's own
+    cells plus the displacement of the nearest one."""
+    sizes = field.groupBy("section_number").agg((F.max("xi") + 1).alias("_fw"), (F.max("yi") + 1).alias("_fh"))
+    at = points.join(sizes, "section_number", "left")
+    own = {"_px": F.col(x) * (F.col("_fw") / F.col("width").cast("double")), "_py": F.col(y) * (F.col("_fh") / F.col("height").cast("double"))}
+    at = at.withColumns(own)
+    cell = {c: F.least(F.greatest(F.rint(p), F.lit(0.0)), F.col(n) - 1).cast("int") for c, p, n in (("xi", "_px", "_fw"), ("yi", "_py", "_fh"))}
+    found = at.withColumns(cell).join(field.select("section_number", "yi", "xi", "dx", "dy"), ["section_number", "yi", "xi"], "left")
+    place = lambda p, d, old: F.when(F.col("_fw").isNotNull(), F.col(p) + F.coalesce(d, F.lit(0.0))).otherwise(F.col(old))
+    found = found.withColumns({"wx": place("_px", "dx", "wx"), "wy": place("_py", "dy", "wy")})
+    return found.drop("_fw", "_fh", "_px", "_py", "xi", "yi", "dx", "dy")
+
+
+def inverse_fields(sections: DataFrame, field: DataFrame) -> DataFrame:
+    """The way back of the sections' fields, on the cells of their registration."""
+    grid = sections.select("section_number", "width", "height").join(field.select("section_number").distinct(), "section_number")
+    grid = grid.withColumn("yi", F.explode(F.sequence(F.lit(0), F.col("height") - 1))).withColumn("xi", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
+    grid = grid.withColumns({"_gx": F.col("xi").cast("double"), "_gy": F.col("yi").cast("double"), "wx": F.lit(0.0), "wy": F.lit(0.0)})
+    there = _displaced(grid.withColumnsRenamed({"xi": "_xi", "yi": "_yi"}), field, "_gx", "_gy")
+    return invert_field(there.select("section_number", F.col("_yi").alias("yi"), F.col("_xi").alias("xi"), (F.col("wx") - F.col("_gx")).alias("dx"), (F.col("wy") - F.col("_gy")).alias("dy")))
+
+
 def source_cells(grid: DataFrame) -> DataFrame:
     """Adds sx, sy: the cell a warped atlas slice cell is pulled from. grid has
     wx, wy in registration space, and the sizes of slice and registration."""

@@ -5,6 +5,7 @@ a loop in the driver."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,9 @@ from ..model import Atlas, Extraction
 from ..operators import geometry, objects, pixels, regions, volume, warp
 from ..operators.geometry import PLANE
 from ..sources.files import image_files
-from ..sources.rasters import image_pixels
+from ..sources.rasters import folder_pixels, image_sizes
+from ..sources.registration import read_fields
+from ..storage import durable
 
 #: A segmentation format: which pixels are foreground, and what tells objects
 #: apart (None: connected components).
@@ -33,23 +36,29 @@ def format_of(name: str) -> tuple[Callable[[object], Column], str | None]:
     return FORMATS[name]
 
 
-def marker_triangles(sections: DataFrame) -> DataFrame | None:
-    """Triangles of all sections with markers, None where there are none;
-    sections are tens to thousands."""
+def warps_of(sections: DataFrame, both_ways: bool = False) -> warp.Warps | None:
+    """What moves points of the sections: markers' triangles, and the displacement
+    fields in their folders; None where there is neither. Sections are tens to
+    thousands."""
     rows = sections.filter("markers is not null and size(markers) > 0").select("section_number", "width", "height", "markers").collect()
-    return warp.triangle_table(sections.sparkSession, [r.asDict() for r in rows]) if rows else None
+    triangles = warp.triangle_table(sections.sparkSession, [r.asDict() for r in rows]) if rows else None
+    fields = read_fields(sections) if "field_folder" in sections.columns else None
+    if triangles is None and fields is None:
+        return None
+    inverse = durable(warp.inverse_fields(sections, fields)) if fields is not None and both_ways else None
+    return warp.Warps(triangles, fields, inverse)
 
 
-def section_maps(sections: DataFrame, atlas: Atlas, triangles: DataFrame | None = None) -> DataFrame:
+def section_maps(sections: DataFrame, atlas: Atlas, warps: warp.Warps | None = None) -> DataFrame:
     """Label (and hemi) of every cell of every section's slice, warped where the
-    section has triangles."""
+    section has a warp."""
     raster = geometry.slice_atlas(sections, atlas.voxels)
-    if triangles is None:
+    if warps is None:
         return raster
     sizes = sections.select("section_number", "width", "height")
     grid = raster.select("section_number", "map_width", "map_height", "y", "x").join(sizes, "section_number")
     grid = grid.withColumns({"rx": F.col("x") * F.col("width") / F.col("map_width").cast("double"), "ry": F.col("y") * F.col("height") / F.col("map_height").cast("double")})
-    grid = warp.warp_points(grid, triangles, ["section_number", "y", "x"], "rx", "ry")
+    grid = warps.move(grid, "rx", "ry")
     return warp.warp_raster(raster, warp.source_cells(grid)).drop("rx", "ry", "wx", "wy", "sx", "sy", "width", "height")
 
 
@@ -68,13 +77,10 @@ def map_areas(maps: DataFrame, damage: DataFrame, sizes: DataFrame, with_hemi: b
     return regions.region_areas(flagged, with_hemi, True, polarity).unionByName(plain, allowMissingColumns=True)
 
 
-def place(points: DataFrame, sections: DataFrame, triangles: DataFrame | None, key: list[str], x: str, y: str) -> DataFrame:
+def place(points: DataFrame, sections: DataFrame, warps: warp.Warps | None, x: str, y: str) -> DataFrame:
     """Adds ax, ay, az: registration coordinates warped, then through the plane."""
     plane = sections.select("section_number", *PLANE)
-    if triangles is None:
-        moved = points.withColumns({"wx": F.col(x), "wy": F.col(y)})
-    else:
-        moved = warp.warp_points(points, triangles, key, x, y)
+    moved = points.withColumns({"wx": F.col(x), "wy": F.col(y)}) if warps is None else warps.move(points, x, y)
     return geometry.to_atlas(moved.join(plane, "section_number"), "wx", "wy").drop("wx", "wy", *PLANE)
 
 
@@ -83,25 +89,37 @@ def turned(points: DataFrame, atlas: Atlas, orientation: str) -> DataFrame:
     return geometry.reorient(named, atlas.shape, orientation)
 
 
-def labelled(points: DataFrame, sections: DataFrame, atlas: Atlas, triangles: DataFrame | None = None, key: list[str] | None = None) -> DataFrame:
-    """Adds label and hemi of the map cell that each point (rx, ry) falls into; 0
-    outside. The cell's voxel is found by arithmetic, so that points meet the
-    volume in one equi-join and no map is made."""
+def voxel_cells(points: DataFrame, sections: DataFrame, warps: warp.Warps | None = None) -> DataFrame:
+    """Adds lx, ly, lz: the voxel below the map cell that each point (rx, ry) falls
+    into, null outside. It is found by arithmetic; no map is made."""
     plane = sections.select("section_number", *PLANE).join(geometry.map_sizes(sections), "section_number")
     at = points.drop("label", "hemi").join(plane, "section_number")
     at = at.withColumn("sy", geometry.floor_cell(F.col("ry"), F.col("height"), F.col("map_height")))
     at = at.withColumn("sx", geometry.floor_cell(F.col("rx"), F.col("width"), F.col("map_width")))
     inside = lambda: (F.col("sx") >= 0) & (F.col("sy") >= 0) & (F.col("sx") < F.col("map_width")) & (F.col("sy") < F.col("map_height"))
     at = at.withColumn("_in", inside())
-    if triangles is not None:
-        at = at.withColumns({"_cx": F.col("sx") * F.col("width") / F.col("map_width").cast("double"), "_cy": F.col("sy") * F.col("height") / F.col("map_height").cast("double")})
-        at = warp.source_cells(warp.warp_points(at, triangles, ["section_number", *(key or [])], "_cx", "_cy"))
-        at = at.withColumn("_in", F.col("_in") & inside()).drop("wx", "wy", "_cx", "_cy")
+    if warps is not None:
+        at = at.withColumns({"_cx0": F.col("sx") * F.col("width") / F.col("map_width").cast("double"), "_cy0": F.col("sy") * F.col("height") / F.col("map_height").cast("double")})
+        at = warp.source_cells(warps.move(at, "_cx0", "_cy0"))
+        at = at.withColumn("_in", F.col("_in") & inside()).drop("wx", "wy", "_cx0", "_cy0")
     cells = [F.when(F.col("_in"), c).alias(n) for c, n in zip(geometry.voxel_below(F.col("sx"), F.col("sy")), ("lx", "ly", "lz"), strict=True)]
-    found = geometry.with_voxels(at.select(*points.drop("label", "hemi").columns, *cells), atlas.voxels).drop("lx", "ly", "lz")
+    return at.select(*points.drop("label", "hemi").columns, *cells)
+
+
+def labelled(points: DataFrame, sections: DataFrame, atlas: Atlas, warps: warp.Warps | None = None) -> DataFrame:
+    """Adds label and hemi of the map cell that each point (rx, ry) falls into; 0
+    outside. Points meet the volume in one equi-join."""
+    found = geometry.with_voxels(voxel_cells(points, sections, warps), atlas.voxels).drop("lx", "ly", "lz")
     return found if atlas.has_hemi else found.withColumn("hemi", F.lit(None).cast("int"))
 
 
+def narrowed(atlas: Atlas, points: DataFrame, sections: DataFrame, warps: warp.Warps | None = None) -> Atlas:
+    """The atlas with those voxels alone that the points and the slices of the
+    sections look up, so that the volume is read and shuffled once for both."""
+    cells = voxel_cells(points, sections, warps)
+    return replace(atlas, voxels=geometry.needed_voxels(atlas.voxels, cells, geometry.slice_grid(sections)))
+
+
 def xy_to_atlas(coordinates: DataFrame, sections: DataFrame, atlas: Atlas, orientation: str = "asr") -> Extraction:
     """coordinates: section_number, x, y, image_width, image_height, ordinal.
     A section's image size is that of its first row; every point is an object;
@@ -112,12 +130,13 @@ def xy_to_atlas(coordinates: DataFrame, sections: DataFrame, atlas: Atlas, orien
     registered = sections.select("section_number", "width", "height")
     points = coordinates.select("section_number", "ordinal", "x", "y").join(sizes, "section_number").join(registered, "section_number")
     points = points.withColumns({"rx": geometry.scaled(F.col("x"), F.col("seg_width"), F.col("width")), "ry": geometry.scaled(F.col("y"), F.col("seg_height"), F.col("height"))})
-    triangles = marker_triangles(sections)
-    maps = section_maps(sections.join(sizes.select("section_number"), "section_number", "left_semi"), atlas, triangles)
-    damage = warp.damage_cells(sections)
-    found = labelled(points, sections, atlas, triangles, ["ordinal"])
+    used = sections.join(sizes.select("section_number"), "section_number", "left_semi")
+    warps, damage = warps_of(used), warp.damage_cells(used)
+    atlas = narrowed(atlas, points, used, warps)
+    maps = section_maps(used, atlas, warps)
+    found = labelled(points, used, atlas, warps)
     found = warp.flag_damage(found, damage, F.col("width"), F.col("height"), "rx", "ry")
-    found = place(found, sections, triangles, ["section_number", "ordinal"], "rx", "ry")
+    found = place(found, used, warps, "rx", "ry")
     result = turned(found.drop("x", "y", "rx", "ry", "seg_width", "seg_height", "width", "height"), atlas, orientation)
     return Extraction(result, result, map_areas(maps, damage, sizes, atlas.has_hemi), None, None, orientation, atlas.shape, atlas.has_hemi)
 
@@ -132,6 +151,13 @@ def _foreground(rows: DataFrame, name: str, pixel_id: object) -> DataFrame:
     return rows.filter(F.when(grey, F.col("c0") == tuple(pixel_id)[0]).otherwise(foreground(pixel_id)) if name == "binary" else foreground(pixel_id))
 
 
+def section_sizes(files: DataFrame) -> DataFrame:
+    """section_number, seg_width and seg_height of all sections with an image,
+    from the images' headers: an image without foreground counts as well."""
+    size = F.min_by(F.struct("seg_width", "seg_height"), "path").alias("_s")
+    return durable(image_sizes(files).groupBy("section_number").agg(size).select("section_number", "_s.*"))
+
+
 def segmentation_to_atlas(spark: SparkSession, folder: str, sections: DataFrame, atlas: Atlas, pixel_id: object = (0, 0, 0),
                           cutoff: int = 0, name: str = "binary", orientation: str = "asr") -> Extraction:
     """Foreground pixels are points; objects are components or labels of more
@@ -139,31 +165,32 @@ def segmentation_to_atlas(spark: SparkSession, folder: str, sections: DataFrame,
     are in. Images without a section are listed and otherwise left out."""
     geometry.check_orientation(orientation)
     files = image_files(spark, folder)
-    rows = image_pixels(files, foreground=name != "binary")
-    sizes = rows.groupBy("section_number").agg(F.first("width").alias("seg_width"), F.first("height").alias("seg_height"))
+    sizes = section_sizes(files)
+    rows = folder_pixels(spark, folder, files, foreground=name != "binary")
     front = _foreground(rows, name, pixel_id).select("section_number", "y", "x", F.col("c0").alias("component"))
     by = format_of(name)[1]
-    members = front if by else objects.connected_pixels(front)
+    members = durable(front if by else objects.connected_pixels(front))  # each image is decoded and labelled once
     registered = sections.select("section_number", "width", "height")
-    triangles, damage = marker_triangles(sections), warp.damage_cells(sections)
-    maps = section_maps(sections.join(sizes.select("section_number"), "section_number", "left_semi"), atlas, triangles)
+    used = durable(sections.join(sizes.select("section_number"), "section_number", "left_semi"))
+    warps, damage = warps_of(used), warp.damage_cells(used)
+    maps = durable(section_maps(used, atlas, warps))
 
     def to_registration(df: DataFrame) -> DataFrame:
         at = df.join(sizes, "section_number").join(registered, "section_number")
         return at.withColumns({"rx": geometry.scaled(F.col("x"), F.col("seg_width"), F.col("width")), "ry": geometry.scaled(F.col("y"), F.col("seg_height"), F.col("height"))})
 
-    points = labelled(to_registration(members), sections, atlas, triangles, ["y", "x"])
+    points = labelled(to_registration(members), used, atlas, warps)
     points = warp.flag_damage(points, damage, F.col("width"), F.col("height"), "rx", "ry")
-    points = place(points, sections, triangles, ["section_number", "y", "x"], "rx", "ry")
+    points = place(points, used, warps, "rx", "ry")
 
     votes = members.join(sizes, "section_number").join(geometry.map_sizes(sections), "section_number")
     votes = votes.withColumns({"_r": geometry.nearest_cell(F.col("y"), F.col("seg_height"), F.col("map_height")), "_c": geometry.nearest_cell(F.col("x"), F.col("seg_width"), F.col("map_width"))})
     cells = maps.select("section_number", F.col("y").cast("long").alias("_r"), F.col("x").cast("long").alias("_c"), "label")
     voted = objects.majority_labels(votes.join(cells, ["section_number", "_r", "_c"], "left"))
     table = objects.object_table(members, cutoff=cutoff).withColumnsRenamed({"cy": "y", "cx": "x"})
-    centres = labelled(to_registration(table), sections, atlas, triangles, ["component"]).drop("label").join(voted, ["section_number", "component"])
+    centres = labelled(to_registration(table), used, atlas, warps).drop("label").join(voted, ["section_number", "component"])
     centres = warp.flag_damage(centres, damage, F.col("width"), F.col("height"), "rx", "ry")
-    centres = place(centres, sections, triangles, ["section_number", "component"], "rx", "ry")
+    centres = place(centres, used, warps, "rx", "ry")
     extra = ("rx", "ry", "seg_width", "seg_height", "width", "height")
     lengths = members.groupBy("section_number").agg(F.count("*").alias("n_points"))
     listed = files.select("path", "section_number").join(lengths.join(registered, "section_number", "left_semi"), "section_number", "left").fillna(0, ["n_points"])
@@ -182,18 +209,20 @@ def _at_registration(maps: DataFrame, sections: DataFrame) -> DataFrame:
 
 def image_to_atlas(spark: SparkSession, folder: str, sections: DataFrame, atlas: Atlas, channel: str = "grayscale", low: float | None = None,
                    high: float | None = None, orientation: str = "asr", most: int = pixels.SAMPLE) -> Extraction:
-    """Intensity per region, and at most `most` signal pixels of each section.
-    Images are brought to registration size by the mean of what a cell covers."""
+    """Intensity per region, and at most `most` signal pixels of each section with
+    their value and colour. Images are brought to registration size by the mean
+    of what a cell covers; a grey image's colour is its value."""
     from ..functions.colours import channel as plane
+    from ..functions.colours import luma
 
     geometry.check_orientation(orientation)
     files = image_files(spark, folder)
-    rows = image_pixels(files)
+    rows = folder_pixels(spark, folder, files)
     grey = F.when(F.col("c1").isNull(), F.col("c0").cast("double")).otherwise(plane(F.col("c0"), F.col("c1"), F.col("c2"), channel))
     rows = rows.withColumn("value", pixels.bounded(grey, low, high))
-    sizes = rows.groupBy("section_number").agg(F.first("width").alias("seg_width"), F.first("height").alias("seg_height"))
+    sizes = section_sizes(files)
     registered = sections.select("section_number", "width", "height")
-    at = rows.select("section_number", "y", "x", "value").join(sizes, "section_number").join(registered, "section_number")
+    at = rows.select("section_number", "y", "x", "value", "c0", "c1", "c2").join(sizes, "section_number").join(registered, "section_number")
     for axis, n, m in (("y", "seg_height", "height"), ("x", "seg_width", "width")):
         step = F.col(m) / F.col(n).cast("double")
         first = F.floor(F.col(axis) * step + 1e-9)
@@ -201,18 +230,24 @@ def image_to_atlas(spark: SparkSession, folder: str, sections: DataFrame, atlas:
         at = at.withColumn(f"_{axis}", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
         at = at.withColumn(f"_w{axis}", F.least((F.col(axis) + 1) * step, F.col(f"_{axis}") + 1) - F.greatest(F.col(axis) * step, F.col(f"_{axis}")))
     weight = F.col("_wy") * F.col("_wx")
-    small = at.groupBy("section_number", F.col("_y").alias("y"), F.col("_x").alias("x")).agg((F.sum(F.col("value") * weight) / F.sum(weight)).alias("value"))
+    mean = lambda c: F.sum(F.col(c) * weight) / F.sum(weight)
+    small = at.groupBy("section_number", F.col("_y").alias("y"), F.col("_x").alias("x")).agg(mean("value").alias("value"), *[mean(c).alias(c) for c in ("c0", "c1", "c2")])
     small = small.withColumn("value", pixels.bounded(F.col("value"), low, high))
-    triangles, damage = marker_triangles(sections), warp.damage_cells(sections)
-    used = sections.join(sizes.select("section_number"), "section_number", "left_semi")
-    maps = section_maps(used, atlas, triangles)
-    cells = _at_registration(maps, sections).join(small, ["section_number", "y", "x"])
-    cells = warp.flag_damage(cells, damage, F.col("width"), F.col("height"))
+    shades = {n: F.rint(F.when(F.col("c1").isNull(), F.col("value")).otherwise(F.col(c))).cast("int") for n, c in (("b", "c0"), ("g", "c1"), ("r", "c2"))}
+    small = small.withColumns(shades).drop("c0", "c1", "c2")
+    light = luma(F.col("r"), F.col("g"), F.col("b"), whole=False)
+    dark = (F.lit(low is not None) & (light < (low or 0))) | (F.lit(high is not None) & (light > (high or 0)))
+    small = small.withColumns({c: F.when(dark, 0).otherwise(F.col(c)) for c in "rgb"})
+    used = durable(sections.join(sizes.select("section_number"), "section_number", "left_semi"))
+    warps, damage = warps_of(used), warp.damage_cells(used)
+    maps = durable(section_maps(used, atlas, warps))
+    cells = _at_registration(maps, used).join(small, ["section_number", "y", "x"])
+    cells = durable(warp.flag_damage(cells, damage, F.col("width"), F.col("height")))
     series = regions.region_intensities(cells, atlas.has_hemi)
     shown = cells.filter(pixels.signal(low, high) & F.col("undamaged"))
     shown = pixels.stride_sample(shown, most).withColumns({"rx": F.col("x").cast("double"), "ry": F.col("y").cast("double")})
     hemi = F.col("hemi") if atlas.has_hemi else F.lit(0)
-    points = place(shown.withColumn("hemi", hemi), sections, triangles, ["section_number", "y", "x"], "rx", "ry")
+    points = place(shown.withColumn("hemi", hemi), used, warps, "rx", "ry")
     points = turned(points.drop("rx", "ry", "width", "height"), atlas, orientation)
     return Extraction(points, None, map_areas(maps, damage, sizes, atlas.has_hemi), series, files.select("path", "section_number"), orientation, atlas.shape, atlas.has_hemi)
 
@@ -252,11 +287,8 @@ def plane_samples(signal: DataFrame, sizes: DataFrame, sections: DataFrame, scal
     grid = used.select("section_number", "width", "height", "seg_width", "seg_height", "plane_w", "plane_h", *PLANE)
     grid = grid.withColumn("py", F.explode(F.sequence(F.lit(0), F.col("plane_h") - 1))).withColumn("px", F.explode(F.sequence(F.lit(0), F.col("plane_w") - 1)))
     grid = grid.withColumns({"rx": (F.col("px") + 0.5) * F.col("width") / F.col("plane_w"), "ry": (F.col("py") + 0.5) * F.col("height") / F.col("plane_h")})
-    triangles = marker_triangles(sections)
-    if triangles is not None:
-        grid = warp.warp_points(grid, triangles, ["section_number", "py", "px"], "rx", "ry", forward=True)
-    else:
-        grid = grid.withColumns({"wx": F.col("rx"), "wy": F.col("ry")})
+    warps = warps_of(used, both_ways=True)
+    grid = warps.move(grid, "rx", "ry", forward=True) if warps is not None else grid.withColumns({"wx": F.col("rx"), "wy": F.col("ry")})
     at = grid.withColumns({"_c": F.rint("wx").cast("int"), "_r": F.rint("wy").cast("int")})
     inside = (F.col("_c") >= 0) & (F.col("_c") < F.col("width")) & (F.col("_r") >= 0) & (F.col("_r") < F.col("height"))
     cells = {"x": geometry.resized_cell(F.col("_c"), F.col("seg_width"), F.col("width")), "y": geometry.resized_cell(F.col("_r"), F.col("seg_height"), F.col("height"))}
@@ -281,8 +313,8 @@ def volume_from_images(spark: SparkSession, folder: str, sections: DataFrame, at
     from ..functions.colours import channel as plane
 
     volume.value_of(mode)
-    rows = image_pixels(image_files(spark, folder))
-    sizes = rows.groupBy("section_number").agg(F.first("width").alias("seg_width"), F.first("height").alias("seg_height"))
+    files = image_files(spark, folder)
+    rows, sizes = folder_pixels(spark, folder, files), section_sizes(files)
     if segmentation:
         pixel_id = parse_colour(colour)
         signal = _foreground(rows, name, pixel_id if name == "binary" else None).select("section_number", "y", "x", F.lit(1.0).alias("value"))

@@ -330,7 +330,7 @@ _UV = """uv as (select event_id, t.*, ((rx - x0) * (y2 - y0) - (ry - y0) * (x2 -
 
 @query(f"{ctes('fx_xy', 'fx_sections')}, {_PLACED}, {_triangle_sql()}, {_UV} select event_id, round(coalesce(wx, 0), 6) as wx, round(coalesce(wy, 0), 6) as wy from placed left join hit using (event_id)")
 def triangle_warp(spark: SparkSession, sf: str) -> DataFrame:
-    moved = warp.warp_points(_placed(spark, sf), _triangles(spark), ["event_id"], "rx", "ry")
+    moved = warp.warp_points(_placed(spark, sf), _triangles(spark), "rx", "ry")
     return moved.select("event_id", F.round("wx", 6).alias("wx"), F.round("wy", 6).alias("wy"))
 
 

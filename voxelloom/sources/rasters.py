@@ -1,9 +1,10 @@
 """Decoders of raster files, and image pixels as rows.
 
-PNG (8 and 16 bits, grey, colour, palette, with alpha), BMP, TIFF (plain and
-deflate strips), Deep Zoom archives of PNG tiles, SegRLE and flat rasters are
-decoded with numpy and zlib; JPEG goes through Spark's image source. Colour
-comes in stored order blue, green, red."""
+PNG (also interlaced), BMP, TIFF and BigTIFF (strips and tiles, plain, deflate,
+LZW and PackBits, with horizontal differences, in one or several planes), Deep
+Zoom archives of PNG tiles, SegRLE and flat rasters are decoded with numpy and
+zlib; JPEG goes through Spark's image source. Colour comes in stored order blue,
+green, red."""
 
 from __future__ import annotations
 
@@ -39,24 +40,17 @@ def decode_png(data: bytes) -> np.ndarray:
             packed.append(body)
         at += 12 + size
     width, height, depth, colour, _, _, interlaced = head
-    if interlaced:
-        raise ValueError("interlaced PNG files are not supported")
     planes = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
-    row, step = (width * planes * depth + 7) // 8, max(1, planes * depth // 8)
-    lines = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(height, row + 1)
-    out = np.zeros((height, row), np.uint8)
-    before = np.zeros(row, np.uint8)
-    for y in range(height):
-        before = out[y] = _unfilter(int(lines[y, 0]), lines[y, 1:], before, step)
-    if depth == 16:
-        image = out.view(">u2").astype(np.uint16).reshape(height, width, planes)
-    elif depth == 8:
-        image = out.reshape(height, width, planes)
-    else:
-        bits = np.unpackbits(out, axis=1).reshape(height, -1, depth)[:, : width * planes]
-        image = (bits * (1 << np.arange(depth - 1, -1, -1))).sum(2).astype(np.uint8).reshape(height, width, planes)
-        if colour == 0:
-            image = image * (255 // (2**depth - 1))
+    lines = zlib.decompress(b"".join(packed))
+    image = np.zeros((height, width, planes), np.uint16 if depth == 16 else np.uint8)
+    at = 0
+    for y, x, dy, dx in ADAM7 if interlaced else ((0, 0, 1, 1),):
+        place = image[y::dy, x::dx]
+        if place.size:
+            part, at = _pass(lines, at, place.shape[0], place.shape[1], planes, depth)
+            place[:] = part
+    if colour == 0 and depth < 8:
+        image = image * np.uint8(255 // (2**depth - 1))
     if colour == 3:
         image = palette[image[:, :, 0]]
     if image.shape[2] >= 3:
@@ -64,29 +58,53 @@ def decode_png(data: bytes) -> np.ndarray:
     return image[:, :, 0]
 
 
-def _unfilter(kind: int, line: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
-    if kind == 0:
-        return line
-    if kind == 2:
-        return line + above
-    if kind == 1:
-        whole = line.reshape(-1, step) if len(line) % step == 0 else None
-        if whole is not None:
-            return np.cumsum(whole, 0, dtype=np.uint64).astype(np.uint8).ravel()
-    out, up, raw = [0] * len(line), above.tolist(), line.tolist()
-    for i, value in enumerate(raw):
-        a = out[i - step] if i >= step else 0
-        b, c = up[i], up[i - step] if i >= step else 0
-        if kind == 1:
-            guess = a
-        elif kind == 3:
-            guess = (a + b) // 2
-        else:
-            near = a + b - c
-            pa_, pb, pc = abs(near - a), abs(near - b), abs(near - c)
-            guess = a if pa_ <= pb and pa_ <= pc else b if pb <= pc else c
-        out[i] = (value + guess) & 255
-    return np.array(out, np.uint8)
+#: First row and column, and their steps, of the seven passes (fixed values).
+ADAM7 = ((0, 0, 8, 8), (0, 4, 8, 8), (4, 0, 8, 4), (0, 2, 4, 4), (2, 0, 4, 2), (0, 1, 2, 2), (1, 0, 2, 1))
+
+
+def _pass(data: bytes, at: int, height: int, width: int, planes: int, depth: int) -> tuple[np.ndarray, int]:
+    """The pixels of one pass that starts at a byte, and where it ends."""
+    row, step = (width * planes * depth + 7) // 8, max(1, planes * depth // 8)
+    lines = np.frombuffer(data, np.uint8, height * (row + 1), at).reshape(height, row + 1)
+    out = _unfiltered(lines[:, 0], lines[:, 1:], step)
+    if depth == 16:
+        image = out.view(">u2").astype(np.uint16)
+    elif depth == 8:
+        image = out
+    else:
+        bits = np.unpackbits(out, axis=1).reshape(height, -1, depth)[:, : width * planes]
+        image = (bits * (1 << np.arange(depth - 1, -1, -1))).sum(2).astype(np.uint8)
+    return image.reshape(height, width, planes), at + height * (row + 1)
+
+
+def _unfiltered(kinds: np.ndarray, lines: np.ndarray, step: int) -> np.ndarray:
+    """Bytes of filtered lines. A byte depends on the ones before it, above it and
+    before that, so all bytes on a diagonal are known at once."""
+    height, row = lines.shape
+    if not kinds.any():
+        return np.ascontiguousarray(lines)
+    width = -(-row // step)
+    raw = np.zeros((height, width, step), np.int16)
+    raw.reshape(height, -1)[:, :row] = lines
+    out = np.zeros((height + 1, width + 1, step), np.int16)
+    if kinds.max() <= 2:  # whole lines at a time
+        for y, kind in enumerate(kinds.tolist()):
+            if kind == 1:
+                out[y + 1, 1:] = np.cumsum(raw[y], 0, dtype=np.int64) & 255
+            else:
+                out[y + 1, 1:] = raw[y] + (out[y, 1:] if kind == 2 else 0) & 255
+    else:
+        kinds = kinds.astype(np.int64)
+        for d in range(width + height - 1):
+            ys = np.arange(max(0, d - width + 1), min(height, d + 1))
+            xs = d - ys
+            a, b, c = (out[ys + i, xs + j].astype(np.int32) for i, j in ((1, 0), (0, 1), (0, 0)))
+            kind = kinds[ys][:, None]
+            pa_, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
+            paeth = np.where((pa_ <= pb) & (pa_ <= pc), a, np.where(pb <= pc, b, c))
+            guess = np.choose(kind, [np.zeros_like(a), a, b, (a + b) // 2, paeth])
+            out[ys + 1, xs + 1] = raw[ys, xs] + guess & 255
+    return np.ascontiguousarray(out[1:, 1:].reshape(height, -1)[:, :row].astype(np.uint8))
 
 
 def encode_png(image: np.ndarray) -> bytes:
@@ -118,27 +136,110 @@ def decode_bmp(data: bytes) -> np.ndarray:
     return palette[image[:, :, 0], :3]
 
 
-def decode_tiff(data: bytes) -> np.ndarray:
+def tiff_tags(data: bytes) -> tuple[str, dict[int, tuple]]:
+    """Byte order and tags of the first image of a TIFF or BigTIFF file."""
     end = {b"II": "<", b"MM": ">"}[data[:2]]
-    (at,) = struct.unpack(end + "I", data[4:8])
+    (version,) = struct.unpack(end + "H", data[2:4])
+    if version not in (42, 43):
+        raise ValueError("not a TIFF file")
+    word, count, head, entry = ("Q", "Q", 8, 20) if version == 43 else ("I", "H", 4, 12)
+    size = struct.calcsize(end + word)
+    (at,) = struct.unpack_from(end + word, data, head)
     tags: dict[int, tuple] = {}
-    for i in range(struct.unpack(end + "H", data[at : at + 2])[0]):
-        tag, kind, n = struct.unpack(end + "HHI", data[at + 2 + 12 * i : at + 10 + 12 * i])
-        code, size = {1: ("B", 1), 3: ("H", 2), 4: ("I", 4)}.get(kind, ("B", 1))
-        place = at + 10 + 12 * i
-        if n * size > 4:
-            (place,) = struct.unpack(end + "I", data[place : place + 4])
-        tags[tag] = struct.unpack(f"{end}{n}{code}", data[place : place + n * size])
+    (n_tags,) = struct.unpack_from(end + count, data, at)
+    for i in range(n_tags):
+        place = at + struct.calcsize(end + count) + entry * i
+        tag, kind, n = struct.unpack_from(end + "HH" + word, data, place)
+        code, width = {1: ("B", 1), 3: ("H", 2), 4: ("I", 4), 16: ("Q", 8)}.get(kind, ("B", 1))
+        place += 4 + size
+        if n * width > size:
+            (place,) = struct.unpack_from(end + word, data, place)
+        tags[tag] = struct.unpack_from(f"{end}{n}{code}", data, place)
+    return end, tags
+
+
+def unpack_bits(data: bytes) -> bytes:
+    out, at = bytearray(), 0
+    while at < len(data):
+        n = data[at]
+        if n < 128:
+            out += data[at + 1 : at + 2 + n]
+            at += n + 2
+        else:
+            out += data[at + 1 : at + 2] * (257 - n if n > 128 else 0)
+            at += 2 if n > 128 else 1
+    return bytes(out)
+
+
+def unpack_lzw(data: bytes) -> bytes:
+    """TIFF's LZW: codes of 9 to 12 bits, most significant bit first."""
+    fresh = [bytes([i]) for i in range(256)] + [b"", b""]
+    table, width, before, out = list(fresh), 9, b"", []
+    held = bits = 0
+    for byte in data:
+        held, bits = (held << 8 | byte) & 0xFFFFFF, bits + 8
+        if bits < width:
+            continue
+        bits -= width
+        code = held >> bits & (1 << width) - 1
+        if code == 257:
+            break
+        if code == 256:
+            table, width, before = list(fresh), 9, b""
+            continue
+        if code > len(table) or (code == len(table) and not before):
+            raise ValueError("broken LZW data")
+        word = table[code] if code < len(table) else before + before[:1]
+        out.append(word)
+        if before:
+            table.append(before + word[:1])
+        before = word
+        if len(table) >= (1 << width) - 1 and width < 12:
+            width += 1
+    return b"".join(out)
+
+
+TIFF_PACKINGS = {1: bytes, 5: unpack_lzw, 8: zlib.decompress, 32946: zlib.decompress, 32773: unpack_bits}
+
+
+def decode_tiff(data: bytes) -> np.ndarray:
+    end, tags = tiff_tags(data)
     width, height = tags[256][0], tags[257][0]
     bits, planes, packing = tags.get(258, (1,))[0], tags.get(277, (1,))[0], tags.get(259, (1,))[0]
-    strips = [data[o : o + n] for o, n in zip(tags[273], tags[279], strict=True)]
-    if packing in (8, 32946):
-        strips = [zlib.decompress(s) for s in strips]
-    elif packing != 1:
-        raise ValueError(f"TIFF compression {packing} is not supported")
-    whole = {1: "u", 2: "i", 3: "f"}[tags.get(339, (1,))[0]]
-    image = np.frombuffer(b"".join(strips), f"{end}{whole}{bits // 8}").reshape(height, width, planes)
-    image = image.astype(image.dtype.newbyteorder("="))
+    predictor, photometric = tags.get(317, (1,))[0], tags.get(262, (1,))[0]
+    whole = {1: "u", 2: "i", 3: "f"}.get(tags.get(339, (1,))[0])
+    if packing not in TIFF_PACKINGS or predictor not in (1, 2) or bits not in (1, 8, 16, 32, 64) or whole is None or (bits == 1 and planes > 1):
+        raise ValueError(f"TIFF compression {packing}, predictor {predictor}, {bits} bits of sample format {tags.get(339)} is not supported")
+    kind = np.dtype(f"{end}{whole}{max(1, bits // 8)}")
+    apart = tags.get(284, (1,))[0] == 2
+    each = 1 if apart else planes
+    if 322 in tags:
+        wide, tall, starts, sizes = tags[322][0], tags[323][0], tags[324], tags[325]
+    else:
+        wide, tall, starts, sizes = width, min(height, tags.get(278, (height,))[0]), tags[273], tags[279]
+    across, down = -(-width // wide), -(-height // tall)
+    image = np.zeros((height, width, planes), kind.newbyteorder("="))
+    for i, (start, size) in enumerate(zip(starts, sizes, strict=True)):
+        plane, place = divmod(i, across * down)
+        y, x = place // across * tall, place % across * wide
+        rows = tall if 322 in tags else min(tall, height - y)
+        raw = TIFF_PACKINGS[packing](data[start : start + size])
+        if bits == 1:
+            line = -(-wide // 8)
+            part = np.unpackbits(np.frombuffer(raw, np.uint8, rows * line).reshape(rows, line), axis=1)[:, :wide, None]
+        else:
+            part = np.frombuffer(raw, kind, rows * wide * each).reshape(rows, wide, each).astype(kind.newbyteorder("="))
+        if predictor == 2:
+            part = np.cumsum(part, 1, dtype=part.dtype)
+        spot = image[y : y + tall, x : x + wide, plane : plane + 1] if apart else image[y : y + tall, x : x + wide]
+        spot[:] = part[: spot.shape[0], : spot.shape[1]]
+    if bits == 1:
+        image = image * np.uint8(255)
+    if photometric == 0 and whole == "u":
+        image = np.iinfo(image.dtype).max - image
+    if photometric == 3:
+        colours = np.array(tags[320]).reshape(3, -1) >> 8
+        return colours[::-1].T[image[:, :, 0]].astype(np.uint8)
     return image[:, :, 2::-1] if planes >= 3 else image[:, :, 0]
 
 
@@ -226,12 +327,77 @@ def encode_segrle(image: np.ndarray, atlas: str = "") -> bytes:
     return b"".join(out)
 
 
+DECODERS = {"png": decode_png, "bmp": decode_bmp, "tif": decode_tiff, "tiff": decode_tiff, "dzip": decode_dzi, "flat": decode_flat}
+SIZES = "path string, section_number int, seg_height int, seg_width int"
+
+
+def ending(path: str) -> str:
+    return path.rsplit(".", 1)[-1].lower()
+
+
 def decode(path: str, data: bytes) -> np.ndarray:
-    ending = path.rsplit(".", 1)[-1].lower()
-    decoders = {"png": decode_png, "bmp": decode_bmp, "tif": decode_tiff, "tiff": decode_tiff, "dzip": decode_dzi, "flat": decode_flat}
-    if ending not in decoders:
+    if ending(path) not in DECODERS:
+        raise ValueError(f"no decoder for {path}")
+    return DECODERS[ending(path)](data)
+
+
+def jpeg_size(data: bytes) -> tuple[int, int]:
+    at = 2
+    while at + 9 < len(data) and data[at] == 0xFF:
+        kind = data[at + 1]
+        if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
+            return struct.unpack(">HH", data[at + 5 : at + 9])
+        at += 1 if kind == 0xFF else 2 + struct.unpack(">H", data[at + 2 : at + 4])[0]
+    raise ValueError("a JPEG file without a frame")
+
+
+def size_of(path: str, data: bytes) -> tuple[int, int]:
+    """Height and width from a file's header; no pixel is decoded."""
+    kind = ending(path)
+    if kind == "png":
+        width, height = struct.unpack(">II", data[16:24])
+    elif kind == "bmp":
+        width, height = struct.unpack("<ii", data[18:26])
+    elif kind in ("tif", "tiff"):
+        tags = tiff_tags(data)[1]
+        width, height = tags[256][0], tags[257][0]
+    elif kind in ("jpg", "jpeg"):
+        height, width = jpeg_size(data)
+    elif kind == "flat":
+        _, width, height = struct.unpack(">BII", data[:9])
+    elif kind == "dzip":
+        with zipfile.ZipFile(io.BytesIO(data)) as archive:
+            root = ET.fromstring(archive.read(next(n for n in archive.namelist() if n.endswith(".dzi"))))
+        size = next(e for e in root.iter() if e.tag.endswith("Size"))
+        height, width = int(size.attrib["Height"]), int(size.attrib["Width"])
+    else:
         raise ValueError(f"no decoder for {path}")
-    return decoders[ending](data)
+    return abs(height), width
+
+
+def image_sizes(files: DataFrame) -> DataFrame:
+    """path, section_number, seg_height and seg_width of every file, whether it
+    has foreground or not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [size_of(p.as_py(), c.as_py()) for p, c in zip(batch.column(0), batch.column(1), strict=True)]
+            columns = [pa.array([s[i] for s in sizes], pa.int32()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=[c.split()[0] for c in SIZES.split(", ")])
+
+    return files.select("path", "content", F.col("section_number").cast("int")).mapInArrow(run, SIZES)
+
+
+def folder_pixels(spark: SparkSession, folder: str, files: DataFrame, foreground: bool = False) -> DataFrame:
+    """Pixels of all images of a folder, in whatever format."""
+    is_jpeg = F.lower("path").rlike(r"\.jpe?g$")
+    rows = image_pixels(files.filter(~is_jpeg), foreground)
+    if files.filter(is_jpeg).select("path").isEmpty():
+        return rows
+    jpegs = jpeg_pixels(spark, folder)
+    if foreground:
+        jpegs = jpegs.filter("c0 <> 0 or coalesce(c1, 0) <> 0 or coalesce(c2, 0) <> 0")
+    return rows.unionByName(jpegs)
 
 
 def image_pixels(files: DataFrame, foreground: bool = False) -> DataFrame:
@@ -282,7 +448,7 @@ def jpeg_pixels(spark: SparkSession, folder: str) -> DataFrame:
     """Pixels of a folder's JPEG files, decoded by Spark's image source."""
     from .files import section_number
 
-    files = spark.read.format("image").option("dropInvalid", True).load(folder).select("image.*")
+    files = spark.read.format("image").option("dropInvalid", True).option("pathGlobFilter", "*.[jJ][pP]*[gG]").load(folder).select("image.*")
     files = files.filter(F.lower("origin").rlike(r"\.jpe?g$")).withColumn("section_number", section_number(F.col("origin")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
