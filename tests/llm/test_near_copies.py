@@ -8,6 +8,7 @@ import pytest
 
 import corpus_pipeline
 from voxelloom.llm import near_copies
+from voxelloom.llm.common import durable
 
 
 def shingles(text):
@@ -37,7 +38,8 @@ def kept_by_force(rows):
 
 
 def test_stage_reaches_four_fifths(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").dropDuplicates(["doc_id"]).select("doc_id", "text", "lang").localCheckpoint()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").dropDuplicates(["doc_id"]).select("doc_id", "text", "lang")
+    docs = durable(docs)
     want, pairs = kept_by_force([(r["doc_id"], r["text"]) for r in docs.collect()])
     stay = corpus_pipeline.near_duplicates(spark, docs, sf_dir)
     assert stay.columns == docs.columns and pairs > 5
@@ -90,6 +92,54 @@ def test_listed_hashes_meet(seed):
             assert len(shared) >= 1 + min(len(a), len(b)) // near_copies.STEP
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_parity_bits_never_exceed_what_differs(seed):
+    import numpy as np
+
+    picks = np.random.default_rng(seed)
+    for n in (1, 5, 40, 300, 3000):
+        pool = np.unique(picks.integers(-(1 << 62), 1 << 62, 2 * n))
+        a, b = pool[: n + n // 3], pool[n // 4 :]
+        bits = near_copies.parities(a) ^ near_copies.parities(b)
+        differ = sum(int(x).bit_count() for x in bits.view(np.uint64))
+        assert differ <= len(set(a) ^ set(b)) and len(bits) == near_copies.PARITY
+
+
+def test_equal_shingles_have_equal_hashes():
+    import numpy as np
+
+    picks = random.Random(4)
+    words = [picks.choice("abcdefgh") for _ in range(500)]
+    text = " ".join(words).encode()
+    found = near_copies.hashes(text)
+    assert len(found) == len(near_copies.shingles(text)) and (np.diff(found) > 0).all()
+    part = near_copies.hashes(b" ".join(text.split()[40:90]))
+    assert np.isin(part, found).all()
+    assert len({int(near_copies.hashes(t)[0]) for t in (b"", b"a", b"a a", b"a a a a", b"a a a a a")}) == 5
+
+
+def test_a_crowd_below_the_bound_gives_few_pairs(spark, monkeypatch):
+    """Copies that each share more with one text than with one another: pairs that
+    can't be near don't come out of the join."""
+    picks = random.Random(9)
+    base, rows = [str(picks.randrange(10_000)) for _ in range(200)], []
+    for i in range(300):
+        new = list(base)
+        for k in range(4 + i % 4):
+            new[picks.randrange(200)] = f"w{i}x{k}"
+        rows.append((i, " ".join(new)))
+    counts, verify = [], near_copies.verified
+
+    def counting(pairs, texts):
+        counts.append(pairs.count())
+        return verify(pairs, texts)
+
+    monkeypatch.setattr(near_copies, "verified", counting)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in near_copies.keep_one(docs).collect()) == kept_by_force(rows)[0]
+    assert sum(counts) < 300 * 299 // 2 // 4
+
+
 def test_close_fingerprints_alone_link_nothing(spark, sf_dir):
     from voxelloom.llm import simhash
 
