@@ -293,3 +293,150 @@ def test_stride(spark, n):
 
 def test_tables_module_has_columns():
     assert tables.COORDINATES[-1] == "section number"
+
+
+def test_empty_label_images_keep_their_areas(spark, sections, atlas, tmp_path):
+    image = np.zeros((64, 80), np.uint16)
+    (tmp_path / "a_s001.png").write_bytes(rasters.encode_png(image))
+    image[3, 3] = 9
+    (tmp_path / "a_s002.png").write_bytes(rasters.encode_png(image))
+    result = pipelines.segmentation_to_atlas(spark, str(tmp_path), sections, atlas, name="cellpose")
+    areas = {r["section_number"]: r["n"] for r in result.areas.groupBy("section_number").agg(F.sum("region_area").alias("n")).collect()}
+    assert areas.keys() == {1, 2} and areas[1] == pytest.approx(areas[2]) and areas[1] == pytest.approx(64 * 80, rel=0.01)
+    assert result.points.count() == 1 and {r["section_number"]: r["n_points"] for r in result.files.collect()} == {1: 0, 2: 1}
+    blank = pipelines.segmentation_to_atlas(spark, str(tmp_path), sections, atlas, (7, 7, 7))
+    assert blank.points.count() == 0 and pipelines.quantify(blank, atlas.labels).agg(F.sum("region_area")).first()[0] == pytest.approx(2 * 64 * 80, rel=0.01)
+
+
+def test_colours_of_signal_pixels(spark, sections, atlas, tmp_path):
+    image = np.zeros((32, 40, 3), np.uint8)
+    image[:16], image[16:] = (200, 100, 50), (10, 0, 0)
+    (tmp_path / "a_s001.png").write_bytes(rasters.encode_png(image))
+    result = pipelines.image_to_atlas(spark, str(tmp_path), sections, atlas, low=20)
+    assert {(r["r"], r["g"], r["b"]) for r in result.points.select("r", "g", "b").distinct().collect()} == {(200, 100, 50)}
+    exports.save_analysis(str(tmp_path / "out"), result, atlas.labels, colormap="original_colours")
+    (cloud,) = json.loads((tmp_path / "out/whole_series_clouds/pixels_cloud.json").read_text())
+    assert cloud["name"] == "Color 200,100,50" and cloud["count"] == 16 * 40 and len(cloud["triplets"]) == 3 * 16 * 40
+
+
+def test_jpegs_are_read_like_other_images(spark, sections, atlas, tmp_path):
+    image = spark._jvm.java.awt.image.BufferedImage(80, 64, 1)
+    for y in range(64):
+        for x in range(80):
+            image.setRGB(x, y, 0xFFFFFF if x < 40 else 0)
+    spark._jvm.javax.imageio.ImageIO.write(image, "jpg", spark._jvm.java.io.File(str(tmp_path / "a_s001.jpg")))
+    result = pipelines.segmentation_to_atlas(spark, str(tmp_path), sections, atlas)
+    assert result.points.count() == pytest.approx(64 * 40, rel=0.05)
+    assert pipelines.quantify(pipelines.image_to_atlas(spark, str(tmp_path), sections, atlas), atlas.labels).agg(F.max("mean_intensity")).first()[0] > 100
+
+
+def test_sections_with_displacement_fields(spark, series, sections, atlas, tmp_path):
+    """A field that shifts by a constant shifts the points, and the way back undoes it."""
+    for name, shift in zip(registration.FIELDS, (2.0, -3.0), strict=True):
+        (tmp_path / name).write_bytes(rasters.encode_tiff(np.full((32, 40), shift, np.float32)))
+    plain = sections.filter("section_number = 1")
+    moved = plain.withColumn("field_folder", F.lit(str(tmp_path)))
+    xy = spark.createDataFrame([(1, 40.0, 20.0, 80, 64, 0), (1, 70.0, 50.0, 80, 64, 1)], "section_number int, x double, y double, image_width int, image_height int, ordinal long")
+    at = {k: {r["ordinal"]: r for r in pipelines.xy_to_atlas(xy, s, atlas, "lpi").points.collect()} for k, s in (("plain", plain), ("moved", moved))}
+    for n in (0, 1):
+        assert at["moved"][n]["x"] == pytest.approx(at["plain"][n]["x"] - 3 / 40 * 19.99) and at["moved"][n]["z"] == pytest.approx(at["plain"][n]["z"] - 2 / 32 * 15.99)
+    warps = pipelines.warps_of(moved, both_ways=True)
+    points = spark.createDataFrame([(1, 40, 32, 17.0, 20.0)], "section_number int, width int, height int, x double, y double")
+    there = warps.move(points).select("section_number", "width", "height", F.col("wx").alias("x"), F.col("wy").alias("y"))
+    (back,) = warps.move(there, forward=True).collect()
+    assert (there.first()["x"], there.first()["y"]) == (14, 22) and (back["wx"], back["wy"]) == (17, 20)
+    made = pipelines.volume_from_images(spark, str(series[0] / "images"), moved, atlas, "0,0,0", interpolate=False, missing=0.0)
+    assert made.agg(F.sum("value")).first()[0] > 0
+
+
+@pytest.mark.parametrize("share", [0.0, 0.001, 0.3])
+def test_nearest_known_cells(share):
+    picks = np.random.default_rng(3)
+    known = picks.random((40, 60)) < share
+    known[7, 50] = True
+    near_y, near_x = warp.nearest_known(known)
+    places = np.argwhere(known)
+    for y, x in picks.integers(0, (40, 60), (300, 2)):
+        gaps = ((places - (y, x)) ** 2).sum(1)
+        assert tuple(places[gaps.argmin()]) == (near_y[y, x], near_x[y, x])
+
+
+def test_section_visuals(spark, series, sections, atlas, tmp_path):
+    done = pipelines.section_visuals(spark, sections, atlas, str(tmp_path), str(series[0] / "images"), 0.5).collect()
+    assert sorted(r["path"].rsplit("/", 1)[-1] for r in done) == ["section_001_m_s001_atlas_colored.png", "section_002_m_s002_atlas_colored.png"]
+    image = rasters.decode_png((tmp_path / "visualisations/section_001_m_s001_atlas_colored.png").read_bytes())
+    assert image.shape == (32, 40, 3)
+    maps = {(r["y"], r["x"]): r["label"] for r in geometry.slice_atlas(sections.filter("section_number = 1"), atlas.voxels).collect()}
+    rows, columns = max(y for y, _ in maps) + 1, max(x for _, x in maps) + 1
+    colours = {0: (0, 0, 0), 1: (10, 0, 0), 2: (0, 20, 0), 3: (0, 0, 30)}
+    for y in range(32):
+        for x in range(40):
+            red, green, blue = colours[maps[y * rows // 32, x * columns // 40]]
+            front = not series[1][1][y * 2, x * 2].any()
+            want = (255 - blue, 255 - green, 255 - red) if front else (blue, green, red)
+            assert tuple(image[y, x]) == want
+    bare = pipelines.section_visuals(spark, sections, atlas, str(tmp_path / "bare"), None, 1.0)
+    assert bare.filter("error is null").count() == 2
+    assert rasters.decode_png((tmp_path / "bare/visualisations/section_002_m_s002_atlas_colored.png").read_bytes()).shape == (32, 40, 3)
+
+
+def test_slabs(spark, atlas, tmp_path):
+    whole = exports.dense(atlas.voxels, SHAPE, "label")
+    parts = list(exports.slabs(atlas.voxels, SHAPE, "label", most=SHAPE[0] * SHAPE[1] * 3))
+    assert len(parts) == 6 and np.array_equal(np.concatenate(parts, axis=2), whole)
+    exports.write_nifti(iter(parts), 12.5, str(tmp_path / "v"), SHAPE)
+    back, size = exports.read_nifti(str(tmp_path / "v.nii.gz"))
+    assert size == 12.5 and np.array_equal(back, whole)
+
+
+def test_points_that_coincide_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(exports, "PART", 100)
+    points = spark.range(1000).select(F.lit(1).cast("long").alias("label"), *[F.lit(0.0).alias(a) for a in "xyz"])
+    labels = spark.createDataFrame([(1, "a", 1, 2, 3)], "idx long, name string, r int, g int, b int")
+    sizes = [len(r["triplets"]) // 3 for r in exports.region_clouds(points, labels).collect()]
+    assert sum(sizes) == 1000 and len(sizes) == 10 and max(sizes) < 200
+
+
+def test_public_functions(spark, series, atlas, tmp_path):
+    import voxelloom
+
+    assert len(voxelloom.__all__) == 14 and all(getattr(voxelloom, name) for name in voxelloom.__all__)
+    sections = voxelloom.read_alignment(str(series[0] / "reg.json"))
+    found = voxelloom.seg_to_coords(str(series[0] / "images"), sections, atlas, [0, 0, 0], 10)
+    table = voxelloom.quantify_coords(found, atlas)
+    assert table.agg(F.sum("pixel_count")).first()[0] == 168
+    voxelloom.save_analysis(str(tmp_path), found, atlas, table)
+    assert (tmp_path / "whole_series_report/counts.csv").exists()
+    shown = voxelloom.image_to_coords(str(series[0] / "images"), sections, atlas, min_intensity=1)
+    assert voxelloom.quantify_coords(shown, atlas).agg(F.sum("pixel_count")).first()[0] > 0
+    (tmp_path / "xy.csv").write_text("X,Y,image_width,image_height,section number\n10,10,80,64,1\n")
+    assert voxelloom.xy_to_coords(str(tmp_path / "xy.csv"), sections, atlas).points.count() == 1
+    rows = voxelloom.interpolate_volume(segmentation_folder=str(series[0] / "images"), alignment_json=str(series[0] / "reg.json"), colour="0,0,0", atlas=atlas, do_interpolation=False, missing_fill=0.0)
+    voxelloom.save_volume_niftis(output_folder=str(tmp_path), voxels=rows, atlas=atlas)
+    back, size = exports.read_nifti(str(tmp_path / "interpolated_volume/interpolated_volume.nii.gz"))
+    assert back.shape == geometry.shape_in(SHAPE, "asr") and size == 25 and back.max() == 255
+    with pytest.raises(AttributeError):
+        voxelloom.nothing  # noqa: B018
+
+
+def test_storage(spark):
+    from voxelloom import storage
+
+    path = storage.scratch(spark, "odd")
+    storage.write_bytes(f"{path}/a/b.bin", b"x")
+    assert storage.located(path)[0].get_file_info(storage.located(f"{path}/a/b.bin")[1]).size == 1
+    held = storage._made[:]
+    storage._made[:] = [path]
+    assert storage.clean(spark) == 1 and storage.located(path)[0].get_file_info(storage.located(path)[1]).type.name == "NotFound"
+    storage._made[:] = held
+
+    class Cluster:
+        class sparkContext:
+            master = "local-cluster[2,1,1024]"
+            getCheckpointDir = staticmethod(lambda: None)
+
+        class conf:
+            get = staticmethod(lambda key, default=None: None)
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        storage.shared_dir(Cluster)

@@ -332,3 +332,69 @@ def test_settings(tmp_path):
     with pytest.raises(KeyError):
         Settings.from_dict({})
     assert gzip
+
+
+def spreadsheet(rows):
+    """An XLSX file with shared, inline and numeric cells."""
+    strings, cells = [], ""
+    for y, row in enumerate(rows, 1):
+        cells += f'<row r="{y}">'
+        for x, value in enumerate(row):
+            at = f"{chr(65 + x)}{y}"
+            if isinstance(value, str) and value:
+                strings.append(value)
+                cells += f'<c r="{at}" t="s"><v>{len(strings) - 1}</v></c>' if x % 2 else f'<c r="{at}" t="inlineStr"><is><t>{value}</t></is></c>'
+            elif value != "":
+                cells += f'<c r="{at}"><v>{value}</v></c>'
+        cells += "</row>"
+    shared = [f"<si><t>{s}</t></si>" for s in strings]
+    packed = io.BytesIO()
+    name = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    with zipfile.ZipFile(packed, "w") as archive:
+        archive.writestr("xl/sharedStrings.xml", f'<sst xmlns="{name}">{"".join(shared)}</sst>')
+        archive.writestr("xl/worksheets/sheet2.xml", f'<worksheet xmlns="{name}"><sheetData/></worksheet>')
+        archive.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{name}"><sheetData>{cells}</sheetData></worksheet>')
+    return packed.getvalue()
+
+
+def test_custom_regions_from_a_spreadsheet(spark, tmp_path):
+    table = [["caption", "one", "two"], ["RGB", "1;2;3", "4;5;6"], ["ids", 10, 20], ["", 11, ""]]
+    (tmp_path / "c.xlsx").write_bytes(spreadsheet(table))
+    (tmp_path / "c.txt").write_text("\n".join("\t".join(map(str, row)) for row in table))
+    rows = [{tuple(r) for r in tables.read_custom_regions(spark, str(tmp_path / f"c.{kind}")).collect()} for kind in ("xlsx", "txt")]
+    assert rows[0] == rows[1] and len(rows[0]) == 4
+
+
+def test_displacement_fields(spark, tmp_path):
+    corners = [[0, 0, 0], [0, 0, 250], [0, 500, 0], [0, 500, 250]]
+    (tmp_path / "c.json").write_text(json.dumps({"atlas": "some_25um", "atlas_slice_corners": corners, "moving_image": "x_s311"}))
+    sections = registration.read_registration(spark, str(tmp_path / "c.json"), shape=(30, 40, 50))
+    with pytest.raises(FileNotFoundError, match="deformation_field_0"):
+        registration.read_fields(sections)
+    fields = np.random.default_rng(1).normal(0, 1, (2, 21, 11)).astype(np.float32)
+    for name, field in zip(registration.FIELDS, fields, strict=True):
+        (tmp_path / name).write_bytes(rasters.encode_tiff(field))
+    rows = registration.read_fields(sections).collect()
+    assert len(rows) == 231 and all(r["section_number"] == 311 and (r["dy"], r["dx"]) == tuple(fields[:, r["yi"], r["xi"]]) for r in rows)
+    plain = registration.read_registration(spark, str(tmp_path / "c.json"), shape=(30, 40, 50), with_warp=False)
+    assert registration.read_fields(plain) is None
+    other = registration.read_registration(spark, str(tmp_path / "c.json"), shape=(30, 40, 50), warp=registration.with_fields(str(tmp_path)))
+    assert registration.read_fields(other).count() == 231
+
+
+def test_atlas_of_arrays(spark):
+    from voxelloom import resolve_atlas
+    from voxelloom.sources import atlases
+
+    class Held:
+        annotation = np.random.default_rng(2).integers(0, 5, (4, 3, 2))
+        hemispheres = np.random.default_rng(3).integers(1, 3, (4, 3, 2))
+        structures_list = [{"id": 4, "name": "x", "rgb_triplet": [1, 2, 3]}]
+        resolution = (25, 25, 25)
+
+    found = atlases.resolve_atlas(spark, Held())
+    assert found.shape == (2, 4, 3) and found.voxel_size_um == 25 and found.has_hemi and resolve_atlas(found) is found
+    turned = Held.annotation.transpose(2, 0, 1)[::-1, ::-1, ::-1]
+    assert all(turned[r["x"], r["y"], r["z"]] == r["label"] for r in found.voxels.collect()) and found.voxels.count() == 24
+    with pytest.raises(TypeError):
+        atlases.resolve_atlas(spark, 3)

@@ -63,6 +63,14 @@ def count_by_label(points: DataFrame, objects: DataFrame | None, with_hemi: bool
     return every.filter("idx >= 0").groupBy("idx").agg(*counts)
 
 
+def filtered_lengths(points: DataFrame, sections: DataFrame) -> DataFrame:
+    """n, the undamaged points of each section; 0 for sections without any. A null
+    `undamaged` counts as undamaged."""
+    n = F.count_if(F.coalesce("undamaged", F.lit(True))).alias("n")
+    found = points.groupBy("section_number").agg(n)
+    return sections.select("section_number").distinct().join(found, "section_number", "left").fillna(0, ["n"])
+
+
 def region_counts(
     points: DataFrame, objects: DataFrame | None, labels: DataFrame, with_hemi: bool = True, with_damage: bool = True
 ) -> DataFrame:

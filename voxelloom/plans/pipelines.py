@@ -7,13 +7,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import Atlas, Extraction
 from ..operators import geometry, objects, pixels, regions, volume, warp
 from ..operators.geometry import PLANE
-from ..sources.files import image_files
+from ..sinks.exports import section_pictures
+from ..sources.files import image_files, index_by_stem
 from ..sources.rasters import folder_pixels, image_sizes
 from ..sources.registration import read_fields
 from ..storage import durable
@@ -252,6 +253,42 @@ def image_to_atlas(spark: SparkSession, folder: str, sections: DataFrame, atlas:
     return Extraction(points, None, map_areas(maps, damage, sizes, atlas.has_hemi), series, files.select("path", "section_number"), orientation, atlas.shape, atlas.has_hemi)
 
 
+def section_visuals(spark: SparkSession, sections: DataFrame, atlas: Atlas, folder: str, segmentations: str | None = None, scale: float = 0.5,
+                    pixel_id: object = (0, 0, 0), name: str = "binary") -> DataFrame:
+    """Pictures of the sections' atlas slices in folder/visualisations, at the
+    segmentation's size times scale, or else the registration's; segmentation
+    pixels invert the colours. A section's segmentation is the image in the folder
+    that has its file name but for the ending. Rows (section_number, path, error)."""
+    stem = F.regexp_replace(F.element_at(F.split(F.coalesce("section_id", F.lit("")), "/"), -1), r"\.[^.]*$", "")
+    named = sections.withColumn("stem", stem)
+    place = F.row_number().over(Window.orderBy("ordinal")) - 1  # sections are tens to thousands
+    named = named.withColumn("name", F.concat(F.format_string("section_%03d_", "section_number"), F.when(stem != "", stem).otherwise(F.format_string("slice_%03d", place)), F.lit("_atlas_colored.png")))
+    marks = None
+    if segmentations is not None:
+        files = image_files(spark, segmentations)
+        chosen = named.select("section_number", "stem").join(index_by_stem(files).select("stem", "path"), "stem")
+        own = files.drop("section_number").join(chosen, "path").select("path", "content", "section_number")
+        named = named.join(section_sizes(own), "section_number", "left")
+    else:
+        named = named.withColumns({c: F.lit(None).cast("int") for c in ("seg_width", "seg_height")})
+    named = named.join(geometry.map_sizes(sections), "section_number")
+    for side in ("width", "height"):
+        known = (F.col("width") > 0) & (F.col("height") > 0)
+        size = F.coalesce(f"seg_{side}", F.when(known, F.col(side)), F.col(f"map_{side}"))
+        named = named.withColumn(f"out_{side}", F.greatest(F.lit(1), F.floor(size * scale).cast("int")))
+    named = durable(named)
+    grid = named.select("section_number", "out_width", "out_height", "map_width", "map_height", "seg_width", "seg_height")
+    grid = grid.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("out_height") - 1))).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("out_width") - 1)))
+    at = lambda axis, side, kind: geometry.resized_cell(F.col(axis), F.col(f"{kind}_{side}"), F.col(f"out_{side}")).cast("int")
+    cells = geometry.slice_atlas(sections, atlas.voxels).select("section_number", F.col("y").alias("_r"), F.col("x").alias("_c"), "label")
+    slices = grid.withColumns({"_r": at("y", "height", "map"), "_c": at("x", "width", "map")}).join(cells, ["section_number", "_r", "_c"])
+    if segmentations is not None:
+        rows = folder_pixels(spark, segmentations, own).join(chosen.select("path", "section_number").withColumnRenamed("section_number", "_n"), "path").withColumn("section_number", F.col("_n")).drop("_n")
+        front = _foreground(rows, name, pixel_id).select("section_number", F.col("y").alias("_r"), F.col("x").alias("_c"))
+        marks = grid.filter("seg_width is not null").withColumns({"_r": at("y", "height", "seg"), "_c": at("x", "width", "seg")}).join(front, ["section_number", "_r", "_c"], "left_semi")
+    return section_pictures(slices, atlas.labels, f"{folder}/visualisations", marks, named)
+
+
 def quantify(result: Extraction, labels: DataFrame) -> DataFrame:
     """The region table of an extraction."""
     if result.intensities is not None:

@@ -1,14 +1,15 @@
-"""Reports, point clouds, volumes and pictures.
+"""Reports, point clouds, volumes and pictures, in any store that Arrow opens.
 
-Clouds are grouped by Spark and streamed to one file entry by entry; reports
-and volumes are as large as the atlas, not as the input."""
+Clouds are grouped by Spark and streamed to one file part by part, volumes slab
+by slab; a report is as large as the label table."""
 
 from __future__ import annotations
 
 import gzip
+import io
 import json
-import os
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,27 +21,31 @@ from ..functions.numeric import scale_to_u8
 from ..model import Extraction
 from ..operators.geometry import INTERNAL, reorient
 from ..sources.rasters import encode_png
+from ..storage import durable, located, write_bytes
 
 #: Clouds of more colours than this are drawn in steps of eight.
 MOST_COLOURS = 1024
 #: Points of a part of a cloud.
 PART = 100_000
+#: Voxels of a slab that the driver holds at a time.
+SLAB = 64_000_000
 
 
 def write_report(table: DataFrame, path: str) -> None:
     """One file, `;` between columns, in the label table's order."""
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     order = [F.col("label_ordinal").asc_nulls_last()] if "label_ordinal" in table.columns else []
     rows = table.orderBy(*order, "idx") if "idx" in table.columns else table
-    rows.drop("label_ordinal").toPandas().to_csv(path, sep=";", index=False, na_rep="")
+    write_bytes(path, rows.drop("label_ordinal").toPandas().to_csv(sep=";", index=False, na_rep="").encode())
 
 
 def _clouds(points: DataFrame, keys: list[str]) -> DataFrame:
     """Points grouped by keys in parts of about PART points: keys, part, count (of
-    the whole group) and flat triplets. No group is gathered as a whole."""
+    the whole group) and flat triplets. No group is gathered as a whole, also not
+    one whose points coincide: points are dealt by where they stand as well."""
     sizes = points.groupBy(*keys).agg(F.count("*").alias("count"))
     parts = F.ceil(F.col("count") / PART).cast("int")
-    dealt = points.select(*keys, "x", "y", "z").join(sizes, keys).withColumn("part", F.pmod(F.xxhash64("x", "y", "z"), parts).cast("int"))
+    placed = points.select(*keys, "x", "y", "z", F.monotonically_increasing_id().alias("_at"))
+    dealt = placed.join(sizes, keys).withColumn("part", F.pmod(F.xxhash64("x", "y", "z", "_at"), parts).cast("int"))
     spots = F.transform(F.array_sort(F.collect_list(F.struct("x", "y", "z"))), lambda p: F.array(p["x"], p["y"], p["z"]))
     return dealt.groupBy(*keys, "part").agg(F.first("count").alias("count"), F.flatten(spots).alias("triplets"))
 
@@ -76,18 +81,20 @@ def scalar_clouds(points: DataFrame, colormap: str = "gray") -> DataFrame:
 
 def write_clouds(clouds: DataFrame, path: str) -> None:
     """A JSON list of groups; one part of one group is in the driver at a time."""
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w") as file:
-        file.write("[")
+    system, place = located(path)
+    if "/" in place:
+        system.create_dir(place.rsplit("/", 1)[0])
+    with system.open_output_stream(place, compression=None) as file:
+        file.write(b"[")
         group = None
         for row in clouds.orderBy("idx", "part").toLocalIterator():
             if row["idx"] != group:
                 head = {c: row[c] for c in ("idx", "count", "name", "r", "g", "b")}
-                file.write(("" if group is None else "]},") + json.dumps(head)[:-1] + ', "triplets": [')
+                file.write((("" if group is None else "]},") + json.dumps(head)[:-1] + ', "triplets": [').encode())
                 group, mark = row["idx"], ""
-            file.write(mark + json.dumps(row["triplets"])[1:-1])
+            file.write((mark + json.dumps(row["triplets"])[1:-1]).encode())
             mark = ", "
-        file.write("]" if group is None else "]}]")
+        file.write(b"]" if group is None else b"]}]")
 
 
 def write_region_clouds(points: DataFrame, labels: DataFrame, folder: str, name: str, split: bool = True) -> None:
@@ -114,9 +121,7 @@ def save_analysis(folder: str, result: Extraction, labels: DataFrame, table: Dat
         kind = "intensity" if result.intensities is not None else "counts"
         write_report(table, f"{folder}/whole_series_report/{kind}.csv")
     if settings is not None:
-        os.makedirs(folder, exist_ok=True)
-        with open(f"{folder}/settings.json", "w") as file:
-            json.dump(settings, file, indent=2)
+        write_bytes(f"{folder}/settings.json", json.dumps(settings, indent=2).encode())
     clouds = f"{folder}/whole_series_clouds"
     points = inner(result.points)
     if result.intensities is not None:
@@ -136,12 +141,24 @@ def _turned(result: Extraction) -> tuple[int, int, int]:
     return shape_in(result.shape, result.orientation)
 
 
+def slabs(voxels: DataFrame, shape: tuple[int, ...], value: str, kind: str = "uint8", most: int = SLAB) -> Iterator[np.ndarray]:
+    """A volume as arrays of whole layers of its last axis, one after another, of
+    at most `most` voxels unless a layer has more. The voxels are stored by layer
+    first, so that each slab reads its own."""
+    step = max(1, most // max(1, shape[0] * shape[1]))
+    rows = voxels.select("x", "y", "z", value)
+    if step < shape[2]:
+        rows = durable(rows.repartitionByRange("z").sortWithinPartitions("z"))
+    for low in range(0, shape[2], step):
+        out = np.zeros((*shape[:2], min(step, shape[2] - low)), kind)
+        part = rows.filter(F.col("z").between(low, low + step - 1)).toPandas()
+        out[part["x"], part["y"], part["z"] - low] = part[value]
+        yield out
+
+
 def dense(voxels: DataFrame, shape: tuple[int, ...], value: str, kind: str = "uint8") -> np.ndarray:
-    """A volume as an array, slab by slab; as large as the atlas."""
-    out = np.zeros(shape, kind)
-    rows = voxels.select("x", "y", "z", value).toPandas()
-    out[rows["x"], rows["y"], rows["z"]] = rows[value]
-    return out
+    """A volume as one array, for volumes that the driver can hold."""
+    return np.concatenate(list(slabs(voxels, shape, value, kind)), axis=2)
 
 
 def isotropic_size(base_um: float, atlas: tuple[int, ...] | None, volume: tuple[int, ...]) -> float:
@@ -170,10 +187,25 @@ def nifti_header(shape: tuple[int, ...], size_um: float) -> bytes:
     return bytes(head)
 
 
-def write_nifti(volume: np.ndarray, size_um: float, path: str) -> None:
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with gzip.open(path if path.endswith(".nii.gz") else f"{path}.nii.gz", "wb", 6) as file:
-        file.write(nifti_header(volume.shape, size_um) + np.asarray(volume, np.uint8).tobytes(order="F"))
+def write_nifti(volume: np.ndarray | Iterator[np.ndarray], size_um: float, path: str, shape: tuple[int, ...] | None = None) -> None:
+    """A volume, or its slabs along the last axis with the whole shape."""
+    parts = [volume] if isinstance(volume, np.ndarray) else volume
+    system, place = located(path if path.endswith(".nii.gz") else f"{path}.nii.gz")
+    if "/" in place:
+        system.create_dir(place.rsplit("/", 1)[0])
+    with system.open_output_stream(place, compression=None) as raw, gzip.GzipFile(fileobj=raw, mode="wb", compresslevel=6) as file:
+        file.write(nifti_header(shape or volume.shape, size_um))
+        for part in parts:
+            file.write(np.asarray(part, np.uint8).tobytes(order="F"))
+
+
+def read_nifti(path: str) -> tuple[np.ndarray, float]:
+    """The bytes and the voxel size of a volume that write_nifti has written."""
+    system, place = located(path)
+    with system.open_input_stream(place, compression=None) as file:
+        raw = gzip.GzipFile(fileobj=io.BytesIO(file.read())).read()
+    shape = struct.unpack("<8h", raw[40:56])[1:4]
+    return np.frombuffer(raw, np.uint8, offset=352).reshape(shape, order="F"), struct.unpack("<f", raw[80:84])[0]
 
 
 def save_volumes(folder: str, voxels: DataFrame, shape: tuple[int, ...], voxel_um: float, atlas: tuple[int, ...] | None = None,
@@ -182,14 +214,34 @@ def save_volumes(folder: str, voxels: DataFrame, shape: tuple[int, ...], voxel_u
     size = isotropic_size(voxel_um, atlas, shape)
     names = {"value": "interpolated_volume", "freq": "frequency_volume", **({"damage": "damage_volume"} if damage else {})}
     for column, name in names.items():
-        write_nifti(dense(scale_to_u8(voxels, column), shape, "u8"), size, f"{folder}/interpolated_volume/{name}")
+        write_nifti(slabs(scale_to_u8(voxels, column), shape, "u8"), size, f"{folder}/interpolated_volume/{name}", shape)
+
 
+def write_sections(pixels: DataFrame, folder: str, name: str = "section_%03d.png") -> DataFrame:
+    """Writes each section's pixels (section_number, height, width, y, x and c0, or
+    b, g, r as c0, c1, c2) as a PNG file of 8 bits, or of 16 where grey needs
+    them. Rows (section_number, path)."""
 
-def section_pictures(slices: DataFrame, labels: DataFrame, folder: str, overlay: DataFrame | None = None) -> DataFrame:
-    """Writes section_<n>_atlas.png of coloured atlas slices (section_number, y,
-    x, label), the colours inverted where overlay has pixels. 0 is black and
-    unknown labels are grey. Rows (section_number, path, error): an error in one
-    section leaves the others alone. folder must be shared."""
+    def write(section: pd.DataFrame) -> pd.DataFrame:
+        number, grey = int(section["section_number"].iloc[0]), section["c1"].isna().all()
+        size = (int(section["height"].iloc[0]), int(section["width"].iloc[0]))
+        planes = section[["c0"]] if grey else section[["c2", "c1", "c0"]]
+        image = np.zeros((*size, planes.shape[1]), np.uint16 if grey and section["c0"].max() > 255 else np.uint8)
+        image[section["y"], section["x"]] = planes
+        path = f"{folder}/{name % number}"
+        write_bytes(path, encode_png(image[:, :, 0] if grey else image))
+        return pd.DataFrame({"section_number": [number], "path": [path]})
+
+    rows = pixels if "c1" in pixels.columns else pixels.withColumns({c: F.lit(None).cast("int") for c in ("c1", "c2")})
+    return rows.select("section_number", "height", "width", "y", "x", "c0", "c1", "c2").groupBy("section_number").applyInPandas(write, "section_number int, path string")
+
+
+def section_pictures(slices: DataFrame, labels: DataFrame, folder: str, overlay: DataFrame | None = None, names: DataFrame | None = None) -> DataFrame:
+    """Writes a PNG of each coloured atlas slice (section_number, y, x, label), the
+    colours inverted where overlay has pixels. 0 is black and unknown labels are
+    grey. names gives sections a file name other than section_<n>_atlas.png. Rows
+    (section_number, path, error): an error in one section leaves the others
+    alone. folder must be shared."""
     colours = labels.select(F.col("idx").alias("label"), "r", "g", "b")
     rows = slices.select("section_number", "y", "x", "label").join(colours, "label", "left")
     shade = lambda c: F.when(F.col("label") == 0, 0).otherwise(F.coalesce(c, F.lit(128)))
@@ -198,16 +250,19 @@ def section_pictures(slices: DataFrame, labels: DataFrame, folder: str, overlay:
         marks = overlay.select("section_number", "y", "x").distinct().withColumn("_m", F.lit(True))
         rows = rows.join(marks, ["section_number", "y", "x"], "left")
         rows = rows.withColumns({c: F.when(F.col("_m"), 255 - F.col(c)).otherwise(F.col(c)) for c in "rgb"}).drop("_m")
+    usual = F.format_string("section_%03d_atlas.png", "section_number")
+    if names is None:
+        rows = rows.withColumn("name", usual)
+    else:
+        rows = rows.join(names.select("section_number", "name"), "section_number", "left").withColumn("name", F.coalesce("name", usual))
 
     def write(section: pd.DataFrame) -> pd.DataFrame:
-        number = int(section["section_number"].iloc[0])
-        path, error = f"{folder}/section_{number:03d}_atlas.png", None
+        number, error = int(section["section_number"].iloc[0]), None
+        path = f"{folder}/{section['name'].iloc[0]}"
         try:
             image = np.zeros((section["y"].max() + 1, section["x"].max() + 1, 3), np.uint8)
             image[section["y"], section["x"]] = section[["r", "g", "b"]]
-            os.makedirs(folder, exist_ok=True)
-            with open(path, "wb") as file:
-                file.write(encode_png(image))
+            write_bytes(path, encode_png(image))
         except OSError as failure:
             error = str(failure)
         return pd.DataFrame({"section_number": [number], "path": [path], "error": [error]})

@@ -243,6 +243,15 @@ def decode_tiff(data: bytes) -> np.ndarray:
     return image[:, :, 2::-1] if planes >= 3 else image[:, :, 0]
 
 
+def encode_tiff(image: np.ndarray) -> bytes:
+    """A plain TIFF of one grey plane, of whole numbers or floats."""
+    kind = {"u": 1, "i": 2, "f": 3}[image.dtype.kind]
+    body = np.ascontiguousarray(image).astype(image.dtype.newbyteorder("<")).tobytes()
+    tags = ((256, 4, image.shape[1]), (257, 4, image.shape[0]), (258, 3, 8 * image.itemsize), (259, 3, 1), (262, 3, 1), (273, 4, 8), (277, 3, 1), (279, 4, len(body)), (339, 3, kind))
+    entries = b"".join(struct.pack("<HHII", tag, code, 1, value) for tag, code, value in tags)
+    return struct.pack("<2sHI", b"II", 42, 8 + len(body)) + body + struct.pack("<H", len(tags)) + entries + b"\0" * 4
+
+
 def decode_dzi(data: bytes) -> np.ndarray:
     """A Deep Zoom archive from the tiles of its highest level; overlap is not
     taken into account."""
@@ -449,6 +458,7 @@ def jpeg_pixels(spark: SparkSession, folder: str) -> DataFrame:
     from .files import section_number
 
     files = spark.read.format("image").option("dropInvalid", True).option("pathGlobFilter", "*.[jJ][pP]*[gG]").load(folder).select("image.*")
+    files = files.withColumn("origin", F.regexp_replace("origin", "^file:/+", "file:/"))
     files = files.filter(F.lower("origin").rlike(r"\.jpe?g$")).withColumn("section_number", section_number(F.col("origin")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

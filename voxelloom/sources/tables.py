@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import re
+import xml.etree.ElementTree as ET
+import zipfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,19 +58,55 @@ def check_coordinates(df: DataFrame) -> DataFrame:
 
 def read_coordinates(spark: SparkSession, path: str) -> DataFrame:
     """x, y, image_width, image_height, section_number of a coordinate CSV."""
-    rows = check_coordinates(spark.read.csv(path, header=True))
+    return named_coordinates(check_coordinates(spark.read.csv(path, header=True)))
+
+
+def named_coordinates(rows: DataFrame) -> DataFrame:
+    """A coordinate table under the library's names; ordinal keeps its order."""
     kinds = {"X": ("x", "double"), "Y": ("y", "double"), "image_width": ("image_width", "int"), "image_height": ("image_height", "int"), "section number": ("section_number", "int")}
     return rows.select(*[F.col(f"`{c}`").cast("double").cast(k).alias(n) for c, (n, k) in kinds.items()]).withColumn("ordinal", F.monotonically_increasing_id())
 
 
+def sheet_rows(data: bytes) -> list[list[str]]:
+    """The cells of an XLSX file's first sheet as text, empty ones as empty text."""
+
+    def local(element: ET.Element) -> str:
+        return element.tag.rsplit("}", 1)[-1]
+
+    def text(element: ET.Element) -> str:
+        return "".join(e.text or "" for e in element.iter() if local(e) == "t")
+
+    with zipfile.ZipFile(io.BytesIO(data)) as archive:
+        names = archive.namelist()
+        strings = [text(e) for e in ET.fromstring(archive.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
+        sheets = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.sub(r"\D", "", n)))
+        sheet = ET.fromstring(archive.read(sheets[0]))
+    rows: list[list[str]] = []
+    for row in (e for e in sheet.iter() if local(e) == "row"):
+        cells: dict[int, str] = {}
+        for cell in (e for e in row if local(e) == "c"):
+            letters = re.sub(r"\d", "", cell.get("r", "")).upper()
+            at = len(cells)
+            if letters:
+                at = -1
+                for letter in letters:
+                    at = (at + 1) * 26 + ord(letter) - ord("A")
+            value = next((e.text or "" for e in cell if local(e) == "v"), "")
+            cells[at] = strings[int(value)] if cell.get("t") == "s" else text(cell) if cell.get("t") == "inlineStr" else value
+        rows.append([cells.get(i, "") for i in range(max(cells, default=-1) + 1)])
+    return rows
+
+
 def read_custom_regions(spark: SparkSession, path: str) -> DataFrame:
-    """A wide table of custom regions: names, then `R;G;B`, then atlas ids below
-    each name; the first column is a caption. Rows (custom_id, custom_name, r, g,
+    """A wide table of custom regions, as tab-separated text or a spreadsheet:
+    names, then `R;G;B`, then atlas ids below each name; the first column is a
+    caption. Rows (custom_id, custom_name, r, g,
     b, subregion_id); a group that holds 0 gets id 0, and `unlabeled` is added
     where none does. The file is a handful of columns."""
     if path.lower().endswith(".xlsx"):
-        raise ValueError("spreadsheets are not supported; save the table as tab-separated text")
-    lines = [r[0].split("\t") for r in spark.read.text(path).collect()]
+        lines = sheet_rows(bytes(spark.read.format("binaryFile").load(path).first()["content"]))
+    else:
+        lines = [r[0].split("\t") for r in spark.read.text(path).collect()]
     if not lines or len(lines[0]) < 2:
         raise ValueError("a custom region file has at least two columns")
     names, colours, body = lines[0][1:], lines[1][1:], lines[2:]

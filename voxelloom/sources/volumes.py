@@ -10,10 +10,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..storage import located, write_bytes
+
 SCHEMA = "x int, y int, z int, value double"
 TYPES = {
     "int8": "i1", "signed char": "i1", "uint8": "u1", "uchar": "u1", "unsigned char": "u1",
@@ -23,12 +24,6 @@ TYPES = {
 }
 
 
-def located(path: str) -> tuple[fs.FileSystem, str]:
-    if "://" in path:
-        return fs.FileSystem.from_uri(path)
-    return fs.LocalFileSystem(), path
-
-
 def parse_header(head: bytes) -> tuple[dict[str, str], int]:
     """Fields of an attached NRRD header, and where the data starts."""
     if not head.startswith(b"NRRD"):
@@ -55,8 +50,7 @@ def write_nrrd(path: str, volume: np.ndarray, packed: bool = False) -> None:
     kind = names[volume.dtype.kind] + str(8 * size) if volume.dtype.kind != "f" else {4: "float", 8: "double"}[size]
     head = f"NRRD0004\ntype: {kind}\ndimension: 3\nsizes: {' '.join(map(str, volume.shape))}\nendian: little\nencoding: {'gzip' if packed else 'raw'}\n\n"
     body = np.asfortranarray(volume).astype(volume.dtype.newbyteorder("<")).tobytes(order="F")
-    with open(path, "wb") as file:
-        file.write(head.encode() + (gzip.compress(body) if packed else body))
+    write_bytes(path, head.encode() + (gzip.compress(body) if packed else body))
 
 
 @dataclass
