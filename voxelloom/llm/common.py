@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voxelloom.storage import durable, shared_dir
+from voxelloom.storage import durable, scratch
 
 #: A word is a maximal run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -153,4 +153,4 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return found
 
 
-__all__ = ["WORD", "HOT_SHARE", "Filter", "ascii_lower", "connected_components", "durable", "durable_counting", "hash_number", "in_small_batches", "lookup", "running", "set_where_unset", "shared_dir", "table", "word_count"]
+__all__ = ["WORD", "HOT_SHARE", "Filter", "ascii_lower", "connected_components", "durable", "durable_counting", "hash_number", "in_small_batches", "lookup", "running", "scratch", "set_where_unset", "table", "word_count"]

@@ -3,14 +3,13 @@ SQL can express."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, exact_dedup, mixing, oracle, packing, quality, secrets, simhash, toxicity, url_filters, warc
-from .common import durable, shared_dir, table
+from .common import durable, scratch, table
 
 
 def tokenizer_path() -> str:
@@ -50,7 +49,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = scratch(spark, "warc")
     warc.archive_pages(table(spark, sf_dir, "pages"), path)
     page = lambda c: F.substring_index(c, ":", -1).try_cast("long")
     read = warc.read_warc(spark, path, payload=False).filter(F.col("record_type").isin("response", "revisit"))

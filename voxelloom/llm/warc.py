@@ -37,6 +37,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
+from voxelloom.storage import located
+
 from .common import durable, in_small_batches, lookup, set_where_unset
 
 SCHEMA = (
@@ -96,14 +98,6 @@ def parse_headers(text: bytes) -> dict[str, str]:
     return {name.strip(): value.strip() for name, _, value in (line.partition(":") for line in lines[1:]) if value}
 
 
-def located(path: str) -> tuple[fs.FileSystem, str]:
-    if "://" in path or path.startswith("file:"):
-        if path.startswith("file:"):
-            return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
-        return fs.FileSystem.from_uri(path)
-    return fs.LocalFileSystem(), path
-
-
 @dataclass
 class Archives(InputPartition):
     """Parts of archives: path, where the first member starts, and where to stop
