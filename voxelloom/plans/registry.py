@@ -102,11 +102,12 @@ def out_of_atlas_conservation(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    ctes("fx_labels", "fx_points")
-    + """select section_number, cast(count(*) filter (where undamaged) as bigint) as n from fx_points group by section_number"""
+    ctes("fx_sections", "fx_points")
+    + """select s.section_number, cast(count(p.undamaged) filter (where p.undamaged) as bigint) as n from fx_sections s left join fx_points p using (section_number) group by s.section_number"""
 )
 def filtered_lengths(spark: SparkSession, sf: str) -> DataFrame:
-    return view(spark, sf, "fx_points").groupBy("section_number").agg(F.count_if("undamaged").alias("n"))
+    """Sections without points have a row as well."""
+    return regions.filtered_lengths(view(spark, sf, "fx_points"), view(spark, sf, "fx_sections"))
 
 
 # --- areas, intensities, custom regions ---------------------------------------
@@ -365,13 +366,14 @@ def displacement_invert(spark: SparkSession, sf: str) -> DataFrame:
     return warp.invert_field(_field(spark))
 
 
-_DAMAGE = """cells as (select section_number, cast(grid_pos // 10 as int) as row, cast(grid_pos % 10 as int) as col, grid_value <> 4 as undamaged from fx_grid where grid_pos < 60)"""
+_DAMAGE = """cells as (select section_number, cast(grid_pos // 10 as int) as row, cast(grid_pos % 10 as int) as col, grid_value <> 4 as undamaged from fx_grid)"""
 
 
 def _damage(spark: SparkSession, sf: str) -> DataFrame:
-    """Six rows of ten cells a section: spacing 25 of 250 and 12 of 75 from 3."""
+    """Six rows of ten cells a section: spacing 25 of 250 and 12 of 75 from 3.
+    What a grid holds beyond its cells is of no account."""
     ordered = F.array_sort(F.collect_list(F.struct("grid_pos", "grid_value")))
-    grids = view(spark, sf, "fx_grid").filter("grid_pos < 60").groupBy("section_number").agg(F.transform(ordered, lambda s: s["grid_value"].cast("double")).alias("grid"))
+    grids = view(spark, sf, "fx_grid").groupBy("section_number").agg(F.transform(ordered, lambda s: s["grid_value"].cast("double")).alias("grid"))
     sections = view(spark, sf, "fx_sections").select("section_number", "width", "height").join(grids, "section_number")
     sizes = {"gridx": 3, "gridy": 3, "grid_spacing": 10, "plane_width": 100, "plane_height": 59}
     return warp.damage_cells(sections.withColumns({k: F.lit(v) for k, v in sizes.items()}))
@@ -562,21 +564,22 @@ def damage_volume(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- exports -------------------------------------------------------------------------
 
+_TRIPLETS = "cast(3 * count(*) as bigint) as n_numbers, cast(sum(l_orderkey) as bigint) as xs, cast(sum(l_linenumber) as bigint) as ys, cast(sum(intensity) as bigint) as zs"
 
 @query(
     ctes("fx_points", "fx_labels")
     + """, ranked as (select *, dense_rank() over (order by label) - 1 as place from fx_points)
-    select cast(place as int) as idx, cast(count(*) as bigint) as count, name, r, g, b, cast(3 * count(*) as int) as n_numbers, cast(sum(l_orderkey) as bigint) as xs from ranked join fx_labels l on l.idx = label group by place, name, r, g, b"""
+    select cast(place as int) as idx, cast(count(*) as bigint) as count, name, r, g, b, """
+    + _TRIPLETS
+    + """ from ranked join fx_labels l on l.idx = label group by place, name, r, g, b"""
 )
 def cloud_regions(spark: SparkSession, sf: str) -> DataFrame:
     points = view(spark, sf, "fx_points").select("label", F.col("l_orderkey").alias("x"), F.col("l_linenumber").cast("long").alias("y"), F.col("intensity").alias("z"))
     clouds = exports.region_clouds(points, view(spark, sf, "fx_labels"))
-    xs = F.aggregate(F.filter("triplets", lambda v, i: i % 3 == 0), F.lit(0).cast("long"), lambda a, v: a + v)
-    whole = clouds.groupBy("idx", "count", "name", "r", "g", "b")
-    return whole.agg(F.sum(F.size("triplets")).cast("int").alias("n_numbers"), F.sum(xs).alias("xs"))
+    return _summed(clouds)
 
 
-_RGB = "rgb as (select cast(l_orderkey % 256 as int) as r, cast(l_linenumber * 30 as int) as g, cast(intensity * 5 as int) as b, l_orderkey from fx_points)"
+_RGB = "rgb as (select cast(l_orderkey % 256 as int) as r, cast(l_linenumber * 30 as int) as g, cast(intensity * 5 as int) as b, l_orderkey, l_linenumber, intensity from fx_points)"
 
 
 def _rgb(spark: SparkSession, sf: str) -> DataFrame:
@@ -585,25 +588,32 @@ def _rgb(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(*[c.cast("int").alias(n) for n, c in shades.items()], F.col("l_orderkey").alias("x"), F.col("l_linenumber").cast("long").alias("y"), F.col("intensity").alias("z"))
 
 
+def _summed(clouds: DataFrame) -> DataFrame:
+    """Clouds with all their parts' triplets summed up."""
+    along = lambda n: F.sum(F.aggregate(F.filter("triplets", lambda v, i: i % 3 == n), F.lit(0).cast("long"), lambda a, v: a + v))
+    whole = clouds.groupBy("idx", "count", "name", "r", "g", "b")
+    return whole.agg(F.sum(F.size("triplets")).alias("n_numbers"), along(0).alias("xs"), along(1).alias("ys"), along(2).alias("zs"))
+
+
 @query(
     ctes("fx_points")
     + f""", {_RGB}, n as (select count(*) as c from (select distinct r, g, b from rgb)),
-    steps as (select case when c > 1024 then cast(least(round_even(r / 8.0::double, 0) * 8, 255) as int) else r end as r, case when c > 1024 then cast(least(round_even(g / 8.0::double, 0) * 8, 255) as int) else g end as g,
+    steps as (select l_orderkey, l_linenumber, intensity, case when c > 1024 then cast(least(round_even(r / 8.0::double, 0) * 8, 255) as int) else r end as r, case when c > 1024 then cast(least(round_even(g / 8.0::double, 0) * 8, 255) as int) else g end as g,
     case when c > 1024 then cast(least(round_even(b / 8.0::double, 0) * 8, 255) as int) else b end as b from rgb, n)
-    select cast(dense_rank() over (order by r, g, b) - 1 as int) as idx, cast(count(*) as bigint) as count, concat('Color ', r, ',', g, ',', b) as name, r, g, b from steps group by r, g, b"""
+    select cast(dense_rank() over (order by r, g, b) - 1 as int) as idx, cast(count(*) as bigint) as count, concat('Color ', r, ',', g, ',', b) as name, r, g, b, {_TRIPLETS} from steps group by r, g, b"""
 )
 def cloud_rgb(spark: SparkSession, sf: str) -> DataFrame:
-    return exports.rgb_clouds(_rgb(spark, sf)).filter("part = 0").drop("triplets", "part")
+    return _summed(exports.rgb_clouds(_rgb(spark, sf)))
 
 
 @query(
     ctes("fx_points")
-    + """select cast(intensity as int) as idx, cast(count(*) as bigint) as count, concat('Intensity ', intensity) as name,
-    cast(floor(least(1, intensity / 255.0::double * 3) * 255) as int) as r, cast(floor(least(1, greatest(0, intensity / 255.0::double * 3 - 1)) * 255) as int) as g, 0 as b from fx_points group by intensity"""
+    + f"""select cast(intensity as int) as idx, cast(count(*) as bigint) as count, concat('Intensity ', intensity) as name,
+    cast(floor(least(1, intensity / 255.0::double * 3) * 255) as int) as r, cast(floor(least(1, greatest(0, intensity / 255.0::double * 3 - 1)) * 255) as int) as g, 0 as b, {_TRIPLETS} from fx_points group by intensity"""
 )
 def cloud_scalar(spark: SparkSession, sf: str) -> DataFrame:
     points = view(spark, sf, "fx_points").select(F.col("l_orderkey").alias("x"), F.col("l_linenumber").cast("long").alias("y"), F.col("intensity").alias("z"), F.col("intensity").alias("value"))
-    return exports.scalar_clouds(points, "hot").filter("part = 0").drop("triplets", "part")
+    return _summed(exports.scalar_clouds(points, "hot"))
 
 
 _T = "(v / 255.0::double)"
@@ -636,3 +646,7 @@ def scale_u8(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"{ctes('fx_points')}, {_RGB} select l_orderkey, cast(floor(0.2989::double * r + 0.5870::double * g + 0.1140::double * b) as int) as luma from rgb")
 def luma(spark: SparkSession, sf: str) -> DataFrame:
     return _rgb(spark, sf).select(F.col("x").alias("l_orderkey"), colours.luma(F.col("r"), F.col("g"), F.col("b")).alias("luma"))
+
+
+# the queries that go through files register themselves
+from . import file_queries  # noqa: E402, F401

@@ -20,7 +20,7 @@ from ..functions.colours import colour_of, luma
 from ..functions.numeric import scale_to_u8
 from ..model import Extraction
 from ..operators.geometry import INTERNAL, reorient
-from ..sources.rasters import encode_png
+from ..sources.rasters import ENCODERS, encode_png, ending
 from ..storage import durable, located, write_bytes
 
 #: Clouds of more colours than this are drawn in steps of eight.
@@ -219,8 +219,10 @@ def save_volumes(folder: str, voxels: DataFrame, shape: tuple[int, ...], voxel_u
 
 def write_sections(pixels: DataFrame, folder: str, name: str = "section_%03d.png") -> DataFrame:
     """Writes each section's pixels (section_number, height, width, y, x and c0, or
-    b, g, r as c0, c1, c2) as a PNG file of 8 bits, or of 16 where grey needs
-    them. Rows (section_number, path)."""
+    b, g, r as c0, c1, c2) as a file of 8 bits, or of 16 where grey needs them, in
+    the format that the name's ending says; colour as PNG. Rows (section_number,
+    path)."""
+    encode = ENCODERS[ending(name)]
 
     def write(section: pd.DataFrame) -> pd.DataFrame:
         number, grey = int(section["section_number"].iloc[0]), section["c1"].isna().all()
@@ -229,7 +231,7 @@ def write_sections(pixels: DataFrame, folder: str, name: str = "section_%03d.png
         image = np.zeros((*size, planes.shape[1]), np.uint16 if grey and section["c0"].max() > 255 else np.uint8)
         image[section["y"], section["x"]] = planes
         path = f"{folder}/{name % number}"
-        write_bytes(path, encode_png(image[:, :, 0] if grey else image))
+        write_bytes(path, encode(image[:, :, 0] if grey else image))
         return pd.DataFrame({"section_number": [number], "path": [path]})
 
     rows = pixels if "c1" in pixels.columns else pixels.withColumns({c: F.lit(None).cast("int") for c in ("c1", "c2")})

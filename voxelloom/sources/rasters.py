@@ -281,6 +281,11 @@ def decode_flat(data: bytes) -> np.ndarray:
     return np.frombuffer(data, f">u{size}", width * height, 9).reshape(height, width).astype(float)
 
 
+def encode_flat(image: np.ndarray) -> bytes:
+    size = 2 if image.dtype.itemsize > 1 else 1
+    return struct.pack(">BII", size, image.shape[1], image.shape[0]) + image.astype(f">u{size}").tobytes()
+
+
 def segrle_runs(data: bytes) -> tuple[int, int, list[tuple[int, int, int]]]:
     """(width, height, runs of (start, length, label)) of a SegRLEv1 raster."""
     if data[:8] != b"SegRLEv1":
@@ -336,6 +341,7 @@ def encode_segrle(image: np.ndarray, atlas: str = "") -> bytes:
     return b"".join(out)
 
 
+ENCODERS = {"png": encode_png, "tif": encode_tiff, "tiff": encode_tiff, "flat": encode_flat, "seg": encode_segrle}
 DECODERS = {"png": decode_png, "bmp": decode_bmp, "tif": decode_tiff, "tiff": decode_tiff, "dzip": decode_dzi, "flat": decode_flat}
 SIZES = "path string, section_number int, seg_height int, seg_width int"
 
