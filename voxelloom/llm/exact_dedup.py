@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import HOT_SHARE, Filter, ascii_lower, durable, lookup
 
-#: Rows of a part of a hot group.
-PART = 20_000
+#: Rows of a part of a hot group, at least and at most.
+LEAST_PART, PART = 32, 20_000
 
 
 def normalised(text: Column) -> Column:
@@ -103,12 +103,11 @@ def build(docs: DataFrame, keep: str, memtables: int = 4, fanout: int = 2, diges
 
 
 def _clashes(docs: DataFrame, entries: DataFrame, shared: DataFrame, held: Filter, digest_bytes: int) -> DataFrame | None:
-    """Digests whose texts differ. Hot groups, of which there are at most
-    HOT_SHARE, are dealt in parts."""
-    total = entries.count()
-    parts = F.greatest(F.lit(16), F.ceil(F.col("entries") / PART)).cast("int")
-    is_hot = (F.col("entries") * HOT_SHARE >= total) & (F.col("entries") >= 32)
-    parted = shared.select("digest", F.when(is_hot, parts).otherwise(1).alias("parts"))
+    """Digests whose texts differ. Groups of more than 1/HOT_SHARE of all rows, of
+    which there are fewer than HOT_SHARE, are dealt in parts."""
+    share = max(LEAST_PART, -(-entries.count() // HOT_SHARE))
+    parts = F.when(F.col("entries") > share, F.ceil(F.col("entries") / min(share, PART))).otherwise(1)
+    parted = shared.select("digest", parts.cast("int").alias("parts"))
     hot = F.broadcast(parted.filter("parts > 1"))
     dealt = parted.select("digest", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     read = docs.select(F.col("doc_id").cast("long"), normalised(F.col("text")).alias("text"))
