@@ -195,8 +195,7 @@ def test_simhash(docs, empty):
     of = {r["doc_id"]: r for r in found}
     assert of[1]["component_id"] == of[3]["component_id"] == 1
     assert of[4]["fp"] == of[5]["fp"] == of[6]["fp"] == 0 and of[6]["component_id"] == 4
-    assert simhash.keep_one(docs).columns == docs.columns
-    assert n_of(simhash.near_duplicates(empty)) == 0 and n_of(simhash.keep_one(empty)) == 0
+    assert n_of(simhash.near_duplicates(empty)) == 0
 
 
 @pytest.mark.parametrize("distance", [0, 1, 3, 6])
@@ -227,13 +226,28 @@ def test_thresholds_cover_the_distance():
     bits = picks.random((4000, 64)) < np.linspace(0.05, 0.95, 64)
     bits[:, 10] = bits[:, 50]
     both = (bits.astype(int).T @ bits.astype(int)).astype(np.int64)
+    prints = np.packbits(bits[: simhash.SAMPLE], axis=1, bitorder="little").view("<u8").ravel()
     for distance in (1, 4, 7):
-        parts = simhash.choose(len(bits), both, distance)
+        parts = simhash.choose(len(bits), both, distance, prints)
         assert sum(t + 1 for _, t in parts) == distance + 1
         assert len({i for group, _ in parts for i in group}) == sum(len(group) for group, _ in parts)
     assert any(10 in group and 50 in group for group in simhash.group_bits(len(bits), both, 3))
 
 
+def test_candidate_estimates_know_of_correlation():
+    picks = np.random.default_rng(6)
+    half = picks.random((2000, 32)) < 0.5
+    bits = np.repeat(half, 2, axis=1)  # bits 2i and 2i + 1 are the same
+    both = (bits.astype(int).T @ bits.astype(int)).astype(np.int64)
+    prints = np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
+    group = list(range(12))
+    found = simhash.within(len(bits), both, group, 3, prints)
+    gaps = [(int(a) ^ int(b)) & 0xFFF for i, a in enumerate(prints[:300]) for b in prints[:i]]
+    for t in range(4):
+        assert found[t] == pytest.approx(sum(g.bit_count() <= t for g in gaps) / len(gaps), rel=0.2)
+    assert simhash.within(2, both, group, 1, prints[:1])[0] > 0
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (7, 7), (None, 3), (50, 50)] + [(200, n) for n in range(201, 400)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}

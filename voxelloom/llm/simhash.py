@@ -4,8 +4,10 @@ A document's fingerprint is the majority, bit by bit, of the hashes of its word
 shingles. Bits that go together are grouped into the same part; the parts get
 unequal thresholds t_i with sum(t_i + 1) = distance + 1, so that two
 fingerprints within the distance agree up to t_i bits in some part i. A dynamic
-program picks the thresholds with the least work, estimated from all
-fingerprints' bit frequencies; a part may get -1 and is not looked at.
+program picks the thresholds with the least work; a part may get -1 and is not
+looked at. How many candidates a part gives is estimated from the pairs of at
+most SAMPLE fingerprints, since grouped bits are far from independent; the
+estimate decides how fast the search is, never what it finds.
 
 Rows with the same fingerprint are one class. Each class first links to a few
 heads of its exact buckets, picked by hash; only then are the probes (a part's
@@ -16,7 +18,7 @@ components is lost.
 
 Null and empty texts have no words and fingerprint zero. Repeated rows belong
 to the same class. Null doc_ids are never a component's id unless all are null.
-An empty table gives an empty result. Other columns are ignored or kept."""
+An empty table gives an empty result. Other columns are ignored."""
 
 from __future__ import annotations
 
@@ -36,6 +38,8 @@ BITS = 64
 HEADS = 8
 #: A pair compared inside a join, in rows that are dealt to it.
 PAIR_COST = 0.05
+#: Fingerprints that candidate counts are estimated from.
+SAMPLE = 2048
 
 
 def fingerprint(text: bytes, shingle: int = 5, seed: int = 42) -> int:
@@ -108,9 +112,10 @@ def group_bits(n: int, both: np.ndarray, parts: int) -> list[list[int]]:
     return groups
 
 
-def within(n: int, both: np.ndarray, group: list[int], most: int) -> list[float]:
+def within(n: int, both: np.ndarray, group: list[int], most: int, prints: np.ndarray) -> list[float]:
     """Chance that two fingerprints differ in at most t of the group's bits, for
-    t = 0 to most, from the bits' frequencies."""
+    t = 0 to most: from the pairs of prints, and as one pair more from the bits'
+    frequencies."""
     mean = np.diag(both)[group] / max(n, 1)
     exact = np.zeros(most + 2)
     exact[0] = 1.0
@@ -118,16 +123,21 @@ def within(n: int, both: np.ndarray, group: list[int], most: int) -> list[float]
         differ = 2 * p * (1 - p)
         exact[1:] = exact[1:] * (1 - differ) + exact[:-1] * differ
         exact[0] *= 1 - differ
-    return list(np.cumsum(exact)[: most + 1])
+    mask, hits, pairs = np.uint64(sum(1 << i for i in group)), np.zeros(BITS + 1), 0
+    own = prints & mask
+    for i in range(1, len(own)):
+        hits += np.bincount(np.bitwise_count(own[i:] ^ own[:-i]), minlength=BITS + 1)
+        pairs += len(own) - i
+    return list(((np.cumsum(hits) + np.cumsum(np.append(exact, np.zeros(BITS)))[: BITS + 1]) / (pairs + 1))[: most + 1])
 
 
-def allocate(n: int, both: np.ndarray, distance: int, parts: int) -> tuple[float, list[tuple[list[int], int]]]:
+def allocate(n: int, both: np.ndarray, distance: int, parts: int, prints: np.ndarray) -> tuple[float, list[tuple[list[int], int]]]:
     """The thresholds with the least work for so many parts, by dynamic
     programming over parts and the threshold left."""
     groups = group_bits(n, both, parts)
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for group in groups:
-        chances = within(n, both, group, distance)
+        chances = within(n, both, group, distance, prints)
         following: dict[int, tuple[float, list[int]]] = {}
         for spent, (work, picked) in best.items():
             for t in range(-1, distance + 1 - spent):
@@ -141,8 +151,8 @@ def allocate(n: int, both: np.ndarray, distance: int, parts: int) -> tuple[float
     return work, list(zip(groups, picked, strict=True))
 
 
-def choose(n: int, both: np.ndarray, distance: int) -> list[tuple[list[int], int]]:
-    options = [allocate(n, both, distance, parts) for parts in range(2, distance + 2)] if distance else [allocate(n, both, 0, 1)]
+def choose(n: int, both: np.ndarray, distance: int, prints: np.ndarray) -> list[tuple[list[int], int]]:
+    options = [allocate(n, both, distance, parts, prints) for parts in range(2, distance + 2)] if distance else [allocate(n, both, 0, 1, prints)]
     return [(group, t) for group, t in min(options, key=lambda x: x[0])[1] if t >= 0]
 
 
@@ -155,7 +165,8 @@ def link(classes: DataFrame, distance: int = 4) -> DataFrame:
     n, both = bit_counts(classes)
     if n < 2:
         return classes.select(F.col("fp").alias("node"), F.col("fp").alias("component"))
-    parts = choose(n, both, distance)
+    few = classes.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
+    parts = choose(n, both, distance, np.array([r["fp"] for r in few], np.int64).view(np.uint64))
     masks = [sum(1 << i for i in group) for group, _ in parts]
     keyed = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks])).alias("part", "key")
     index = durable(classes.select("fp", keyed).withColumn("bucket", F.xxhash64("part", "key")))
@@ -194,11 +205,3 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 5, seed:
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     by_fp = lookup(named.select("fp", "component"), durable(least), "component").select("fp", "component_id")
     return lookup(rows, durable(by_fp), "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, **options: int) -> DataFrame:
-    """The document of each component whose doc_id names it; columns unchanged.
-    Rows that share that doc_id stay together."""
-    found = near_duplicates(docs, **options)
-    stay = durable(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct())
-    return docs.join(stay.hint("merge"), docs["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi")
