@@ -128,10 +128,10 @@ def xy_to_atlas(coordinates: DataFrame, sections: DataFrame, atlas: Atlas, orien
     geometry.check_orientation(orientation)
     first = F.min_by(F.struct("image_width", "image_height"), F.col("ordinal")).alias("_s")
     sizes = coordinates.groupBy("section_number").agg(first).select("section_number", F.col("_s.image_width").alias("seg_width"), F.col("_s.image_height").alias("seg_height"))
-    registered = sections.select("section_number", "width", "height")
-    points = coordinates.select("section_number", "ordinal", "x", "y").join(sizes, "section_number").join(registered, "section_number")
+    sizes = durable(sizes)  # a row per section; the coordinates are read once for them
+    used = durable(sections.join(sizes.select("section_number"), "section_number", "left_semi"))
+    points = coordinates.select("section_number", "ordinal", "x", "y").join(sizes, "section_number").join(used.select("section_number", "width", "height"), "section_number")
     points = points.withColumns({"rx": geometry.scaled(F.col("x"), F.col("seg_width"), F.col("width")), "ry": geometry.scaled(F.col("y"), F.col("seg_height"), F.col("height"))})
-    used = sections.join(sizes.select("section_number"), "section_number", "left_semi")
     warps, damage = warps_of(used), warp.damage_cells(used)
     atlas = narrowed(atlas, points, used, warps)
     maps = section_maps(used, atlas, warps)
