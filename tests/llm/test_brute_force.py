@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import html
+import os
 import re
 import struct
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
+from urllib.parse import urljoin, urlsplit
 
 import duckdb
 import pytest
@@ -151,7 +155,22 @@ def test_quality(result, sf_dir):
             lost += good.get(r["doc_id"]) == 1 and not r["kept"]
             rejected += good.get(r["doc_id"]) == 0 and not r["kept"]
     assert len(result("op5_quality")) == len(texts)
-    assert lost <= 3 and rejected >= 10
+    bad = sum(good.get(r["doc_id"]) == 0 and not r["base_failed"] for r in result("op5_quality"))
+    assert lost <= 3 and rejected >= 0.9 * bad > 0
+
+
+@pytest.mark.parametrize("fold", [0, 1])
+def test_quality_of_labels_it_has_not_seen(spark, sf_dir, fold):
+    from pyspark.sql import functions as F
+
+    from voxelloom.llm import quality
+
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    seen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == fold
+    judged = quality.judge(docs, labels.filter(seen)).join(labels.filter(~seen), "doc_id").filter("not base_failed")
+    counts = Counter((r["quality"], r["kept"]) for r in judged.collect())
+    assert counts[0, False] >= 0.9 * (counts[0, False] + counts[0, True]) > 0
+    assert counts[1, False] <= 0.03 * (counts[1, False] + counts[1, True])
 
 
 def test_secrets(result, sf_dir):
@@ -183,7 +202,21 @@ def test_toxicity(result, sf_dir):
         assert 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7)
         if r["held_out"] and r["doc_id"] in toxic:
             right[toxic[r["doc_id"]], r["predicted"]] += 1
-    assert right[1, 1] >= 0.6 * (right[1, 0] + right[1, 1]) and right[0, 1] <= 0.05 * right[0, 0], right
+    # two of the eighteen toxic held-out rows hold no toxic word at all
+    assert right[1, 1] >= 0.8 * (right[1, 0] + right[1, 1]) and right[0, 1] <= 0.02 * right[0, 0], right
+
+
+def test_toxicity_on_more_rows(spark, sf_dir):
+    """Held-out rows of the larger tables; one in twenty toxic labels is on a text
+    of repeated syllables without any toxic word."""
+    folder = os.path.join(os.path.dirname(sf_dir), "sf0.1")
+    if not os.path.isdir(folder):
+        pytest.skip("no larger tables here")
+    toxic, right = dict(rows(folder, "labels", "doc_id, toxic")), Counter()
+    for r in llm.queries()["op7_toxicity"](spark, folder).filter("held_out").collect():
+        if toxic.get(r["doc_id"]) is not None:
+            right[toxic[r["doc_id"]], r["predicted"]] += 1
+    assert right[1, 1] >= 0.85 * (right[1, 0] + right[1, 1]) and right[0, 1] <= 0.005 * right[0, 0], right
 
 
 def lowered(text):
@@ -201,21 +234,115 @@ def test_exact_dedup(result, sf_dir):
     assert len(got) == len(want) and set(got) == want
 
 
-def test_url_filter(result, sf_dir):
-    rules = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
-    urls = dict(rows(sf_dir, "pages", "page_id, url"))
-    for r in result("op9_url_filter"):
-        _, mark, rest = (urls[r["page_id"]] or "").partition("://")
+class Links(HTMLParser):
+    """A page's base and the targets of its canonical links and refreshes."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.base, self.targets = None, []
+        self.feed(page)
+
+    def handle_starttag(self, tag, attributes):
+        found = {k: (v or "").strip() for k, v in attributes}
+        if tag == "base" and self.base is None and "href" in found:
+            self.base = found["href"]
+        if tag == "link" and "canonical" in found.get("rel", "").lower().split():
+            self.targets.append(found.get("href", ""))
+        if tag == "meta" and found.get("http-equiv", "").lower() == "refresh":
+            self.targets.append(re.sub(r"""(?i)^[\s\d.]*[;,]?\s*(url\s*=\s*)?["']?""", "", found.get("content", "")).rstrip("\"'"))
+
+    handle_startendtag = handle_starttag
+
+
+def page_of(url):
+    """What urls of the same page share."""
+    if not url or "://" not in url:
+        return None
+    parts = urlsplit(urljoin(url, url))
+    if not parts.netloc:
+        return None
+    steps = []
+    for step in parts.path.split("/")[1:]:
+        if step == "..":
+            steps = steps[:-1]
+        elif step != ".":
+            steps.append(step)
+    path = ("/" + "/".join(steps) if parts.path else "").removesuffix("/")
+    query = "&".join(x for x in parts.query.split("&") if x and not x.startswith("utm_") and x.split("=")[0] not in ("gclid", "fbclid"))
+    return lowered(parts.netloc) + path + ("?" + query if query else "")
+
+
+def verdicts(pages, rules):
+    """(host, path, rule, verdict) of each row of (page_id, url, html)."""
+    up = {}
+
+    def root(x):
+        up.setdefault(x, x)
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    found, blocked = [], set()
+    for _, url, page in pages:
+        _, mark, rest = (url or "").partition("://")
         host, path = "", ""
         if mark:
             host = lowered(re.match(r"[^/?#]*", rest)[0])
             path = re.match(r"[^?#]*", rest[len(host) :])[0]
         fits = [x for x in rules if (host == x[0] or host.endswith("." + x[0])) and path.startswith(x[1])]
         best = max(fits, key=lambda x: len(x[0] + x[1]), default=None)
-        assert (r["host"], r["path"], r["rule"]) == (host, path, best and best[0] + best[1])
-        if best:
-            assert r["verdict"] == best[2]
-    assert len(result("op9_url_filter")) == len(urls)
+        found.append((host, path, best))
+        own = page_of(url)
+        if own and page:
+            links = Links(page)
+            base = urljoin(url, links.base) if links.base else url
+            for target in links.targets:
+                other = page_of(urljoin(base, target)) if target else None
+                if other:
+                    up[root(own)] = root(other)
+    for (_, url, _), (_, _, best) in zip(pages, found, strict=True):
+        if best and best[2] == "block" and page_of(url):
+            blocked.add(root(page_of(url)))
+    return [
+        (host, path, best and best[0] + best[1], best[2] if best else "block" if page_of(url) and root(page_of(url)) in blocked else "allow")
+        for (_, url, _), (host, path, best) in zip(pages, found, strict=True)
+    ]
+
+
+RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def test_url_filter(result, sf_dir):
+    pages = rows(sf_dir, "pages", "page_id, url, html")
+    want = sorted(((p[0], *v) for p, v in zip(pages, verdicts(pages, RULES), strict=True)), key=repr)
+    got = sorted(((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in result("op9_url_filter")), key=repr)
+    assert got == want
+
+
+def test_urls_that_lead_to_one_another(spark):
+    """Pages linked at random in every way that counts, against the plain version."""
+    import random
+
+    from voxelloom.llm import url_filters
+
+    picks = random.Random(5)
+    hosts, steps = ("a.org", "b.org", "shop.net", "x.example.com"), ("en", "fr", "es", "p", "q")
+    url = lambda: f"{picks.choice(('http', 'https'))}://{picks.choice(hosts)}/" + "/".join(picks.choice(steps) for _ in range(picks.randrange(4))) + picks.choice(("", "/", "?a=1", "?utm_x=1&a=1", "#f", "/./", "/../fr/"))
+    target = lambda: picks.choice((url, url, lambda: "../fr/", lambda: "/es/p", lambda: "?a=1&b=2", lambda: "//shop.net/fr/", lambda: "q", lambda: "#top", lambda: "mailto:x"))()
+    forms = (
+        lambda t: f'<link rel="canonical" href="{html.escape(t)}">', lambda t: f"<LINK HREF='{t}' REL='nofollow canonical'>", lambda t: f"<link rel=icon href='{t}'>",
+        lambda t: f'<meta http-equiv="refresh" content="3; url={html.escape(t)}">', lambda t: f"<!-- <link rel=canonical href='{t}'> -->", lambda t: f'<a href="{t}">x</a>',
+    )
+    pages = []
+    for i in range(400):
+        body = "".join(picks.choice(forms)(target()) for _ in range(picks.randrange(3))) if picks.random() < 0.3 else ""
+        base = f"<base href='{picks.choice(('/en/', 'http://b.org/p/', 'q/'))}'>" if picks.random() < 0.1 else ""
+        pages.append((i, url(), base + body))
+    found = url_filters.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in found}
+    want = verdicts(pages, RULES)
+    assert [got[i] for i in range(400)] == want
+    assert len({(v[3], v[2] is None) for v in want}) == 4
 
 
 def test_simhash(result, sf_dir):

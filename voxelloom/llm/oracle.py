@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import secrets, url_filters
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+QUOTES = "\"'"
 
 
 def quoted(text: str) -> str:
@@ -82,25 +83,45 @@ def exact_dedup() -> str:
 
 
 def url_filter() -> str:
-    rest = lambda u: f"regexp_extract({u}, '(?s)^.*?://(.*)$', 1)"
+    """Its patterns are its own, so that they and the operator's check each other."""
+    rest = lambda u: f"case when contains({u}, '://') then substr({u}, instr({u}, '://') + 3) else '' end"
     host = lambda u: lowered(f"regexp_extract({rest(u)}, '^[^/?#]*')")
-    path = lambda u: f"regexp_extract({rest(u)}, '(?s)^[^/?#]*([^?#]*)', 1)"
+    path = lambda u: f"regexp_extract({rest(u)}, '^[^/?#]*([^?#]*)', 1)"
+    tracked = "starts_with(x, 'utm_') or split_part(x, '=', 1) in ('gclid', 'fbclid')"
 
     def form(u: str) -> str:
-        query = f"string_split(regexp_extract({rest(u)}, '(?s)^[^?#]*\\?([^#]*)', 1), '&')"
-        kept = f"array_to_string(list_filter({query}, lambda x: x <> '' and not regexp_matches(x, {quoted(url_filters.TRACKING)})), '&')"
-        return f"case when {host(u)} <> '' then {host(u)} || regexp_replace({path(u)}, '/$', '') || case when {kept} <> '' then '?' || {kept} else '' end end"
-
-    scheme, root = "regexp_extract(url, '(?s)^(.*?)://', 1)", f"regexp_extract(url, '(?s)^(.*?)://', 1) || '://' || {host('url')}"
-    folder = f"regexp_extract({path('url')}, '(?s)^(.*)/', 1)"
+        query = f"string_split(regexp_extract({rest(u)}, '^[^?#]*\\?([^#]*)', 1), '&')"
+        kept = f"array_to_string(list_filter({query}, lambda x: x <> '' and not ({tracked})), '&')"
+        steps = "lambda done, x: case x when '.' then done when '..' then regexp_replace(done, '/[^/]*$', '') else done || '/' || x end"
+        plain = f"case when {path(u)} = '' then '' else list_reduce(string_split({path(u)}, '/'), {steps}) end"
+        return f"case when {host(u)} <> '' then {host(u)} || regexp_replace({plain}, '/$', '') || case when {kept} <> '' then '?' || {kept} else '' end end"
+
+    def absolute(target: str, url: str) -> str:
+        scheme, folder = f"split_part({url}, '://', 1)", f"regexp_extract({path(url)}, '(?s)^(.*)/', 1)"
+        root = f"{scheme} || '://' || {host(url)}"
+        return f"""case when {target} = '' or {target}[1] = '#' then null when regexp_matches({target}, '^[a-zA-Z][-+.a-zA-Z0-9]*://') then {target}
+            when regexp_matches({target}, '^[a-zA-Z][-+.a-zA-Z0-9]*:') then null when {target}[1:2] = '//' then {scheme} || ':' || {target} when {target}[1] = '/' then {root} || {target}
+            when {target}[1] = '?' then {root} || {path(url)} || {target} else {root} || {folder} || '/' || {target} end"""
+
+    def attribute(tag: str, name: str) -> str:
+        pattern = rf"""(?i)(?:\s|"|'|/){name}\s*=\s*("[^">]*"|'[^'>]*'|[^\s"'>]+)"""
+        bare = f"trim(regexp_extract({tag}, {quoted(pattern)}, 1), {quoted(QUOTES)})"
+        return f"trim(regexp_replace({bare}, '(?i)&(?:amp|#38|#x26);', '&', 'g'))"
+
+    canonical = quoted(r"""(?i)<link\b[^>]*(?:\s|"|'|/)rel\s*=\s*(?:"[^">]*\bcanonical\b|'[^'>]*\bcanonical\b|canonical\b)[^>]*>""")
+    refresh = quoted(r"""(?i)<meta\b[^>]*(?:\s|"|'|/)http-equiv\s*=\s*["']?\s*refresh\b[^>]*>""")
+    after = quoted(r"""(?i)^\s*[0-9.]*\s*[;,]?\s*(?:url\s*=\s*)?["']?([^"']*)""")
+    links = f"list_transform(regexp_extract_all(h, {canonical}), lambda x: {attribute('x', 'href')})"
+    refreshes = f"list_transform(regexp_extract_all(h, {refresh}), lambda x: trim(regexp_extract({attribute('x', 'content')}, {after}, 1)))"
+    base = attribute(r"regexp_extract(h, '(?i)<base\b[^>]*>')", "href")
     rules = sorted(url_filters.RULES, key=lambda r: -len(r[0] + r[1]))
     fits = [f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}')" for h, p, _ in rules]
     rule = "case " + " ".join(f"{f} then '{h}{p}'" for f, (h, p, _) in zip(fits, rules, strict=True)) + " end"
     action = "case " + " ".join(f"{f} then '{a}'" for f, (*_, a) in zip(fits, rules, strict=True)) + " end"
-    return f"""with recursive u as (select row_number() over () as row_id, page_id, coalesce(url, '') as url, coalesce(html, '') as html from pages),
-    targets as (select url, regexp_extract(regexp_extract(html, {quoted(url_filters.CANONICAL)}), {quoted(url_filters.HREF)}, 1) as t from u
-        union all select url, regexp_extract(regexp_extract(html, {quoted(url_filters.REFRESH)}), {quoted(url_filters.TARGET)}, 1) from u),
-    whole as (select url, case when contains(t, '://') then t when starts_with(t, '//') then {scheme} || ':' || t when starts_with(t, '/') then {root} || t else {root} || {folder} || '/' || t end as t from targets where t <> ''),
+    return rf"""with recursive u as (select row_number() over () as row_id, page_id, coalesce(url, '') as url, regexp_replace(coalesce(html, ''), '(?s)<!--.*?(?:-->|\z)', '', 'g') as h from pages),
+    bases as (select url, h, {base} as b from u),
+    targets as (select url, coalesce({absolute('b', 'url')}, url) as base, unnest(list_concat({links}, {refreshes})) as t from bases),
+    whole as (select url, {absolute('t', 'base')} as t from targets),
     edges as (select {form('url')} as a, {form('t')} as b from whole), both_ways as (select a, b from edges where a <> b union select b, a from edges where a <> b),
     reach(f, root) as (select a, a from both_ways union select e.b, r.root from reach r join both_ways e on e.a = r.f),
     classes as (select f, min(root) as class from reach group by f),

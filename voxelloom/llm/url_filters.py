@@ -2,14 +2,16 @@
 
 A rule (host, path, action) fits a url whose host is the rule's or below it and
 whose path starts with the rule's; the longest rule decides. Urls that lead to
-the same page form a class: urls alike but for scheme, fragment, a final slash
-and tracking parameters, and those that canonical links, refresh redirects or a
-given table of redirects connect. A url without a rule is blocked if a member
+the same page form a class: urls alike but for scheme, fragment, dot segments, a
+final slash and tracking parameters, and those that canonical links, refresh
+redirects or a given table of redirects connect. All links of a page count,
+resolved against its base; those inside comments don't. A url without a rule is blocked if a member
 of its class is blocked by a rule, and allowed otherwise. A url's own allow
 rule always takes precedence over its class.
 
 Null urls and urls without `://` have an empty host and path, no rule and no
-class: they are allowed. Null html has no links. Repeated rows are judged alike.
+class: they are allowed. Null html has no links, and neither do targets of other
+schemes than those with `://`. A tag ends at its first `>`. Repeated rows are judged alike.
 An empty table gives an empty result. Other columns are ignored. Rules become
 one expression, so they should be thousands at most."""
 
@@ -33,11 +35,17 @@ HOST = r"^[^/?#]*"
 PATH = r"(?s)^[^/?#]*([^?#]*)"
 QUERY = r"(?s)^[^?#]*\?([^#]*)"
 #: Parameters that say how a visitor came, not what the page is.
-TRACKING = r"^(utm_[^=]*|ref|gclid|fbclid)(=.*)?$"
-CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
-HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
-REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
-TARGET = r"""(?is)\burl\s*=\s*["']?([^"'\s>;]+)"""
+TRACKING = r"^(utm_[^=]*|gclid|fbclid)(=.*)?$"
+COMMENT = r"(?s)<!--.*?(-->|\z)"
+CANONICAL = r"""(?is)<link\b[^>]*[\s"'/]rel\s*=\s*("[^">]*\bcanonical\b|'[^'>]*\bcanonical\b|canonical\b)[^>]*>"""
+REFRESH = r"""(?is)<meta\b[^>]*[\s"'/]http-equiv\s*=\s*["']?\s*refresh\b[^>]*>"""
+BASE = r"(?is)<base\b[^>]*>"
+HREF = r"""(?is)[\s"'/]href\s*=\s*("[^">]*"|'[^'>]*'|[^\s"'>]+)"""
+CONTENT = r"""(?is)[\s"'/]content\s*=\s*("[^">]*"|'[^'>]*'|[^\s"'>]+)"""
+#: What a refresh's content says after the delay.
+TARGET = r"""(?is)^\s*[\d.]*\s*[;,]?\s*(?:url\s*=\s*)?["']?([^"']*)"""
+AMPERSAND = r"(?i)&(amp|#38|#x26);"
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 
 
 def _rest(url: Column) -> Column:
@@ -52,11 +60,20 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(_rest(url), PATH, 1), F.lit(""))
 
 
+def undotted(path: Column) -> Column:
+    """A path without `.` and `..` segments."""
+    step = lambda done, part: F.when(part == ".", done).when(part == "..", F.regexp_replace(done, r"/[^/]*\z", "")).otherwise(F.concat(done, F.lit("/"), part))
+    parts = F.split(path, "/", -1)
+    folded = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.lit(""), step)
+    return F.when(path.rlike(r"/\.\.?(/|\z)"), folded).otherwise(path)
+
+
 def form_of(url: Column) -> Column:
     """What urls of the same page have in common; null without a host."""
     query = F.split(F.regexp_extract(_rest(url), QUERY, 1), "&")
     telling = F.array_join(F.filter(query, lambda x: (x != "") & ~x.rlike(TRACKING)), "&")
-    form = F.concat(host_of(url), F.regexp_replace(path_of(url), "/$", ""), F.when(telling != "", F.concat(F.lit("?"), telling)).otherwise(""))
+    path = F.regexp_replace(undotted(path_of(url)), r"/\z", "")
+    form = F.concat(host_of(url), path, F.when(telling != "", F.concat(F.lit("?"), telling)).otherwise(""))
     return F.when(host_of(url) != "", form)
 
 
@@ -66,10 +83,11 @@ def resolved(target: Column, url: Column) -> Column:
     folder = F.regexp_extract(path_of(url), r"(?s)^(.*)/", 1)
     root = F.concat(scheme, F.lit("://"), host_of(url))
     return (
-        F.when(target == "", F.lit(None))
-        .when(target.contains("://"), target)
+        F.when((target == "") | target.startswith("#"), F.lit(None))
+        .when(target.rlike(SCHEME), F.when(target.rlike(SCHEME + "//"), target))
         .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
         .when(target.startswith("/"), F.concat(root, target))
+        .when(target.startswith("?"), F.concat(root, path_of(url), target))
         .otherwise(F.concat(root, folder, F.lit("/"), target))
     )
 
@@ -83,13 +101,23 @@ def match(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...]) -
     return rule, action
 
 
+def _value(tag: Column, attribute: str) -> Column:
+    """An attribute's value, without its quotes; empty where it is missing."""
+    bare = F.regexp_replace(F.regexp_extract(tag, attribute, 1), r"""^["']|["']\z""", "")
+    return F.trim(F.regexp_replace(bare, AMPERSAND, "&"))
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
-    """Edges (a, b) between forms, from canonical links and refreshes."""
+    """Edges (a, b) between forms, from all canonical links and refreshes."""
     html, url = F.coalesce("html", F.lit("")), F.col("url")
-    canonical = F.regexp_extract(F.regexp_extract(html, CANONICAL, 0), HREF, 1)
-    refresh = F.regexp_extract(F.regexp_extract(html, REFRESH, 0), TARGET, 1)
-    found = pages.select("url", F.explode(F.array(canonical, refresh)).alias("target")).filter("target <> ''")
-    return found.select(form_of(url).alias("a"), form_of(resolved(F.col("target"), url)).alias("b")).filter("a <> b")
+    bare = F.when(html.contains("<!--"), F.regexp_replace(html, COMMENT, "")).otherwise(html)
+    found = pages.select("url", bare.alias("html")).filter(F.col("html").rlike(CANONICAL) | F.col("html").rlike(REFRESH))
+    tags = lambda pattern: F.regexp_extract_all("html", F.lit(pattern), F.lit(0))
+    links = F.transform(tags(CANONICAL), lambda tag: _value(tag, HREF))
+    refreshes = F.transform(tags(REFRESH), lambda tag: F.trim(F.regexp_extract(_value(tag, CONTENT), TARGET, 1)))
+    base = F.coalesce(resolved(_value(F.regexp_extract("html", BASE, 0), HREF), url), url)
+    found = found.select("url", base.alias("base"), F.explode(F.concat(links, refreshes)).alias("target"))
+    return found.select(form_of(url).alias("a"), form_of(resolved(F.col("target"), F.col("base"))).alias("b")).filter("a <> b").distinct()
 
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, redirects: DataFrame | None = None) -> DataFrame:
