@@ -4,19 +4,23 @@ SQL works on the tables that the files were made of."""
 
 from __future__ import annotations
 
+import io
 import json
+import zipfile
+from typing import ClassVar
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import geometry, volume
 from ..sinks import exports
-from ..sources import files, rasters, registration, tables, volumes
+from ..sources import atlases, files, rasters, registration, tables, volumes
 from ..storage import scratch, write_bytes
 from . import pipelines
 from .fixtures import SHAPE, ctes, view
-from .registry import _PLACED, _SLICES, _VOXELS, _axes, _counts, _counts_cte, _fixture_atlas, _grid, _voxels, query
+from .registry import _FOUND, _MARKERS, _PLACED, _SLICES, _VOXELS, _axes, _counts, _counts_cte, _fixture_atlas, _grid, _triangle_sql, _voxels, query
 
 # --- rasters ------------------------------------------------------------------
 
@@ -91,9 +95,9 @@ def series_file(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("section_number", "width", "height", *geometry.PLANE, "plane_width", "plane_height")
 
 
-def _series(spark: SparkSession, sf: str) -> str:
-    rows = view(spark, sf, "fx_sections").collect()
-    slices = [{"filename": f"m_s{r['section_number']:03d}.png", "nr": r["section_number"], "width": r["width"], "height": r["height"], "anchoring": [r[c] for c in geometry.PLANE]} for r in rows]
+def _series(spark: SparkSession, sf: str, markers: list | None = None) -> str:
+    rows, more = view(spark, sf, "fx_sections").collect(), {"markers": markers} if markers else {}
+    slices = [{"filename": f"m_s{r['section_number']:03d}.png", "nr": r["section_number"], "width": r["width"], "height": r["height"], "anchoring": [r[c] for c in geometry.PLANE], **more} for r in rows]
     path = f"{scratch(spark, 'series')}/series.json"
     write_bytes(path, json.dumps({"slices": slices}).encode())
     return path
@@ -315,3 +319,118 @@ def displacement_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     points = view(spark, sf, "fx_xy").withColumnRenamed("event_id", "ordinal")
     result = pipelines.xy_to_atlas(points, sections, _fixture_atlas(spark, sf))
     return result.points.select(F.col("ordinal").alias("event_id"), "label", *[F.round(a, 6).alias(a) for a in "xyz"])
+
+
+def _hit(name: str, table: str, x: str, y: str) -> str:
+    """Points (event_id) of a table moved by the first triangle that holds them."""
+    area = "((x1 - x0) * (y2 - y0) - (y1 - y0) * (x2 - x0))"
+    return f"""{name}_uv as (select event_id, t.*, (({x} - x0) * (y2 - y0) - ({y} - y0) * (x2 - x0)) / {area} as u, ((x1 - x0) * ({y} - y0) - (y1 - y0) * ({x} - x0)) / {area} as v from {table}, tri t where {area} <> 0),
+    {name} as (select event_id, arg_min(mx0 + u * (mx1 - mx0) + v * (mx2 - mx0), o) as wx, arg_min(my0 + u * (my1 - my0) + v * (my2 - my0), o) as wy
+        from {name}_uv where u >= 0 and u <= 1 and v >= 0 and v <= 1 and u + v <= 1 group by event_id)"""
+
+
+@query(
+    f"""{ctes('fx_xy', 'fx_sections', 'fx_voxels')}, {_PLACED}, {_SLICES}, {_triangle_sql()}, {_hit('moved', 'placed', 'rx', 'ry')},
+    spots as (select p.*, map_width, map_height, floor(ry * (map_height - 1) / (height - 1)) as sy, floor(rx * (map_width - 1) / (width - 1)) as sx
+        from placed p join (select section_number, map_width, map_height from planes) using (section_number)),
+    corners as (select *, sx * width / map_width::double as px, sy * height / map_height::double as py from spots), {_hit('pulled', 'corners', 'px', 'py')},
+    cells as (select c.*, trunc(coalesce(q.wx, 0) / (width / map_width::double)) as qx, trunc(coalesce(q.wy, 0) / (height / map_height::double)) as qy from corners c left join pulled q using (event_id)),
+    found as (select c.*, coalesce(w.wx, 0) as wx, coalesce(w.wy, 0) as wy, case when sx >= 0 and sy >= 0 and sx < c.map_width and sy < c.map_height then coalesce(m.label, 0) else 0 end as label
+        from cells c left join moved w using (event_id) left join maps m on m.section_number = c.section_number and m.y = qy and m.x = qx)
+    select event_id, label, round(ax, 6) as x, round(ay, 6) as y, round(az, 6) as z from (select event_id, label, {_axes('wx', 'wy')} from found)"""
+)
+def marker_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    """Coordinates through sections whose registration file has markers."""
+    sections = registration.read_registration(spark, _series(spark, sf, _MARKERS))
+    result = pipelines.xy_to_atlas(view(spark, sf, "fx_xy").withColumnRenamed("event_id", "ordinal"), sections, _fixture_atlas(spark, sf), "lpi")
+    return result.points.select(F.col("ordinal").alias("event_id"), "label", *[F.round(a, 6).alias(a) for a in "xyz"])
+
+
+@query(f"{ctes('fx_raster')} select section_number, y, x, cast(floor(abs(v) * 200) as int) as c0 from fx_raster")
+def deep_zoom_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Each raster as an archive of four tiles."""
+    folder = scratch(spark, "zoom")
+    head = '<Image TileSize="4" xmlns="http://schemas.microsoft.com/deepzoom/2008"><Size Width="8" Height="8"/></Image>'
+
+    def write(section: pd.DataFrame) -> pd.DataFrame:
+        image = np.zeros((8, 8), np.uint8)
+        image[section["y"], section["x"]] = section["c0"]
+        packed, number = io.BytesIO(), int(section["section_number"].iloc[0])
+        with zipfile.ZipFile(packed, "w") as archive:
+            archive.writestr("a.dzi", head)
+            archive.writestr("a_files/0/0_0.png", rasters.encode_png(image[:1, :1]))
+            for column, row in ((0, 0), (0, 1), (1, 0), (1, 1)):
+                archive.writestr(f"a_files/3/{column}_{row}.png", rasters.encode_png(image[row * 4 : row * 4 + 4, column * 4 : column * 4 + 4]))
+        write_bytes(f"{folder}/zoom_s{number:03d}.dzip", packed.getvalue())
+        return section[["section_number"]].head(1)
+
+    _grey(spark, sf, 200).groupBy("section_number").applyInPandas(write, "section_number int").write.format("noop").mode("overwrite").save()
+    return _read(spark, folder).select("section_number", "y", "x", "c0")
+
+
+@query(
+    f"""{ctes('fx_voxels')} select label, hemi, cast(count(*) as bigint) as n, cast(sum(63 - z) as bigint) as xs, cast(sum(109 - x) as bigint) as ys, cast(sum(74 - y) as bigint) as zs
+    from fx_voxels group by label, hemi"""
+)
+def array_atlas(spark: SparkSession, sf: str) -> DataFrame:
+    """An atlas of arrays, turned to internal orientation."""
+    x, y, z = np.indices(SHAPE, np.int32)
+
+    class Held:
+        annotation = (x // 10 * 7 + y // 10 * 3 + z // 8) % 160
+        hemispheres = np.where(x < 55, 1, 2)
+        structures_list: ClassVar[list] = []
+        resolution = (25.0, 25.0, 25.0)
+
+    found = atlases.resolve_atlas(spark, Held()).voxels
+    return found.groupBy("label", "hemi").agg(F.count("*").alias("n"), *[F.sum(a).alias(f"{a}s") for a in "xyz"])
+
+
+@query(ctes("fx_labels") + "select idx, name, r, g, b from fx_labels union all select 0, 'Clear Label', 0, 0, 0")
+def structure_labels(spark: SparkSession, sf: str) -> DataFrame:
+    rows = view(spark, sf, "fx_labels").collect()
+
+    class Held:
+        structures_list: ClassVar[list] = [{"id": r["idx"], "name": r["name"], "rgb_triplet": [r["r"], r["g"], r["b"]]} for r in rows]
+
+    return tables.resolve_labels(spark, Held()).select("idx", "name", "r", "g", "b")
+
+
+@query(
+    f"""{ctes('fx_xy', 'fx_sections', 'fx_voxels', 'fx_labels')}, {_PLACED}, {_SLICES}, {_FOUND},
+    named as (select idx, name from fx_labels union all select 0, 'out_of_atlas'), n as (select label, count(*) as c from found group by label)
+    select 'counts.csv' as file, name, cast(coalesce(c, 0) as bigint) as n from named left join n on label = idx where idx <> 0 or c is not null
+    union all select f, name, n from (values ('pixels_cloud.json', 0), ('left_hemisphere_pixels_cloud.json', 1), ('right_hemisphere_pixels_cloud.json', 2),
+        ('objects_cloud.json', 0), ('left_hemisphere_objects_cloud.json', 1), ('right_hemisphere_objects_cloud.json', 2)) as t(f, side),
+        lateral (select name, cast(count(*) as bigint) as n from found join fx_labels on idx = label where side = 0 or hemi = side group by idx, name)"""
+)
+def analysis_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The report and the clouds that an analysis of coordinates leaves."""
+    atlas, folder = _fixture_atlas(spark, sf), scratch(spark, "analysis")
+    sections = registration.read_registration(spark, _series(spark, sf))
+    result = pipelines.xy_to_atlas(view(spark, sf, "fx_xy").withColumnRenamed("event_id", "ordinal"), sections, atlas)
+    exports.save_analysis(folder, result, atlas.labels, pipelines.quantify(result, atlas.labels), settings={"sf": sf})
+    report = spark.read.option("header", True).option("sep", ";").csv(f"{folder}/whole_series_report/counts.csv")
+    report = report.select(F.lit("counts.csv").alias("file"), "name", F.col("pixel_count").cast("long").alias("n"))
+    clouds = spark.read.schema("name string, count long").option("multiLine", True).json(f"{folder}/whole_series_clouds")
+    clouds = clouds.select(files.file_name(F.col("_metadata.file_path")).alias("file"), "name", F.col("count").alias("n"))
+    return report.unionByName(clouds)
+
+
+@query(
+    f"""{ctes('fx_raster', 'fx_sections')}, planes as (select *, greatest(1, cast(round_even(sqrt(ux*ux + uy*uy + uz*uz), 0) as int)) as pw, greatest(1, cast(round_even(sqrt(vx*vx + vy*vy + vz*vz), 0) as int)) as ph from fx_sections
+        where section_number in (select section_number from fx_raster)),
+    grid as (select p.*, (a.x + 0.5::double) * width / pw as rx, (b.y + 0.5::double) * height / ph as ry from planes p, range(200) a(x), range(200) b(y) where a.x < pw and b.y < ph),
+    spot as (select *, round_even(rx, 0) as cx, round_even(ry, 0) as cy from grid),
+    seen as (select a.*, case when r.v > 0.1 then 1 else 0 end as value from spot a left join fx_raster r on r.section_number = a.section_number and cx < width and cy < height
+        and r.x = least(floor(cx * 8 / width::double), 7) and r.y = least(floor(cy * 8 / height::double), 7)),
+    vox as (select cast(round_even(ax, 0) as int) as x, cast(round_even(ay, 0) as int) as y, cast(round_even(az, 0) as int) as z, value from (select value, {_axes()} from seen))
+    select x, y, z, cast(sum(value) as double) as value, cast(count(*) as bigint) as freq from vox where x between 0 and 109 and y between 0 and 74 and z between 0 and 63 group by x, y, z"""
+)
+def volume_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    """Voxels that the planes of images cover, without filling the others."""
+    rows = view(spark, sf, "fx_raster").select("section_number", "y", "x", F.when(F.col("v") > 0.1, 0).otherwise(255).alias("c0"))
+    folder = _written(spark, rows, "seg_s%03d.png")
+    sections = registration.read_registration(spark, _series(spark, sf))
+    made = pipelines.volume_from_images(spark, folder, sections, _fixture_atlas(spark, sf), "0,0,0", interpolate=False, use_mask=False, missing=0.0, orientation="lpi")
+    return made.filter("freq > 0").select("x", "y", "z", "value", "freq")
