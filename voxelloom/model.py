@@ -7,6 +7,8 @@ from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame
 
+from .storage import located
+
 
 @dataclass
 class Atlas:
@@ -67,8 +69,9 @@ class Settings:
 
     @classmethod
     def from_file(cls, path: str) -> Settings:
-        with open(path) as file:
-            return cls.from_dict(json.load(file))
+        system, place = located(path)
+        with system.open_input_stream(place) as file:
+            return cls.from_dict(json.loads(file.read()))
 
     def normalised(self) -> Settings:
         """An atlas's name tells its voxel size."""

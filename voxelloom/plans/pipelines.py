@@ -194,7 +194,7 @@ def segmentation_to_atlas(spark: SparkSession, folder: str, sections: DataFrame,
     centres = place(centres, used, warps, "rx", "ry")
     extra = ("rx", "ry", "seg_width", "seg_height", "width", "height")
     lengths = members.groupBy("section_number").agg(F.count("*").alias("n_points"))
-    listed = files.select("path", "section_number").join(lengths.join(registered, "section_number", "left_semi"), "section_number", "left").fillna(0, ["n_points"])
+    listed = files.select("path", "section_number").join(lengths.join(registered, "section_number", "left_semi"), "section_number", "left").fillna(0, ["n_points"]).orderBy("path")
     return Extraction(turned(points.drop(*extra), atlas, orientation), turned(centres.drop(*extra), atlas, orientation),
                       map_areas(maps, damage, sizes, atlas.has_hemi), None, listed, orientation, atlas.shape, atlas.has_hemi)
 
@@ -250,7 +250,7 @@ def image_to_atlas(spark: SparkSession, folder: str, sections: DataFrame, atlas:
     hemi = F.col("hemi") if atlas.has_hemi else F.lit(0)
     points = place(shown.withColumn("hemi", hemi), used, warps, "rx", "ry")
     points = turned(points.drop("rx", "ry", "width", "height"), atlas, orientation)
-    return Extraction(points, None, map_areas(maps, damage, sizes, atlas.has_hemi), series, files.select("path", "section_number"), orientation, atlas.shape, atlas.has_hemi)
+    return Extraction(points, None, map_areas(maps, damage, sizes, atlas.has_hemi), series, files.select("path", "section_number").orderBy("path"), orientation, atlas.shape, atlas.has_hemi)
 
 
 def section_visuals(spark: SparkSession, sections: DataFrame, atlas: Atlas, folder: str, segmentations: str | None = None, scale: float = 0.5,
