@@ -86,7 +86,7 @@ def test_listed_hashes_meet(seed):
         a = np.unique(pool[:n])
         cut = int(picks.integers(0, n // 9 + 1))
         b = np.unique(np.concatenate([a[picks.permutation(len(a))[cut:]], pool[n : n + cut]]))
-        frequent = picks.permutation(pool)[: n // 2]
+        frequent = near_copies.Frequent(np.unique(picks.permutation(pool)[: n // 2]))
         if near_copies.are_near(set(a), set(b)):
             shared = set(near_copies.listed(a, frequent)) & set(near_copies.listed(b, frequent))
             assert len(shared) >= 1 + min(len(a), len(b)) // near_copies.STEP
