@@ -198,6 +198,15 @@ def test_simhash(docs, empty):
     assert n_of(simhash.near_duplicates(empty)) == 0
 
 
+def test_rows_that_share_a_doc_id_keep_their_own_texts(spark):
+    rows = [(1, "a b c d e f g"), (1, "t u v w x y z"), (None, "T U V W X Y Z"), (2, "a b c d e f g"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted(((r["doc_id"], r["fp"] == 0, r["component_id"]) for r in simhash.near_duplicates(docs).collect()), key=repr)
+    assert found == sorted([(1, False, 1), (1, False, 1), (None, False, 1), (2, False, 1), (None, True, None)], key=repr)
+    groups = sorted(((r["doc_id"], r["keep_id"], r["group_size"]) for r in exact_dedup.exact_groups(docs, "max").collect()), key=repr)
+    assert groups == sorted([(1, 2, 2), (1, 1, 2), (None, 1, 2), (2, 2, 2), (None, None, 1)], key=repr)
+
+
 @pytest.mark.parametrize("distance", [0, 1, 3, 6])
 def test_all_links_are_found(spark, distance):
     picks = np.random.default_rng(distance)

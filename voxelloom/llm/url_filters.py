@@ -30,6 +30,7 @@ RULES = (
     ("net", "/fr/", "block"),
 )
 
+SCHEME_OF = r"(?s)^(.*?)://"
 AFTER_SCHEME = r"(?s)^.*?://(.*)$"
 HOST = r"^[^/?#]*"
 PATH = r"(?s)^[^/?#]*([^?#]*)"
@@ -48,47 +49,49 @@ AMPERSAND = r"(?i)&(amp|#38|#x26);"
 SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 
 
-def _rest(url: Column) -> Column:
-    return F.when(url.contains("://"), F.regexp_extract(url, AFTER_SCHEME, 1)).otherwise(F.lit(""))
-
-
-def host_of(url: Column) -> Column:
-    return F.coalesce(ascii_lower(F.regexp_extract(_rest(url), HOST, 0)), F.lit(""))
-
-
-def path_of(url: Column) -> Column:
-    return F.coalesce(F.regexp_extract(_rest(url), PATH, 1), F.lit(""))
+def with_parts(rows: DataFrame, url: str, prefix: str = "") -> DataFrame:
+    """Adds scheme, host, path and query of a url column, each empty where there is
+    none. Later steps read these columns; nothing is parsed twice."""
+    whole = F.coalesce(F.when(F.col(url).contains("://"), F.col(url)), F.lit(""))
+    rows = rows.withColumns({f"{prefix}scheme": F.regexp_extract(whole, SCHEME_OF, 1), f"{prefix}rest": F.regexp_extract(whole, AFTER_SCHEME, 1)})
+    rest = F.col(f"{prefix}rest")
+    rows = rows.withColumns({
+        f"{prefix}host": ascii_lower(F.regexp_extract(rest, HOST, 0)),
+        f"{prefix}path": F.regexp_extract(rest, PATH, 1),
+        f"{prefix}query": F.regexp_extract(rest, QUERY, 1),
+    })
+    return rows.drop(f"{prefix}rest")
 
 
 def undotted(path: Column) -> Column:
     """A path without `.` and `..` segments."""
     step = lambda done, part: F.when(part == ".", done).when(part == "..", F.regexp_replace(done, r"/[^/]*\z", "")).otherwise(F.concat(done, F.lit("/"), part))
-    parts = F.split(path, "/", -1)
-    folded = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.lit(""), step)
+    folded = F.aggregate(F.slice(F.split(path, "/", -1), 2, 1 << 30), F.lit(""), step)
     return F.when(path.rlike(r"/\.\.?(/|\z)"), folded).otherwise(path)
 
 
-def form_of(url: Column) -> Column:
-    """What urls of the same page have in common; null without a host."""
-    query = F.split(F.regexp_extract(_rest(url), QUERY, 1), "&")
-    telling = F.array_join(F.filter(query, lambda x: (x != "") & ~x.rlike(TRACKING)), "&")
-    path = F.regexp_replace(undotted(path_of(url)), r"/\z", "")
-    form = F.concat(host_of(url), path, F.when(telling != "", F.concat(F.lit("?"), telling)).otherwise(""))
-    return F.when(host_of(url) != "", form)
+def with_form(rows: DataFrame, into: str, prefix: str = "") -> DataFrame:
+    """Adds what urls of the same page have in common, from their parts; null
+    without a host."""
+    host, path, query = (F.col(f"{prefix}{n}") for n in ("host", "path", "query"))
+    telling = F.array_join(F.filter(F.split(query, "&"), lambda x: (x != "") & ~x.rlike(TRACKING)), "&")
+    rows = rows.withColumns({"_telling": telling, "_plain": undotted(path)})
+    form = F.concat(host, F.regexp_replace("_plain", r"/\z", ""), F.when(F.col("_telling") != "", F.concat(F.lit("?"), F.col("_telling"))).otherwise(""))
+    return rows.withColumn(into, F.when(host != "", form)).drop("_telling", "_plain")
 
 
-def resolved(target: Column, url: Column) -> Column:
-    """An absolute url for a link's target; null where there is none."""
-    scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
-    folder = F.regexp_extract(path_of(url), r"(?s)^(.*)/", 1)
-    root = F.concat(scheme, F.lit("://"), host_of(url))
+def resolved(target: Column, url: Column, prefix: str = "") -> Column:
+    """An absolute url for a link's target on the page `url`, whose parts are
+    columns; null where there is none."""
+    scheme, host, path = (F.col(f"{prefix}{n}") for n in ("scheme", "host", "path"))
+    root = F.concat(scheme, F.lit("://"), host)
     return (
-        F.when((target == "") | target.startswith("#"), F.lit(None))
+        F.when((target == "") | target.startswith("#") | url.isNull(), F.lit(None))
         .when(target.rlike(SCHEME), F.when(target.rlike(SCHEME + "//"), target))
         .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
         .when(target.startswith("/"), F.concat(root, target))
-        .when(target.startswith("?"), F.concat(root, path_of(url), target))
-        .otherwise(F.concat(root, folder, F.lit("/"), target))
+        .when(target.startswith("?"), F.concat(root, path, target))
+        .otherwise(F.concat(root, F.regexp_extract(path, r"(?s)^(.*)/", 1), F.lit("/"), target))
     )
 
 
@@ -108,27 +111,32 @@ def _value(tag: Column, attribute: str) -> Column:
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
-    """Edges (a, b) between forms, from all canonical links and refreshes."""
-    html, url = F.coalesce("html", F.lit("")), F.col("url")
+    """Edges (a, b) between forms, from all canonical links and refreshes. The
+    links are stored before they are resolved: they are few beside the pages."""
+    html = F.coalesce("html", F.lit(""))
     bare = F.when(html.contains("<!--"), F.regexp_replace(html, COMMENT, "")).otherwise(html)
     found = pages.select("url", bare.alias("html")).filter(F.col("html").rlike(CANONICAL) | F.col("html").rlike(REFRESH))
     tags = lambda pattern: F.regexp_extract_all("html", F.lit(pattern), F.lit(0))
     links = F.transform(tags(CANONICAL), lambda tag: _value(tag, HREF))
     refreshes = F.transform(tags(REFRESH), lambda tag: F.trim(F.regexp_extract(_value(tag, CONTENT), TARGET, 1)))
-    base = F.coalesce(resolved(_value(F.regexp_extract("html", BASE, 0), HREF), url), url)
-    found = found.select("url", base.alias("base"), F.explode(F.concat(links, refreshes)).alias("target"))
-    return found.select(form_of(url).alias("a"), form_of(resolved(F.col("target"), F.col("base"))).alias("b")).filter("a <> b").distinct()
+    found = found.select("url", _value(F.regexp_extract("html", BASE, 0), HREF).alias("href"), F.explode(F.concat(links, refreshes)).alias("target"))
+    # stored between steps: a filter would otherwise be pushed through all of them
+    # and carry copies of their expressions along
+    found = durable(with_form(with_parts(durable(found), "url"), "a"))
+    found = found.select("a", "target", F.coalesce(resolved(F.col("href"), F.col("url")), "url").alias("base"))
+    found = with_parts(durable(found), "base").select("a", resolved(F.col("target"), F.col("base")).alias("to"))
+    return durable(with_form(with_parts(durable(found), "to"), "b").select("a", "b")).filter("a <> b").distinct()
 
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, redirects: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule and verdict. redirects: urls (src, dst)."""
-    url = F.col("url")
     rule, action = match(F.col("host"), F.col("path"), rules)
-    slim = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), form_of(url).alias("form"))
+    slim = with_form(with_parts(pages.select("page_id", "url"), "url"), "form").select("page_id", "host", "path", "form")
     slim = durable(slim.select("*", rule.alias("rule"), action.alias("action")))
     edges = link_edges(pages)
     if redirects is not None:
-        edges = edges.unionByName(redirects.select(form_of(F.col("src")).alias("a"), form_of(F.col("dst")).alias("b")))
+        ends = with_parts(with_form(with_parts(redirects.select("src", "dst"), "src"), "a"), "dst")
+        edges = edges.unionByName(with_form(ends, "b").select("a", "b"))
     classes = connected_components(edges).select(F.col("node").alias("form"), "component")
     named = durable(lookup(slim, classes, "form").withColumn("class", F.coalesce("component", "form")))
     blocked = named.filter("action = 'block' and class is not null").select("class").distinct().withColumn("blocked", F.lit(True))
