@@ -123,7 +123,7 @@ def save_analysis(folder: str, result: Extraction, labels: DataFrame, table: Dat
     if settings is not None:
         write_bytes(f"{folder}/settings.json", json.dumps(settings, indent=2).encode())
     clouds = f"{folder}/whole_series_clouds"
-    points = inner(result.points)
+    points = durable(inner(result.points))  # written once, read by each cloud
     if result.intensities is not None:
         split = [("", points), *([(f"{n}_hemisphere_", points.filter(F.col("hemi") == i)) for i, n in ((1, "left"), (2, "right"))] if result.with_hemi else [])]
         for prefix, rows in split:
@@ -132,7 +132,8 @@ def save_analysis(folder: str, result: Extraction, labels: DataFrame, table: Dat
         return
     write_region_clouds(points, labels, clouds, "pixels_cloud.json", result.with_hemi)
     if result.objects is not None:
-        write_region_clouds(inner(result.objects), labels, clouds, "objects_cloud.json", result.with_hemi)
+        marks = points if result.objects is result.points else durable(inner(result.objects))
+        write_region_clouds(marks, labels, clouds, "objects_cloud.json", result.with_hemi)
 
 
 def _turned(result: Extraction) -> tuple[int, int, int]:
