@@ -123,16 +123,10 @@ def with_voxels(rows: DataFrame, voxels: DataFrame) -> DataFrame:
 
 def needed_voxels(voxels: DataFrame, *cells: DataFrame) -> DataFrame:
     """Those voxels that tables of cells (lx, ly, lz) name, stored: a volume is
-    read once for all of them, and only within their box."""
-    wanted = cells[0].select("lx", "ly", "lz")
-    for more in cells[1:]:
-        wanted = wanted.unionByName(more.select("lx", "ly", "lz"))
-    wanted = durable(wanted.filter("lx is not null and ly is not null and lz is not null").distinct())
-    box = wanted.agg(*[f(f"l{a}") for a in "xyz" for f in (F.min, F.max)]).first()
-    if box[0] is None:
-        return voxels.filter("false")
-    inside = reduce(lambda a, b: a & b, (F.col(a).between(box[2 * i], box[2 * i + 1]) for i, a in enumerate("xyz")))
-    return durable(voxels.filter(inside).join(wanted.toDF("x", "y", "z"), ["x", "y", "z"], "left_semi"))
+    read and shuffled once for all of them."""
+    wanted = reduce(lambda a, b: a.unionByName(b), (c.select("lx", "ly", "lz") for c in cells))
+    wanted = wanted.filter("lx is not null and ly is not null and lz is not null").distinct()
+    return durable(voxels.join(wanted.toDF("x", "y", "z"), ["x", "y", "z"], "left_semi"))
 
 
 def slice_grid(sections: DataFrame) -> DataFrame:

@@ -277,8 +277,9 @@ def _spread(axis: str, n: str) -> str:
     f"""{ctes('fx_raster', 'fx_sections', 'fx_voxels', 'fx_labels')}, {_SLICES}, across as ({_spread('x', '250')}), down as ({_spread('y', '75')}),
     small as (select section_number, d.y, a.x, sum(case when floor(abs(v) * 200) < 5 then 0 else floor(abs(v) * 200) end * wx * wy) / sum(wx * wy) as value
         from fx_raster r join across a on a.p = r.x join down d on d.p = r.y where section_number in (select section_number from fx_sections) group by 1, 2, 3),
-    cells as (select s.section_number, m.label, m.hemi, case when value < 5 then 0 else value end as value from small s join planes p using (section_number) join maps m on m.section_number = s.section_number
-        and m.y = least(floor(s.y * p.map_height / 75.0::double), p.map_height - 1) and m.x = least(floor(s.x * p.map_width / 250.0::double), p.map_width - 1)),
+    spots as materialized (select s.section_number, cast(least(floor(s.y * p.map_height / 75.0::double), p.map_height - 1) as int) as r,
+        cast(least(floor(s.x * p.map_width / 250.0::double), p.map_width - 1) as int) as c, case when value < 5 then 0 else value end as value from small s join planes p using (section_number)),
+    cells as (select s.section_number, m.label, m.hemi, value from spots s join maps m on m.section_number = s.section_number and m.y = s.r and m.x = s.c),
     sums as (select label, sum(value) as total, count(*) as n, coalesce(sum(value) filter (where hemi = 1), 0) as left_total, count(*) filter (where hemi = 2) as right_n from cells group by label)
     select idx, name, round(coalesce(total, 0), 4) as sum_intensity, cast(coalesce(n, 0) as bigint) as pixel_count, round(coalesce(left_total, 0), 4) as left_hemi_sum_intensity,
     cast(coalesce(right_n, 0) as bigint) as right_hemi_pixel_count, round(case when coalesce(n, 0) > 0 then total / n else 0 end, 6) as mean_intensity from fx_labels left join sums on label = idx"""
