@@ -140,6 +140,59 @@ def test_a_crowd_below_the_bound_gives_few_pairs(spark, monkeypatch):
     assert sum(counts) < 300 * 299 // 2 // 4
 
 
+def join_rows(spark, since):
+    """Rows out of the joins of entries in executions after one, and the last one's number."""
+    store, rows, last = spark._jsparkSession.sharedState().statusStore(), 0, since
+    executions = store.executionsList()
+    for i in range(executions.size()):
+        number = executions.apply(i).executionId()
+        last = max(last, number)
+        nodes = store.planGraph(number).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size()) if number > since):
+            if node.name().startswith("SortMergeJoin") and "[hx#" in node.desc():
+                metrics, values = node.metrics(), store.executionMetrics(number)
+                of = {metrics.apply(k).name(): metrics.apply(k).accumulatorId() for k in range(metrics.size())}
+                rows += int(values.apply(of["number of output rows"]).replace(",", ""))
+    return rows, last
+
+
+def test_a_pair_comes_out_of_the_join_a_few_times(spark):
+    """Long texts that share many listed shingles, and are too long for the bits to
+    tell them apart: a row for each shared shingle would be hundreds for a pair."""
+    picks, rows = random.Random(3), []
+    base = [str(picks.randrange(100_000)) for _ in range(3000)]
+    for i in range(40):
+        new = list(base)
+        for k in range(70 + i % 7):
+            new[picks.randrange(len(new))] = f"w{i}x{k}"
+        rows.append((i, " ".join(new)))
+    since = join_rows(spark, -1)[1]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in near_copies.keep_one(docs).collect()) == kept_by_force(rows)[0]
+    assert join_rows(spark, since)[0] <= 4 * 40 * 39 // 2
+
+
+def test_pairs_meet_wherever_their_first_shared_row_is(spark):
+    picks = random.Random(5)
+    sets = {node: sorted(picks.sample(range(400), picks.choice((1, 3, 40, 120)))) for node in range(60)}
+    entries = spark.createDataFrame([(h, node) for node, hs in sets.items() for h in hs], "h long, node long")
+    rows = near_copies.once(entries)
+    x, y = (rows.select(*(rows[c].alias(f"{c}{s}") for c in rows.columns)) for s in "xy")
+    met = [tuple(r) for r in x.join(y, (x["hx"] == y["hy"]) & (x["nodex"] < y["nodey"]) & near_copies.unmet()).select("nodex", "nodey").collect()]
+    want = {(a, b) for a in sets for b in sets if a < b and set(sets[a]) & set(sets[b])}
+    assert set(met) == want and len(met) < sum(len(set(sets[a]) & set(sets[b])) for a, b in want)
+
+
+@pytest.mark.parametrize("shared, near", [(2700, True), (0, False)])
+def test_fine_bits_keep_near_pairs(spark, shared, near):
+    words = [f"a{i}" for i in range(3000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:shared] + [f"b{i}" for i in range(3000 - shared)]))]
+    texts = spark.createDataFrame(rows, "node long, text string")
+    pairs = spark.createDataFrame([(1, 2)], "a long, b long")
+    found = near_copies.possible(pairs, texts).collect()
+    assert [tuple(r) for r in found] == [(1, 2)] * near
+
+
 def test_close_fingerprints_alone_link_nothing(spark, sf_dir):
     from voxelloom.llm import simhash
 

@@ -12,10 +12,13 @@ picked by hash. Then the texts outside a bucket's largest component by that time
 are held against all others in it. A pair comes out of that join only if the
 parity bits of the two texts' shingles allow it: shared shingles cancel out, so
 the bits that differ are at most as many as the shingles that only one text has.
-So a cluster of many near copies gives about as many pairs as it has members,
-and no near pair is lost. Every pair is verified on the shingles themselves
-before it links anything, and connected components of verified pairs are the
-groups.
+It does not come out where the EARLIER listed shingles of the two have one in
+common, as they meet at that one, or before it, too: a pair that shares hundreds
+of shingles gives a few rows. More parity bits, of the pairs alone, then tell long
+texts apart. So a cluster of many near copies gives about as many pairs as it has
+members, and no near pair is lost. Every pair is verified on the shingles
+themselves before it links anything, and connected components of verified pairs
+are the groups.
 
 Null and empty texts have one shingle, the empty one; a text of fewer words
 than a shingle is one shingle. A null doc_id stays only where all are null, and
@@ -45,8 +48,12 @@ HEADS = 4
 #: Texts that the frequent shingles are guessed from, in how many of them a
 #: frequent one is, and how many are told to the workers.
 SAMPLE, FREQUENT, TOLD = 20_000, 5, 10_000
-#: Words whose hashes a worker keeps, and longs of parity bits of a text.
-CACHED, PARITY = 400_000, 16
+#: Words whose hashes a worker keeps.
+CACHED = 400_000
+#: Longs of parity bits of a text in the join, and of one in a pair.
+PARITY, FINE = 16, 128
+#: Listed shingles before its own that a row of the join knows.
+EARLIER = 16
 #: Odd numbers that spread bits.
 _MULTIPLY, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -88,10 +95,10 @@ def hashes(text: bytes) -> np.ndarray:
     return np.unique((found ^ (found >> np.uint64(29))).view(np.int64))
 
 
-def parities(found: np.ndarray) -> np.ndarray:
-    """PARITY longs of bits, each set if an odd number of the hashes fall to it."""
-    place = found.view(np.uint64) & np.uint64(64 * PARITY - 1)
-    odd = np.bincount(place.astype(np.int64), minlength=64 * PARITY) & 1
+def parities(found: np.ndarray, longs: int = PARITY) -> np.ndarray:
+    """Longs of bits, each bit set if an odd number of the hashes fall to it."""
+    place = found.view(np.uint64) & np.uint64(64 * longs - 1)
+    odd = np.bincount(place.astype(np.int64), minlength=64 * longs) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
@@ -185,6 +192,44 @@ def enough(n: Column) -> Column:
     return 1 + F.floor(n / STEP)
 
 
+def once(rows: DataFrame) -> DataFrame:
+    """rows (h, node, ...) with `earlier`, the node's last EARLIER lesser h in them."""
+    before = Window.partitionBy("node").orderBy("h").rowsBetween(-EARLIER, -1)
+    return rows.withColumn("earlier", F.collect_list("h").over(before))
+
+
+def unmet() -> Column:
+    """False where the two sides of a join on h have met at an earlier one."""
+    return ~F.arrays_overlap("earlierx", "earliery")
+
+
+def possible(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose FINE longs of parity bits allow that they are near."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [hashes(t.as_py().encode()) for t in batch.column(1)]
+            bits = pa.array([parities(x, FINE).tobytes() for x in found], pa.binary())
+            n = pa.array([len(x) for x in found], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), n, bits], names=["node", "n", "bits"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, m, x, n, y = batch.columns
+            odd = [int.from_bytes(u.as_py()) ^ int.from_bytes(v.as_py()) for u, v in zip(x, y, strict=True)]
+            differing = np.fromiter((o.bit_count() for o in odd), np.int64, len(odd))
+            both = m.to_numpy().astype(np.int64) + n.to_numpy()
+            fits = pa.array(both * (BELOW - ABOVE) >= differing * (BELOW + ABOVE))
+            yield pa.RecordBatch.from_arrays([a.filter(fits), b.filter(fits)], names=["a", "b"])
+
+    ends = durable(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    told = in_small_batches(lookup(texts, ends, "node", "left_semi").select("node", "text"))
+    told = durable(told.mapInArrow(read, "node long, n int, bits binary"))
+    left = durable(lookup(pairs, told.toDF("a", "m", "x"), "a", "inner"))
+    both = lookup(left, told.toDF("b", "n", "y"), "b", "inner").select("a", "b", "m", "x", "n", "y")
+    return durable(in_small_batches(both).mapInArrow(compare, "a long, b long"))
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes that are near copies."""
 
@@ -220,14 +265,16 @@ def links(docs: DataFrame) -> DataFrame:
     known = durable(lookup(crowded, durable(connected_components(first)), "node").withColumn("c", F.coalesce("component", "node")).drop("component"))
     parts = known.groupBy("h", "c").agg(F.count("*").alias("m")).groupBy("h")
     mixed = durable(parts.agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("m")).filter("m > 1").drop("m"))
-    rest = durable(lookup(known, mixed, "h", "inner"))
+    rest = durable(lookup(known, mixed, "h", "inner").withColumn("is_main", F.col("c") == F.col("main")).drop("main"))
+    able = rest.groupBy("node").agg(F.min("n").alias("n"), F.count("*").alias("m")).filter(F.col("m") >= enough(F.col("n")))
+    rest = durable(once(lookup(rest, durable(able.select("node")), "node", "left_semi")))
     told = durable(parity_bits(lookup(held, durable(rest.select("node").distinct()), "node", "left_semi")))
-    rest = durable(lookup(rest, told, "node", "inner").withColumn("is_main", F.col("c") == F.col("main")).drop("main"))
+    rest = durable(lookup(rest, told, "node", "inner"))
     x, y = (rest.select(*(F.col(c).alias(f"{c}{s}") for c in rest.columns)) for s in "xy")
     apart = (F.col("cx") != F.col("cy")) & (F.col("is_mainy") | (F.col("cx") < F.col("cy")))
-    across = x.filter(~F.col("is_mainx")).join(y.hint("merge"), (F.col("hx") == F.col("hy")) & apart & alike(F.col("nx"), F.col("ny")) & may_be_near("x", "y"))
-    across = across.groupBy(F.least("nodex", "nodey").alias("a"), F.greatest("nodex", "nodey").alias("b")).agg(F.min(F.least("nx", "ny")).alias("n"), F.count("*").alias("m"))
-    second = verified(durable(across.filter(F.col("m") >= enough(F.col("n"))).select("a", "b")), held)
+    across = x.filter(~F.col("is_mainx")).join(y.hint("merge"), (F.col("hx") == F.col("hy")) & apart & alike(F.col("nx"), F.col("ny")) & may_be_near("x", "y") & unmet())
+    across = across.select(F.least("nodex", "nodey").alias("a"), F.greatest("nodex", "nodey").alias("b")).distinct()
+    second = verified(possible(durable(across), held), held)
     return connected_components(first.unionByName(second))
 
 
