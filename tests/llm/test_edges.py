@@ -120,6 +120,31 @@ def test_quality(docs, empty, labels):
     assert all(r["kept"] != r["base_failed"] for r in unlabelled)
 
 
+@pytest.mark.parametrize("bad", [0, 700])
+def test_threshold_ranks_all_labelled_rows(spark, bad):
+    picks = np.random.default_rng(bad)
+    scores = np.round(np.concatenate([picks.normal(0.4, 0.05, 3000), picks.normal(0.5, 0.08, bad)]), 3)
+    good = np.arange(len(scores)) < 3000
+    scored = spark.createDataFrame([(float(x), bool(g)) for x, g in zip(scores, good, strict=True)], "score double, good boolean")
+    floor = np.quantile(scores[good], 0.99, method="higher")
+    tries = [x for x in np.unique(scores) if x >= floor] if bad else [floor]
+    gains = [((scores[~good] > x).mean() if bad else 0) - (scores[good] > x).mean() for x in tries]
+    assert quality.calibrate(scored, 0.01) == tries[int(np.argmax(gains))]
+    assert quality.calibrate(scored.filter("not good"), 0.01) == np.inf
+
+
+def test_no_labelled_row_is_left_out(spark):
+    """The bad rows are the only ones far out; the rows of least hash hold none of them."""
+    rows = spark.range(30_000).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("_h")).orderBy("_h").collect()
+    late = {r["doc_id"] for r in rows[25_000:25_400]}
+    texts = [(i, " ".join(("x" * 30 if i in late else "word") + str(k) for k in range(60 + i % 7))) for i in range(30_000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(8)
+    labels = spark.createDataFrame([(i, int(i not in late)) for i, _ in texts], "doc_id long, quality int")
+    judged = quality.judge(docs, labels)
+    assert {r["doc_id"] for r in judged.filter("not kept").collect()} == late
+    assert quality.keep_good(docs, labels).count() == 30_000 - 400
+
+
 def test_forest_finds_the_odd_one():
     picks = np.random.default_rng(0)
     usual, odd = picks.normal(0, 0.1, (500, 3)), np.array([[4.0, 0, 0]])
