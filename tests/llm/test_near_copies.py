@@ -75,6 +75,42 @@ def test_edited_copies(spark, edited):
     assert pairs > 1000 and sorted(r["doc_id"] for r in near_copies.keep_one(docs).collect()) == want
 
 
+def components(nodes, pairs):
+    up = {k: k for k in nodes}
+
+    def root(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for a, b in pairs:
+        x, y = root(a), root(b)
+        up[max(x, y)] = min(x, y)
+    return {k: root(k) for k in up}
+
+
+def test_fingerprints_come_first(spark, edited, monkeypatch):
+    """The stage's first candidates connect all texts whose fingerprints link."""
+    from voxelloom.llm import simhash
+
+    seen, verify = [], near_copies.verified
+
+    def watching(pairs, texts):
+        near = verify(pairs, texts)
+        seen.append(([tuple(r) for r in pairs.collect()], near.count()))
+        return near
+
+    monkeypatch.setattr(near_copies, "verified", watching)
+    docs = spark.createDataFrame(edited, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in near_copies.keep_one(docs).collect()) == kept_by_force(edited)[0]
+    texts = {r["node"]: r["text"] for r in near_copies.named(docs).collect()}
+    prints = [(k, simhash.fingerprint(t.encode())) for k, t in sorted(texts.items())]
+    close = [(a, b) for i, (a, p) in enumerate(prints) for b, q in prints[i + 1 :] if (p ^ q).bit_count() <= 7]
+    found = [tuple(r) for r in near_copies.simhash_pairs(near_copies.named(docs)).collect()]
+    assert set(found) <= set(close) and components(texts, found) == components(texts, close)
+    assert len(seen) == 3 and set(seen[0][0]) <= set(found) and seen[0][1] > 50
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_listed_hashes_meet(seed):
     import numpy as np

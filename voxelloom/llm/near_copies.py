@@ -1,7 +1,14 @@
-"""Near copies by an exact set-similarity join with prefix filters.
+"""Near copies by SimHash, and by an exact set-similarity join with prefix filters
+for those that it misses.
 
 Two texts are near copies when their sets of five-word shingles have a Jaccard
-similarity of at least 4/5. Shingles are put in one order; of n shingles the
+similarity of at least 4/5. Texts whose SimHash fingerprints of those shingles
+are alike or within DISTANCE bits come first: links that connect all of them are
+verified, and those that hold are the first groups. Many near copies have
+fingerprints further apart, so all texts go through an exact join too, which
+compares what is not in one group yet.
+
+Shingles are put in one order; of n shingles the
 first n - ceil(4n/5) + k, with k = 1 + n / 20, are listed. Two texts whose
 similarity is high enough share at least the lesser k of their listed shingles,
 whatever the order is, so no pair is missed. The order puts shingles that a
@@ -36,11 +43,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import Filter, connected_components, durable, in_small_batches, lookup
 
 #: Least similarity, as a fraction.
 ABOVE, BELOW = 4, 5
 SHINGLE = 5
+#: Bits in which the fingerprints of SimHash's candidates differ at most.
+DISTANCE = 7
 #: A text of n shingles has to share 1 + n / STEP listed ones.
 STEP = 20
 #: Members of a bucket that the others are first held against.
@@ -244,25 +254,42 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return durable(in_small_batches(both).mapInArrow(read, "a long, b long"))
 
 
+def simhash_pairs(texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that connect all texts whose fingerprints link."""
+    prints = simhash.fingerprints(texts.select(F.col("node").alias("doc_id"), "text"), SHINGLE)
+    prints = durable(prints.select(F.col("doc_id").alias("node"), "fp").distinct())
+    classes = durable(prints.groupBy("fp").agg(F.min("node").alias("a")))
+    same = lookup(prints.withColumnRenamed("node", "b"), classes, "fp", "inner").filter("a <> b").select("a", "b")
+    found = durable(simhash.spanning(durable(classes.select("fp")), DISTANCE).toDF("fp", "y"))
+    found = durable(lookup(found, classes, "fp", "inner").select("a", F.col("y").alias("fp")))
+    found = lookup(found, classes.withColumnRenamed("a", "b"), "fp", "inner").select("a", "b")
+    return durable(same.unionByName(found).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
 def links(docs: DataFrame) -> DataFrame:
     """Rows (node, component) of all texts that have a near copy."""
     texts = named(docs)
+    alike_prints = simhash_pairs(texts)
     in_bucket = F.count(F.lit(1)).over(Window.partitionBy("h"))
     crowded = durable(entries(texts, frequent_shingles(texts)).withColumn("m", in_bucket).filter("m > 1").drop("m"))
     wanted = crowded.groupBy("node").agg(F.min("n").alias("n"), F.count("*").alias("m"))
     wanted = durable(wanted.filter(F.col("m") >= enough(F.col("n"))).select("node"))
-    crowded = durable(lookup(crowded, wanted, "node", "inner"))
     held = durable(lookup(texts.select("node", "text"), wanted, "node", "left_semi").dropDuplicates(["node"]).select("node", "text"))
+    for end in "ab":  # near copies are all wanted
+        alike_prints = durable(lookup(alike_prints, wanted.toDF(end), end, "left_semi").select("a", "b"))
+    printed = verified(alike_prints, held)
+    grouped = lookup(wanted, durable(connected_components(printed)), "node").select("node", F.coalesce("component", "node").alias("s"))
+    crowded = durable(lookup(crowded, durable(grouped), "node", "inner"))
 
-    heads = [F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(k))) for k in range(HEADS)]
+    heads = [F.min_by(F.struct("node", "n", "s"), F.xxhash64("node", F.lit(k))) for k in range(HEADS)]
     heads = durable(crowded.groupBy("h").agg(F.array_distinct(F.array(*heads)).alias("heads")))
-    near = lookup(crowded, heads, "h", "inner").select("node", "n", F.explode("heads").alias("head"))
-    near = near.filter((F.col("head.node") != F.col("node")) & alike(F.col("n"), F.col("head.n")))
+    near = lookup(crowded, heads, "h", "inner").select("node", "n", "s", F.explode("heads").alias("head"))
+    near = near.filter((F.col("head.s") != F.col("s")) & alike(F.col("n"), F.col("head.n")))
     ends = (F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b"))
     near = near.groupBy(*ends).agg(F.min(F.least("n", "head.n")).alias("n"), F.count("*").alias("m"))
-    first = verified(durable(near.filter(F.col("m") >= enough(F.col("n"))).select("a", "b")), held)
+    first = printed.unionByName(verified(durable(near.filter(F.col("m") >= enough(F.col("n"))).select("a", "b")), held))
 
-    known = durable(lookup(crowded, durable(connected_components(first)), "node").withColumn("c", F.coalesce("component", "node")).drop("component"))
+    known = durable(lookup(crowded.drop("s"), durable(connected_components(first)), "node").withColumn("c", F.coalesce("component", "node")).drop("component"))
     parts = known.groupBy("h", "c").agg(F.count("*").alias("m")).groupBy("h")
     mixed = durable(parts.agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("m")).filter("m > 1").drop("m"))
     rest = durable(lookup(known, mixed, "h", "inner").withColumn("is_main", F.col("c") == F.col("main")).drop("main"))

@@ -160,11 +160,14 @@ def signed(bits: int) -> int:
     return bits - (1 << BITS) if bits >> BITS - 1 else bits
 
 
-def link(classes: DataFrame, distance: int = 4) -> DataFrame:
-    """classes: distinct fp, durable. Rows (node, component) of all that link."""
+def search(classes: DataFrame, distance: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """classes: distinct fp, durable. Links (a, b) to heads; fp and the component c
+    that those give it; and links (x, y) between such components (cx, cy)."""
     n, both = bit_counts(classes)
     if n < 2:
-        return classes.select(F.col("fp").alias("node"), F.col("fp").alias("component"))
+        alone = classes.select("fp", F.col("fp").alias("c"))
+        none = alone.toDF("a", "b").filter("false")
+        return none, alone, none.select(F.col("a").alias("cx"), F.col("b").alias("cy"), F.col("a").alias("x"), F.col("b").alias("y"))
     few = classes.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
     parts = choose(n, both, distance, np.array([r["fp"] for r in few], np.int64).view(np.uint64))
     masks = [sum(1 << i for i in group) for group, _ in parts]
@@ -190,6 +193,20 @@ def link(classes: DataFrame, distance: int = 4) -> DataFrame:
     exact = entries.select(F.xxhash64("part", "key").alias("bucket"), F.col("fp").alias("y"), F.col("c").alias("cy"))
     close = (F.col("cx") < F.col("cy")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= distance)
     across = probes.join(exact.hint("merge"), (probes["bucket"] == exact["bucket"]) & close)
+    return near, known, across.select("cx", "cy", "x", "y")
+
+
+def spanning(classes: DataFrame, distance: int = 4) -> DataFrame:
+    """Links (a, b) that connect all that is linked: about as many as there are
+    fingerprints, at most one between two components of links to heads."""
+    near, _, across = search(classes, distance)
+    between = across.groupBy("cx", "cy").agg(F.min(F.struct("x", "y")).alias("_link"))
+    return near.unionByName(between.select(F.col("_link.x").alias("a"), F.col("_link.y").alias("b")))
+
+
+def link(classes: DataFrame, distance: int = 4) -> DataFrame:
+    """classes: distinct fp, durable. Rows (node, component) of all that link."""
+    _, known, across = search(classes, distance)
     across = durable(across.select(F.col("cx").alias("a"), F.col("cy").alias("b")).distinct())
     second = durable(connected_components(across))
     over = second.select(F.col("node").alias("c"), "component")
