@@ -238,3 +238,42 @@ def test_close_fingerprints_alone_link_nothing(spark, sf_dir):
     assert kept_by_force(list(texts.items())) == ([61, 777], 0)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert near_copies.keep_one(docs).count() == 2
+
+
+@pytest.mark.parametrize("few", [0, 30, 10_000])
+def test_few_links_are_put_in_groups_by_one_task(spark, few):
+    from voxelloom.llm.common import connected_components
+
+    picks = random.Random(8)
+    edges = [(picks.randrange(-300, 300), picks.randrange(-300, 300)) for _ in range(250)] + [(k, k + 1) for k in range(1000, 1200)] + [(None, 1), (2, None), (7, 7)]
+    ends = [(a, b) for a, b in edges if a is not None and b is not None and a != b]
+    found = connected_components(spark.createDataFrame(edges, "a long, b long"), few=few).collect()
+    assert len(found) == len({r["node"] for r in found}) and {r["node"]: r["component"] for r in found} == components({k for e in ends for k in e}, ends)
+    assert connected_components(spark.createDataFrame([], "a long, b long"), few=few).count() == 0
+
+
+def test_the_stage_writes_few_tables(spark, edited):
+    """Each table costs executors a plan, buffers and files."""
+    from voxelloom import storage
+
+    before = len(storage._made)
+    near_copies.keep_one(spark.createDataFrame(edited, "doc_id long, text string")).count()
+    assert len(storage._made) - before <= 75
+
+
+def test_frequent_shingles_come_from_a_small_share(spark):
+    """The guess orders shingles and must not hold those of twenty thousand texts."""
+    docs = spark.range(15_000).selectExpr("id AS node", "concat_ws(' ', transform(sequence(1, 20), i -> concat(id, 'x', i)), 'one two three four five') AS text")
+    docs = durable(docs)
+    store = spark._jsparkSession.sharedState().statusStore()
+    since = max([store.executionsList().apply(i).executionId() for i in range(store.executionsList().size())], default=-1)
+    assert len(near_copies.frequent_shingles(docs).sorted) == 1
+    rows, executions = 0, store.executionsList()
+    for number in (executions.apply(i).executionId() for i in range(executions.size())):
+        nodes = store.planGraph(number).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size()) if number > since):
+            if node.name().startswith("MapInArrow"):
+                metrics, values = node.metrics(), store.executionMetrics(number)
+                of = {metrics.apply(k).name(): metrics.apply(k).accumulatorId() for k in range(metrics.size())}
+                rows += int(values.apply(of["number of output rows"]).replace(",", ""))
+    assert 0 < rows <= 10_000 * 21

@@ -3,6 +3,9 @@ that survive hot keys, and connected components."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -118,19 +121,40 @@ class Filter:
         return told.withColumn("may", F.coalesce(F.col("_bits").bitwiseAND(_bits()) == _bits(), F.lit(False))).drop("_word", "_bits")
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of all ends of the edges (a, b) that one task reads."""
+    up: dict = {}
+
+    def root(k: int) -> int:
+        while up[k] != k:
+            up[k] = k = up[up[k]]
+        return k
+
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for a, b in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
+            x, y = root(up.setdefault(a, a)), root(up.setdefault(b, b))
+            up[max(x, y)] = min(x, y)
+    if up:
+        yield pa.RecordBatch.from_arrays([pa.array(list(up), kind), pa.array([root(k) for k in up], kind)], names=["node", "component"])
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", few: int = 0) -> DataFrame:
     """Rows (node, component) for every end of an edge; component is the least
     node that can be reached. Null ends and loops link nothing.
 
     Each round hooks every node to its least neighbour, shortens the chains by
     pointer jumping, and goes on with the edges between what is left: at least
-    half of the nodes go each time. All state stays distributed."""
+    half of the nodes go each time. All state stays distributed. Once at most
+    `few` edges are left, one task links them instead of further rounds, which
+    write half a dozen tables each; it never holds more than those."""
     links = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a is not null and b is not null and a <> b")
     ends = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     ends, n = durable_counting(ends, F.lit(True))
     found = ends.select(F.col("a").alias("node"), F.col("b").alias("component")).filter("false")
     first = True
-    while n:
+    while n > few:
         both = ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up"))
         up = durable(up.select("node", F.least("node", "up").alias("up")))
@@ -150,6 +174,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         ends = lookup(ends, up.select(F.col("node").alias("b"), F.col("up").alias("b2")), "b")
         ends = ends.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).filter("a <> b").distinct()
         ends, n = durable_counting(ends, F.lit(True))
+    if n:
+        kind = ends.schema["a"].dataType.simpleString()
+        last = durable(ends.repartition(1).mapInArrow(united, f"node {kind}, component {kind}"))
+        if first:
+            return last
+        found = durable(lookup(found, last.select(F.col("node").alias("component"), F.col("component").alias("up")), "component"))
+        found = found.select("node", F.coalesce("up", "component").alias("component"))
     return found
 
 

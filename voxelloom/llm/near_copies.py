@@ -57,13 +57,15 @@ STEP = 20
 HEADS = 4
 #: Texts that the frequent shingles are guessed from, in how many of them a
 #: frequent one is, and how many are told to the workers.
-SAMPLE, FREQUENT, TOLD = 20_000, 5, 10_000
+SAMPLE, FREQUENT, TOLD = 5_000, 3, 10_000
 #: Words whose hashes a worker keeps.
-CACHED = 400_000
+CACHED = 100_000
 #: Longs of parity bits of a text in the join, and of one in a pair.
 PARITY, FINE = 16, 128
 #: Listed shingles before its own that a row of the join knows.
 EARLIER = 16
+#: Links that one task may put in groups.
+FEW = 50_000
 #: Odd numbers that spread bits.
 _MULTIPLY, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -278,7 +280,7 @@ def links(docs: DataFrame) -> DataFrame:
     for end in "ab":  # near copies are all wanted
         alike_prints = durable(lookup(alike_prints, wanted.toDF(end), end, "left_semi").select("a", "b"))
     printed = verified(alike_prints, held)
-    grouped = lookup(wanted, durable(connected_components(printed)), "node").select("node", F.coalesce("component", "node").alias("s"))
+    grouped = lookup(wanted, durable(connected_components(printed, few=FEW)), "node").select("node", F.coalesce("component", "node").alias("s"))
     crowded = durable(lookup(crowded, durable(grouped), "node", "inner"))
 
     heads = [F.min_by(F.struct("node", "n", "s"), F.xxhash64("node", F.lit(k))) for k in range(HEADS)]
@@ -289,7 +291,7 @@ def links(docs: DataFrame) -> DataFrame:
     near = near.groupBy(*ends).agg(F.min(F.least("n", "head.n")).alias("n"), F.count("*").alias("m"))
     first = printed.unionByName(verified(durable(near.filter(F.col("m") >= enough(F.col("n"))).select("a", "b")), held))
 
-    known = durable(lookup(crowded.drop("s"), durable(connected_components(first)), "node").withColumn("c", F.coalesce("component", "node")).drop("component"))
+    known = durable(lookup(crowded.drop("s"), durable(connected_components(first, few=FEW)), "node").withColumn("c", F.coalesce("component", "node")).drop("component"))
     parts = known.groupBy("h", "c").agg(F.count("*").alias("m")).groupBy("h")
     mixed = durable(parts.agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("m")).filter("m > 1").drop("m"))
     rest = durable(lookup(known, mixed, "h", "inner").withColumn("is_main", F.col("c") == F.col("main")).drop("main"))
@@ -302,7 +304,7 @@ def links(docs: DataFrame) -> DataFrame:
     across = x.filter(~F.col("is_mainx")).join(y.hint("merge"), (F.col("hx") == F.col("hy")) & apart & alike(F.col("nx"), F.col("ny")) & may_be_near("x", "y") & unmet())
     across = across.select(F.least("nodex", "nodey").alias("a"), F.greatest("nodex", "nodey").alias("b")).distinct()
     second = verified(possible(durable(across), held), held)
-    return connected_components(first.unionByName(second))
+    return connected_components(first.unionByName(second), few=FEW)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
