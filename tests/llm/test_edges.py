@@ -84,6 +84,27 @@ def test_tokens_by_words(spark):
         assert np.frombuffer(cached.ids(text), "<u4").tolist() == want, repr(text)
 
 
+def test_words_with_runs_of_signs(monkeypatch):
+    """New words of letters and signs go to the tokenizer by their parts: once for
+    each run of signs, however many words it follows, and across generations."""
+    from tokenizers import Tokenizer
+
+    cached, whole, asked = packing.WordTokenizer(llm.tokenizer_path()), Tokenizer.from_file(llm.tokenizer_path()), []
+    monkeypatch.setattr(cached, "whole", lambda text, f=cached.whole: asked.append(text) or f(text))
+    monkeypatch.setattr(packing, "CACHED_WORDS", 300)
+    picks = random.Random(5)
+    runs = ["&&&", ",***", "!!", ".$$$", "'", ".", ""]
+    made = ["".join(picks.choices("abcdeéñÀß", k=picks.randrange(1, 9))) for _ in range(600)]
+    for at in (0, 200, 400, 0):
+        texts = [" ".join(w + picks.choice(runs) for w in picks.sample(made[at : at + 200], 80)) for _ in range(5)]
+        texts += ["ΣΑΣ&&& É&&& é!! 다&&& " + "x" * 80 + "&&&", "&&& ,*** a", "\u0130. " + made[at] + "!!"]
+        for text, ids in zip(texts, cached.batch(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+        assert len(cached.words) < 300 + 5 * 80 * 3
+    assert len([w for w in asked if w[0].isalpha() and w.isascii() and len(w) < 64]) == 0
+    assert len(asked) < 60, len(asked)
+
+
 def test_fill_is_closest():
     picks = random.Random(1)
     for _ in range(60):

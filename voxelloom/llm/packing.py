@@ -15,8 +15,10 @@ empty result. Other columns are ignored."""
 from __future__ import annotations
 
 import os
+import string
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,27 @@ CACHED_WORDS = 300_000
 #: Texts tokenized at a time.
 TEXTS = 256
 LONGEST_CACHED = 64
+#: New words in one string for the tokenizer, whose own tables for it then stay small.
+TOGETHER = 200
 WHOLE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
+#: None of them is a letter, a number or white space: a run of them is one unit.
+SIGNS = string.punctuation
+
+
+class Words(dict):
+    """Ids of words. Those that it lacks come over from `old`, the last generation;
+    one that both lack is a hole, empty until its ids are put in."""
+
+    def __init__(self, old: dict[str, bytes]):
+        self.old = old
+        self.holes: dict[str, bytearray] = {}
+
+    def __missing__(self, word: str) -> bytes | bytearray:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.holes[word] = bytearray()
+        self[word] = ids
+        return ids
 
 
 class WordTokenizer:
@@ -41,83 +63,80 @@ class WordTokenizer:
 
     The tokenizer drops white space and never looks across it, so a text's ids
     are those of its words in order; it lower-cases, and it parts letters from
-    signs, so a word and the sign after it are looked up apart. Words of letters
-    alone are one unit each, and the new ones of a batch are encoded together:
+    signs, so a word and the signs after it are looked up apart. Words of Latin-1
+    letters alone are one unit each that only lower-casing changes: the new ones
+    of a batch go to the tokenizer's model together, without its other steps, and
     the ids of a unit end with one that ends words. Texts with a special token's
     opening, or with a separator that Python alone takes for white space, are
     left to the tokenizer as a whole."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a worker for each core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.signs = {sign: self.whole(sign) for sign in ".,;:!?"}
-        self.words: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.units = Tokenizer(self.tokenizer.model)
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.units.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), as_bytes])
+        self.words = Words({})
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def together(self, words: list[str]) -> list[bytes]:
-        (found,) = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)
-        ids = np.array(found.ids, "<u4")
+        runs = [" ".join(words[at : at + TOGETHER]).lower() for at in range(0, len(words), TOGETHER)]
+        found = self.units.encode_batch_fast(runs, add_special_tokens=False)
+        ids = np.array(list(chain.from_iterable(run.ids for run in found)), "<u4")
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) != len(words):
             return [self.whole(w) for w in words]
         raw, stops = ids.tobytes(), (4 * stops).tolist()
         return [raw[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
 
-    def learn(self, new: set[str]) -> None:
-        """Add new words to the cache. Words of the last generation come over;
-        the cache starts a new generation when it is full."""
-        cache, old, signs = self.words, self.old, self.signs
-        plain, signed, odd = [], [], []
-        for word in new:
-            if word in old:
-                cache[word] = old[word]
-            elif word.isalpha():
+    def learn(self) -> None:
+        """Fill the holes of the cache."""
+        cache, holes = self.words, self.words.holes
+        every = latin("".join(holes))
+        signed, plain, odd = [], [], []
+        for word in list(holes):
+            if not word.isalpha():
+                letters = word.rstrip(SIGNS)
+                if letters.isalpha() and (every or latin(letters)):
+                    signed.append((holes.pop(word), cache[letters], cache[word[len(letters) :]], word))
+        for word in holes:
+            if word.isalpha() and len(word) <= LONGEST_CACHED and (every or latin(word)):
                 plain.append(word)
-            elif word[-1] in signs and word[:-1].isalpha() and latin(word):
-                signed.append(word)
             else:
                 odd.append(word)
-        fresh = {w[:-1] for w in signed}.difference(cache, new)
-        for word in fresh:
-            if word in old:
-                cache[word] = old[word]
-            else:
-                plain.append(word)
-        if not latin("".join(plain)) or max(map(len, plain), default=0) > LONGEST_CACHED:
-            odd += [w for w in plain if not latin(w) or len(w) > LONGEST_CACHED]
-            plain = [w for w in plain if latin(w) and len(w) <= LONGEST_CACHED]
         if plain:
-            cache.update(zip(plain, self.together(plain), strict=True))
+            for word, ids in zip(plain, self.together(plain), strict=True):
+                holes[word] += ids
+                cache[word] = ids
         for word in odd:
-            cache[word] = self.whole(word)
-        for word in signed:
-            cache[word] = cache[word[:-1]] + signs[word[-1]]
+            cache[word] = ids = self.whole(word)
+            holes[word] += ids
+        for hole, letters, signs, word in signed:
+            hole += letters + signs
+            cache[word] = bytes(hole)
+        holes.clear()
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        split: list[list[str] | None] = []
+        if len(self.words) > CACHED_WORDS:
+            self.words.old = {}
+            self.words = Words(self.words)
+        get, found = self.words.__getitem__, []
         for text in texts:
             if any(sign in text for sign in WHOLE):
-                split.append(None)
+                found.append([self.whole(text)])
                 continue
             if text.isascii() or latin(text):
                 text = text.lower()
-            split.append(text.split())
-        every = set().union(*(words for words in split if words))
-        new = every.difference(self.words)
-        if len(self.words) + len(new) > CACHED_WORDS:
-            self.words, self.old = {}, self.words
-            new = every
-        self.learn(new)
-        get = self.words.__getitem__
-        return [self.whole(text) if words is None else b"".join(map(get, words)) for text, words in zip(texts, split, strict=True)]
+            found.append(list(map(get, text.split())))
+        self.learn()
+        return list(map(b"".join, found))
 
     def ids(self, text: str) -> bytes:
         return self.batch([text])[0]
@@ -157,7 +176,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
                         for column, value in zip(rows, (doc_id, at // 4, len(cut_off) // 4, cut_off, len(whole) // 4), strict=True):
                             column.append(value)
                 yield arrow(rows, names)
-        tokenizer.old = {}  # the worker may wait long for another task
+        tokenizer.words.old = {}  # the worker may wait long for another task
 
     def arrow(rows: list[list], names: list[str]) -> pa.RecordBatch:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
