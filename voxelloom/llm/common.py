@@ -3,7 +3,8 @@ that survive hot keys, and connected components."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
@@ -45,6 +46,42 @@ def in_small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+#: What this Python worker keeps from task to task.
+_kept: dict[str, dict] = {}
+
+
+def kept(what: str) -> dict:
+    """A dict that a worker keeps until `let_go`."""
+    return _kept.setdefault(what, {})
+
+
+def let_go() -> None:
+    """Drop what the worker keeps, and give its free memory back to the system."""
+    _kept.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
+Read = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def at_rest(read: Read) -> Read:
+    """read, for mapInArrow, leaving nothing in its worker, nor what another
+    operator left there. Workers outlive their tasks: what they keep would count
+    against the memory of stages that run no Python."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
+        try:
+            yield from read(batches)
+        finally:
+            let_go()
+
+    return run
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. Pure ASCII texts take the JVM's fast path."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(
@@ -184,4 +221,4 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", few: int
     return found
 
 
-__all__ = ["WORD", "HOT_SHARE", "Filter", "ascii_lower", "connected_components", "durable", "durable_counting", "hash_number", "in_small_batches", "lookup", "running", "scratch", "set_where_unset", "table", "word_count"]
+__all__ = ["WORD", "HOT_SHARE", "Filter", "ascii_lower", "at_rest", "connected_components", "durable", "durable_counting", "hash_number", "in_small_batches", "kept", "let_go", "lookup", "running", "scratch", "set_where_unset", "table", "word_count"]

@@ -36,7 +36,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import Filter, connected_components, durable, in_small_batches, lookup
+from .common import Filter, at_rest, connected_components, durable, in_small_batches, kept, lookup
 
 #: Least similarity, as a fraction.
 ABOVE, BELOW = 4, 5
@@ -58,7 +58,7 @@ HEADS = 4
 #: Texts that the frequent shingles are guessed from, in how many of them a
 #: frequent one is, and how many are told to the workers.
 SAMPLE, FREQUENT, TOLD = 5_000, 3, 10_000
-#: Words whose hashes a worker keeps.
+#: Words whose hashes a task keeps.
 CACHED = 100_000
 #: Longs of parity bits of a text in the join, and of one in a pair.
 PARITY, FINE = 16, 128
@@ -82,10 +82,9 @@ def are_near(a: set[bytes], b: set[bytes]) -> bool:
     return BELOW * shared >= ABOVE * (len(a) + len(b) - shared)
 
 
-@lru_cache(maxsize=1)
 def _words() -> dict[bytes, int]:
-    """Hashes of words that a worker has seen."""
-    return {}
+    """Hashes of words that a worker's task has seen."""
+    return kept("near_copies")
 
 
 def hashes(text: bytes) -> np.ndarray:
@@ -157,7 +156,7 @@ def frequent_shingles(texts: DataFrame) -> Frequent:
 
     every = max(1, texts.count() // SAMPLE)
     few = in_small_batches(texts.filter(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(every)) == 0)).select("text")
-    seen = few.mapInArrow(read, "h long").groupBy("h").count().filter(F.col("count") >= FREQUENT)
+    seen = few.mapInArrow(at_rest(read), "h long").groupBy("h").count().filter(F.col("count") >= FREQUENT)
     most = seen.orderBy(F.desc("count"), "h").limit(TOLD).collect()
     return Frequent(np.array([h for h, _ in reversed(most)], np.int64))
 
@@ -175,7 +174,7 @@ def entries(texts: DataFrame, frequent: Frequent) -> DataFrame:
             n = np.repeat(np.array([len(x) for x in found], np.int32), sizes)
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(node), pa.array(n)], names=["h", "node", "n"])
 
-    return in_small_batches(texts).select("node", "text").mapInArrow(read, "h long, node long, n int")
+    return in_small_batches(texts).select("node", "text").mapInArrow(at_rest(read), "h long, node long, n int")
 
 
 def parity_bits(texts: DataFrame) -> DataFrame:
@@ -187,7 +186,7 @@ def parity_bits(texts: DataFrame) -> DataFrame:
             bits = np.array([parities(hashes(t.as_py().encode())) for t in batch.column(1)], np.int64).reshape(-1, PARITY)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(bits[:, i]) for i in range(PARITY))], names=["node", *names])
 
-    return in_small_batches(texts).select("node", "text").mapInArrow(read, "node long, " + ", ".join(f"{n} long" for n in names))
+    return in_small_batches(texts).select("node", "text").mapInArrow(at_rest(read), "node long, " + ", ".join(f"{n} long" for n in names))
 
 
 def alike(m: Column, n: Column) -> Column:
@@ -236,10 +235,10 @@ def possible(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     ends = durable(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     told = in_small_batches(lookup(texts, ends, "node", "left_semi").select("node", "text"))
-    told = durable(told.mapInArrow(read, "node long, n int, bits binary"))
+    told = durable(told.mapInArrow(at_rest(read), "node long, n int, bits binary"))
     left = durable(lookup(pairs, told.toDF("a", "m", "x"), "a", "inner"))
     both = lookup(left, told.toDF("b", "n", "y"), "b", "inner").select("a", "b", "m", "x", "n", "y")
-    return durable(in_small_batches(both).mapInArrow(compare, "a long, b long"))
+    return durable(in_small_batches(both).mapInArrow(at_rest(compare), "a long, b long"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -253,7 +252,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     left = durable(lookup(pairs, texts.toDF("a", "x"), "a", "inner"))
     both = lookup(left, texts.toDF("b", "y"), "b", "inner").select("a", "b", "x", "y")
-    return durable(in_small_batches(both).mapInArrow(read, "a long, b long"))
+    return durable(in_small_batches(both).mapInArrow(at_rest(read), "a long, b long"))
 
 
 def simhash_pairs(texts: DataFrame) -> DataFrame:

@@ -17,7 +17,6 @@ from __future__ import annotations
 import os
 import string
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, in_small_batches
+from .common import durable, in_small_batches, kept
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long"
 #: Rows that one window task ranks on average at most.
@@ -151,10 +150,14 @@ def latin(text: str) -> bool:
     return True
 
 
-@lru_cache(maxsize=1)
 def tokenizer_of(path: str) -> WordTokenizer:
-    """One for each Python worker, which keeps its words from task to task."""
-    return WordTokenizer(path)
+    """One for each Python worker, which keeps its words from task to task until
+    an operator runs there that lets them go."""
+    found = kept("packing")
+    if path not in found:
+        found.clear()
+        found[path] = WordTokenizer(path)
+    return found[path]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 2) -> DataFrame:
@@ -250,10 +253,10 @@ def pack(rows: DataFrame, capacity: int = 4096, order: tuple[str, ...] = ("doc_i
     within = Window.partitionBy("length", "_bucket").orderBy(*order)
     ranked = keyed.withColumn("_rank", F.row_number().over(within) - 1).join(bases, ["length", "_bucket"])
     ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_base"))
-    places = spark.createDataFrame(
-        plan(counts, capacity) or [(0, 0, 0, 1, 0, 0)],
-        "_length long, _first long, _n long, _per long, _sequence long, _offset long",
-    )
+    names = ("_length", "_first", "_n", "_per", "_sequence", "_offset")
+    columns = zip(*(plan(counts, capacity) or [(0, 0, 0, 1, 0, 0)]), strict=True)
+    # of an Arrow table, as rows would go through Python workers of their own
+    places = spark.createDataFrame(pa.table({k: pa.array(v, pa.int64()) for k, v in zip(names, columns, strict=True)}))
     at = F.col("_rank") - F.col("_first")
     fits = (F.col("length") == F.col("_length")) & (at >= 0) & (at < F.col("_n"))
     placed = ranked.join(F.broadcast(places), fits)  # as many rows as the lengths' multisets hold

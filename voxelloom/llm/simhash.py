@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, durable, in_small_batches, lookup
+from .common import at_rest, connected_components, durable, in_small_batches, lookup
 
 BITS = 64
 #: Members of a bucket that the others are first held against.
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, shingle: int = 5, seed: int = 42) -> DataFrame
             signed = np.array(found, np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed)], names=["doc_id", "fp"])
 
-    return in_small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(mark, "doc_id long, fp long")
+    return in_small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(at_rest(mark), "doc_id long, fp long")
 
 
 def bit_counts(classes: DataFrame) -> tuple[int, np.ndarray]:
